@@ -1,0 +1,9 @@
+"""All queries of the engine and their SQL."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
