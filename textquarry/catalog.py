@@ -1,9 +1,519 @@
-"""All queries of the engine and their SQL."""
+"""Every operator's query over the driver's tables, and its SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from textquarry.functions import text as tx
+from textquarry.operators import analytics, bm25, chunking, cleaning, dataset, evidence, fusion, graph, metrics, parsing, query, vectors
+from textquarry.operators.components import connected_components
+from textquarry.plans import retrieval
+from textquarry.session import table
+from textquarry.streaming import ingest
 
-def oracle_sql():
-    return {}
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict:
+    return {**_QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**_SQL}
+
+
+def _items(spark, sf):
+    return table(spark, sf, "benchmark")
+
+
+def _index(spark, sf):
+    return bm25.build_index(table(spark, sf, "documents"), "doc_id", "text")
+
+
+# --- lexical index and search -------------------------------------------------------------------
+
+_TERMS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
+_POSTINGS = f"""
+toks AS (SELECT doc_id AS chunk_id, {_TERMS.format('text')} AS ts FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks),
+post AS (SELECT chunk_id, len AS doc_len, term, count(*) AS tf FROM (SELECT chunk_id, len(ts) AS len, unnest(ts) AS term FROM toks) GROUP BY ALL),
+freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+asked AS (SELECT item_id AS query_id, term, min(pos) AS pos FROM (SELECT item_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM (SELECT item_id, {_TERMS.format('text')} AS ts FROM benchmark)) GROUP BY ALL),
+known AS (SELECT a.query_id, a.term, a.pos, coalesce(f.df, 0) AS df, s.n, bool_or(coalesce(f.df, 0) > 0) OVER (PARTITION BY query_id) AS any_known FROM asked a LEFT JOIN freq f USING (term) CROSS JOIN stats s),
+flagged AS (SELECT *, regexp_matches(term, '\\p{{N}}') OR term IN ('chưa','chỉ','không','ngoại','phải','trừ') AS first FROM known WHERE df > 0 OR NOT any_known),
+marked AS (SELECT *, NOT first AND df <= n * 0.25 AS rare, bool_or(NOT first AND df <= n * 0.25) OVER (PARTITION BY query_id) AS any_rare FROM flagged),
+plan AS (SELECT query_id, term, df, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN any_known AND NOT first THEN 1 ELSE 0 END, CASE WHEN any_known AND NOT first THEN df ELSE 0 END, pos) AS r FROM marked WHERE first OR rare OR NOT any_rare OR NOT any_known),
+planned AS (SELECT query_id, term, df FROM plan WHERE r <= 8),
+scored AS (SELECT query_id, chunk_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avgdl))), 9) AS score FROM planned JOIN post USING (term) CROSS JOIN stats GROUP BY ALL),
+hits AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= {{k}})
+"""
+
+
+_HITS = _POSTINGS.replace("{k}", "10")
+
+
+@_query(f"WITH {_HITS} SELECT query_id, chunk_id, score, rank FROM hits")
+def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
+    index = _index(spark, sf)
+    return bm25.search(bm25.plan_queries(_items(spark, sf), index, "item_id", "text"), index)
+
+
+@_query(f"WITH {_HITS} SELECT term, df FROM freq")
+def bm25_vocabulary(spark, sf):
+    return _index(spark, sf).frequencies
+
+
+@_query(f"WITH {_HITS} SELECT query_id, term, df FROM planned")
+def bm25_query_plan(spark, sf):
+    return bm25.plan_queries(_items(spark, sf), _index(spark, sf), "item_id", "text").select("query_id", "term", "df")
+
+
+@_query(f"WITH {_HITS} SELECT n, avgdl FROM stats")
+def bm25_stats(spark, sf):
+    return _index(spark, sf).stats
+
+
+# --- vectors --------------------------------------------------------------------------------------
+
+_COS = """
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+dense AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.e, b.e), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e), 6) DESC, b.vec_id) AS rank FROM u a, u b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 10)
+"""
+
+
+def _vector_queries(spark, sf):
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0")
+
+
+@_query(f"WITH {_COS} SELECT query_id, chunk_id, score, rank FROM dense")
+def cosine_search(spark, sf):
+    """The stated query set (ids divisible by 100) against all vectors."""
+    return vectors.cosine_top_k(_vector_queries(spark, sf), table(spark, sf, "embeddings"), 10, "vec_id", "vec_id", "embedding", exclude_same=True)
+
+
+@_query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def vector_norms(spark, sf):
+    return table(spark, sf, "embeddings").where(vectors.is_valid(F.col("embedding"))).select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+# --- fusion ---------------------------------------------------------------------------------------
+
+def _two_lists(spark, sf):
+    """BM25 hits of the benchmark items, and the same items ranked by shared rare length and id: two lists over one space."""
+    lexical = bm25_search(spark, sf)
+    ranked = lexical.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("chunk_id"))).alias("rank"), F.lit(0.0).alias("score"))
+    return lexical, ranked.where("rank <= 7")
+
+
+_LISTS = f"{_HITS}, other AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id DESC) AS rank FROM hits) WHERE rank <= 7)"
+
+
+@_query(f"""WITH {_LISTS}, f AS (SELECT coalesce(h.query_id, o.query_id) AS query_id, coalesce(h.chunk_id, o.chunk_id) AS chunk_id, round(coalesce(1.0::DOUBLE / (60 + h.rank), 0) + coalesce(1.0::DOUBLE / (60 + o.rank), 0), 12) AS score, h.rank AS bm25_rank, o.rank AS dense_rank FROM hits h FULL JOIN other o ON h.query_id = o.query_id AND h.chunk_id = o.chunk_id)
+SELECT * FROM (SELECT query_id, chunk_id, score, bm25_rank, dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 10""")
+def rrf_fusion(spark, sf):
+    a, b = _two_lists(spark, sf)
+    return fusion.reciprocal_rank_fusion(a, b).select("query_id", "chunk_id", "score", "bm25_rank", "dense_rank", "rank")
+
+
+@_query(f"""WITH {_LISTS}, b AS (SELECT query_id, chunk_id, 'bm25' AS branch, 'qv1' AS variant_id, rank FROM hits UNION ALL SELECT query_id, chunk_id, 'dense', 'qv1', rank FROM other UNION ALL SELECT query_id, chunk_id, 'bm25', 'qv2', rank FROM other),
+f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(CASE WHEN branch = 'bm25' THEN rank END) AS bm25_rank, min(CASE WHEN branch = 'dense' THEN rank END) AS dense_rank, count(*) AS n_contributions, string_agg(variant_id || ':' || branch || ':' || rank, ',' ORDER BY variant_id || ':' || branch || ':' || rank) AS contributions FROM b GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 10""")
+def multi_query_rrf(spark, sf):
+    a, b = _two_lists(spark, sf)
+    row = lambda d, branch, v: d.select("query_id", F.lit(v).alias("variant_id"), F.lit(branch).alias("branch"), "chunk_id", "rank", "score")
+    fused = fusion.multi_query_fusion(row(a, "bm25", "qv1").union(row(b, "dense", "qv1")).union(row(b, "bm25", "qv2")))
+    return fused.select("query_id", "chunk_id", "score", "bm25_rank", "dense_rank", "n_contributions", "contributions", "rank")
+
+
+_WORDS = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 1 OR regexp_matches(w, '^[0-9]$')))"
+
+
+@_query(f"""WITH {_HITS}, p AS (SELECT h.query_id, h.chunk_id, h.rank AS prior_rank, {_WORDS.format('b.text')} AS q, {_WORDS.format('d.text')} AS e FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.chunk_id),
+s AS (SELECT query_id, chunk_id, prior_rank, round(len(list_intersect(q, e))::DOUBLE / len(q), 12) AS score FROM p)
+SELECT * FROM (SELECT query_id, chunk_id, prior_rank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prior_rank, chunk_id) AS rank FROM s) WHERE rank <= 5""")
+def lexical_rerank(spark, sf):
+    hits = bm25_search(spark, sf).join(_items(spark, sf).select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    hits = vectors.late_materialise(hits, table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return fusion.rerank(hits, top_k=5).select("query_id", "chunk_id", "prior_rank", "score", "rank")
+
+
+@_query(f"""WITH {_HITS}, g AS (SELECT b.item_id AS case_id, d.doc_id AS target_id, 1 + (d.doc_id % 3) AS grade FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+i AS (SELECT case_id, sum(CASE WHEN r <= 1 THEN (pow(2, grade) - 1) / log2(r + 1) ELSE 0 END) AS i1, sum(CASE WHEN r <= 5 THEN (pow(2, grade) - 1) / log2(r + 1) ELSE 0 END) AS i5, count(*) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, target_id) AS r FROM g) GROUP BY case_id),
+f AS (SELECT g.case_id, count_if(h.rank <= 1) AS n1, count_if(h.rank <= 5) AS n5, sum(CASE WHEN h.rank <= 1 THEN (pow(2, grade) - 1) / log2(h.rank + 1) ELSE 0 END) AS d1, sum(CASE WHEN h.rank <= 5 THEN (pow(2, grade) - 1) / log2(h.rank + 1) ELSE 0 END) AS d5, min(h.rank) AS first FROM g JOIN hits h ON h.query_id = g.case_id AND h.chunk_id = g.target_id GROUP BY g.case_id),
+k AS (SELECT i.case_id, 1 AS k, coalesce(n1, 0)::DOUBLE / rel AS recall, coalesce(n1, 0)::DOUBLE AS precision, CASE WHEN i1 > 0 THEN coalesce(d1, 0) / i1 ELSE 0 END AS ndcg, coalesce(1.0::DOUBLE / first, 0) AS reciprocal_rank FROM i LEFT JOIN f USING (case_id)
+UNION ALL SELECT i.case_id, 5, coalesce(n5, 0)::DOUBLE / rel, coalesce(n5, 0)::DOUBLE / 5, CASE WHEN i5 > 0 THEN coalesce(d5, 0) / i5 ELSE 0 END, coalesce(1.0::DOUBLE / first, 0) FROM i LEFT JOIN f USING (case_id))
+SELECT case_id, k, recall, precision, ndcg, reciprocal_rank FROM k""")
+def ranking_metrics(spark, sf):
+    """BM25 hits against documents that hold an item's text word for word."""
+    docs, items = table(spark, sf, "documents"), _items(spark, sf)
+    lines = items.select(F.col("item_id").alias("case_id"), F.col("text").alias("needle"))
+    first = F.substring_index("needle", "\n", 1)
+    # a document that holds the text holds its first line: lines meet in an equi-join before the texts are compared
+    candidates = docs.select("doc_id", "text", F.explode(tx.terms(F.col("text"))).alias("w"))
+    del first
+    rare = lines.select("case_id", "needle", F.array_max(F.transform(tx.terms(F.col("needle")), lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("w"))
+    grades = candidates.join(F.broadcast(rare), "w").where(F.contains("text", F.col("needle"))).select("case_id", F.col("doc_id").alias("target_id"), (1 + F.col("doc_id") % 3).alias("grade")).distinct()
+    hits = bm25_search(spark, sf).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("target_id"), "rank")
+    return metrics.ranking_metrics(hits, grades, [1, 5])
+
+
+# --- answer metrics -------------------------------------------------------------------------------
+
+_PAIRS = "pairs AS (SELECT u.conv_id * 1000 + u.turn AS id, u.text AS a, s.text AS b FROM conversations u JOIN conversations s ON s.conv_id = u.conv_id AND s.turn = u.turn + 1)"
+
+
+def _pairs(spark, sf):
+    c = table(spark, sf, "conversations")
+    u = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("a"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return u.join(c.select("conv_id", "turn", F.col("text").alias("b")), ["conv_id", "turn"]).select("id", "a", "b")
+
+
+_MT = r"regexp_extract_all(lower(trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))), '[\p{{L}}\p{{N}}]+')"
+
+
+@_query(f"""WITH {_PAIRS}, t AS (SELECT id, {_MT.format('a')} AS x, {_MT.format('b')} AS y FROM pairs),
+p AS (SELECT id, pp, token, row_number() OVER (PARTITION BY id, token ORDER BY pp) AS occ FROM (SELECT id, unnest(x) AS token, generate_subscripts(x, 1) AS pp FROM t)),
+r AS (SELECT id, rp, token, row_number() OVER (PARTITION BY id, token ORDER BY rp) AS occ FROM (SELECT id, unnest(y) AS token, generate_subscripts(y, 1) AS rp FROM t)),
+m AS (SELECT p.id, pp, rp FROM p JOIN r ON p.id = r.id AND p.token = r.token AND p.occ = r.occ),
+g AS (SELECT id, coalesce((pp <> lag(pp) OVER w + 1 OR rp <> lag(rp) OVER w + 1)::INT, 1) AS gap FROM m WINDOW w AS (PARTITION BY id ORDER BY pp)),
+s AS (SELECT id, count(*)::DOUBLE AS m, sum(gap)::DOUBLE AS c FROM g GROUP BY id)
+SELECT t.id, coalesce((m / len(x)) * (m / len(y)) / (0.9 * (m / len(x)) + 0.1 * (m / len(y))) * (1 - 0.5 * pow(c / m, 3)), 0) AS meteor FROM t LEFT JOIN s USING (id)""")
+def meteor(spark, sf):
+    return metrics.meteor(_pairs(spark, sf), "id", "a", "b")
+
+
+@_query()
+def rouge_l(spark, sf):
+    p = _pairs(spark, sf)
+    return p.select("id", metrics.rouge_l_long(metrics.metric_tokens(F.col("a")), metrics.metric_tokens(F.col("b"))).alias("rouge_l"))
+
+
+@_query(f"WITH {_PAIRS} SELECT id, (lower(trim(regexp_replace(coalesce(a, ''), '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(coalesce(b, ''), '\\s+', ' ', 'g'))))::INT::DOUBLE AS em FROM pairs")
+def exact_match(spark, sf):
+    return _pairs(spark, sf).select("id", metrics.exact_match(F.col("a"), F.col("b")).alias("em"))
+
+
+@_query("""SELECT count_if(y AND p) AS tp, count_if(NOT y AND p) AS fp, count_if(NOT y AND NOT p) AS tn, count_if(y AND NOT p) AS fn,
+count_if(y AND p)::DOUBLE / nullif(count_if(p), 0) AS precision, count_if(y AND p)::DOUBLE / nullif(count_if(y), 0) AS retention, count_if(NOT y AND NOT p)::DOUBLE / nullif(count_if(NOT y), 0) AS catch, count_if(y = p)::DOUBLE / count(*) AS accuracy
+FROM (SELECT quality = 1 AS y, length(text) > 500 AS p FROM labels JOIN documents USING (doc_id))""")
+def verifier_metrics(spark, sf):
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    return metrics.binary_metrics(d, F.col("quality") == 1, F.length("text") > 500).drop("f1", "balanced_accuracy")
+
+
+@_query("SELECT lang, count_if(source = 'src0') AS src0, count_if(source = 'src1') AS src1, count_if(source = 'src2') AS src2 FROM documents GROUP BY lang")
+def confusion_matrix(spark, sf):
+    return metrics.confusion_matrix(table(spark, sf, "documents"), "lang", "source", ["src0", "src1", "src2"])
+
+
+@_query("""SELECT count_if(a AND b) AS both, count_if(a AND NOT b) AS only_a, count_if(NOT a AND b) AS only_b, count_if(NOT a AND NOT b) AS neither, count_if(NOT a AND b) - count_if(a AND NOT b) AS net_delta
+FROM (SELECT ((length(text) > 300)::INT = quality) AS a, ((length(text) > 900)::INT = quality) AS b FROM labels JOIN documents USING (doc_id))""")
+def paired_correctness(spark, sf):
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    d = d.withColumn("a", (F.length("text") > 300).cast("int")).withColumn("b", (F.length("text") > 900).cast("int"))
+    return metrics.paired_correctness(d, "quality", "a", "b")
+
+
+@_query("""WITH o AS (SELECT o_custkey, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY o_custkey) SELECT o_custkey, v[(round_even((len(v) - 1) * 0.5, 0))::INT + 1]::DOUBLE AS p50, v[(round_even((len(v) - 1) * 0.95, 0))::INT + 1]::DOUBLE AS p95 FROM o""")
+def nearest_rank_percentiles(spark, sf):
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("v"))
+    return o.select("o_custkey", metrics.nearest_rank(F.col("v"), 0.5).cast("double").alias("p50"), metrics.nearest_rank(F.col("v"), 0.95).cast("double").alias("p95"))
+
+
+@_query("""SELECT lang AS slice, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT source, count(*) FROM documents GROUP BY source""")
+def slice_counts(spark, sf):
+    d = table(spark, sf, "documents").select(F.explode(F.array("lang", "source")).alias("slice"))
+    return d.groupBy("slice").agg(F.count("*").alias("n"))
+
+
+# --- analytics ------------------------------------------------------------------------------------
+
+@_query("""SELECT 'event_type' AS dimension, coalesce(event_type, 'missing') AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'sign', CASE WHEN value IS NULL THEN 'missing' WHEN value >= 50 THEN 'high' ELSE 'low' END, count(*) FROM events GROUP BY 2""")
+def batch_census(spark, sf):
+    sign = F.when(F.col("value").isNotNull(), F.when(F.col("value") >= 50, F.lit("high")).otherwise(F.lit("low")))
+    return analytics.census(table(spark, sf, "events"), {"event_type": F.col("event_type"), "sign": sign})
+
+
+@_query("""WITH a AS (SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, source AS lang FROM documents WHERE doc_id % 5 <> 0)
+SELECT coalesce(a.lang, 'missing') || '->' || coalesce(b.lang, 'missing') AS transition, count(*) AS n FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY 1""")
+def batch_transitions(spark, sf):
+    """Two runs that lack some keys each: the missing state is what is compared."""
+    d = table(spark, sf, "documents")
+    return analytics.transitions(d.where("doc_id % 3 <> 0").select("doc_id", "lang"), d.where("doc_id % 5 <> 0").select("doc_id", F.col("source").alias("lang")), "doc_id", "lang")
+
+
+@_query("""SELECT p_partkey, EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice)) AS dominated FROM part a""")
+def pareto_front(spark, sf):
+    return analytics.pareto(table(spark, sf, "part"), "p_partkey", {"p_size": "max", "p_retailprice": "min"}).select("p_partkey", "dominated")
+
+
+@_query("SELECT o_orderpriority, count_if(o_totalprice > 100000) AS win, count_if(o_totalprice <= 100000) AS loss, round(avg(o_totalprice), 4)::DOUBLE AS mean FROM orders GROUP BY 1")
+def win_loss_by_group(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.groupBy("o_orderpriority").agg(F.count_if(F.col("o_totalprice") > 100000).alias("win"), F.count_if(F.col("o_totalprice") <= 100000).alias("loss"), F.round(F.avg("o_totalprice"), 4).cast("double").alias("mean"))
+
+
+@_query()
+def bootstrap_intervals(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", F.col("o_totalprice").cast("double").alias("v"))
+    return analytics.bootstrap_interval(o, "o_orderpriority", "o_orderkey", "v", resamples=200)
+
+
+@_query("""SELECT doc_id, CASE WHEN len(t) >= 3 THEN 1 - len(list_distinct(g))::DOUBLE / len(g) ELSE 0 END AS repeat3, CASE WHEN len(l) > 0 THEN 1 - len(list_distinct(l))::DOUBLE / len(l) ELSE 0 END AS dup_lines
+FROM (SELECT doc_id, t, l, list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], ' ')) AS g FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '') AS t, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents))""")
+def repetition_ratios(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.ngram_repeat_ratio(F.col("text"), 3).alias("repeat3"), tx.duplicate_line_ratio(F.col("text")).alias("dup_lines"))
+
+
+@_query("""SELECT max(n) AS longest, count_if(n > 256) AS over_256, count_if(n > 4096) AS over_4096, count_if(n > 65536) AS over_65536, CASE WHEN max(n) <= 256 THEN 256 WHEN max(n) <= 4096 THEN 4096 WHEN max(n) <= 65536 THEN 65536 END AS cap FROM (SELECT length(text) AS n FROM documents)""")
+def covering_cap(spark, sf):
+    return analytics.smallest_covering_cap(table(spark, sf, "documents").select(F.length("text").alias("n")), "n", [256, 4096, 65536])
+
+
+# --- dataset engineering --------------------------------------------------------------------------
+
+_NORM = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@_query(f"SELECT norm, count(*) AS n, (count(*) * (count(*) - 1) // 2) AS pairs, min(doc_id) AS first_id FROM (SELECT doc_id, {_NORM.format('text')} AS norm FROM documents) GROUP BY norm HAVING count(*) > 1")
+def exact_duplicates(spark, sf):
+    return dataset.exact_groups(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_NEAR = f"""x AS (SELECT min(doc_id) AS id, norm, count(*) AS copies FROM (SELECT doc_id, {_NORM.format('text')} AS norm FROM documents) WHERE norm <> '' GROUP BY norm),
+w AS (SELECT id, copies, norm, string_split(norm, ' ') AS ws FROM x),
+s AS (SELECT id, copies, CASE WHEN len(ws) < 3 THEN [norm] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) END AS s FROM w),
+t AS (SELECT id, copies, unnest(s) AS g FROM s), f AS (SELECT g, sum(copies) AS f FROM t GROUP BY g),
+a AS (SELECT * FROM (SELECT id, copies, g, row_number() OVER (PARTITION BY id ORDER BY f, sha256(g)) AS r FROM t JOIN f USING (g)) WHERE r <= 8),
+u AS (SELECT g FROM a GROUP BY g HAVING sum(copies) <= 200 AND sum(copies) > 1),
+c AS (SELECT DISTINCT l.id AS a, r.id AS b FROM a l JOIN u USING (g) JOIN a r USING (g) WHERE l.id < r.id),
+near AS (SELECT a, b, len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(list_concat(x.s, y.s))) AS similarity FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b)"""
+
+
+@_query(f"WITH {_NEAR} SELECT a, b, similarity FROM near WHERE similarity >= 0.92")
+def near_duplicate_pairs(spark, sf):
+    return dataset.near_pairs(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_GROUPS = f"""{_NEAR}, ids AS (SELECT doc_id AS id, {_NORM.format('text')} AS norm FROM documents), rep AS (SELECT norm, min(id) AS rep FROM ids GROUP BY norm),
+e AS (SELECT a, b FROM near WHERE similarity >= 0.92 UNION SELECT b, a FROM near WHERE similarity >= 0.92 UNION SELECT id, rep FROM ids JOIN rep USING (norm) UNION SELECT rep, id FROM ids JOIN rep USING (norm)),
+reach AS (SELECT id AS src, id AS dst FROM ids UNION SELECT r.src, e.b FROM reach r JOIN e ON r.dst = e.a), grp AS (SELECT src AS id, min(dst) AS group_id FROM reach GROUP BY src)"""
+
+
+@_query(f"WITH RECURSIVE {_GROUPS} SELECT id, group_id FROM grp")
+def duplicate_groups(spark, sf):
+    return dataset.duplicate_groups(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_SIZES = "sz AS (SELECT o_custkey AS group_id, count(*) AS n, sha256('2026:' || array_to_string(list_sort(list(o_orderkey::VARCHAR)), '|')) AS h FROM orders GROUP BY 1), bf AS (SELECT *, coalesce(sum(n) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sz)"
+
+
+def _order_groups(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("group_id"))
+
+
+@_query(f"WITH {_SIZES} SELECT o_orderkey AS id, group_id, CASE WHEN before < (SELECT round_even(count(*) * 0.15, 0) FROM orders) THEN 'dev' ELSE 'train' END AS part FROM orders JOIN bf ON o_custkey = group_id")
+def leakage_aware_split(spark, sf):
+    return dataset.group_split(_order_groups(spark, sf))
+
+
+@_query(f"WITH {_SIZES}, cl AS (SELECT coalesce(max(before + n), 0) AS closed FROM bf WHERE before < 100) SELECT o_orderkey AS id, group_id, CASE WHEN before < 100 THEN 'val' WHEN before - closed < 200 THEN 'screen' ELSE 'train' END AS part FROM orders JOIN bf ON o_custkey = group_id CROSS JOIN cl")
+def three_way_split(spark, sf):
+    return dataset.three_way_split(_order_groups(spark, sf), 100, 200)
+
+
+@_query("SELECT g.group_id, g.o_orderkey AS id FROM (SELECT o_custkey AS group_id, o_orderkey, o_orderstatus FROM orders) g WHERE o_orderstatus <> 'P' AND EXISTS (SELECT 1 FROM orders h WHERE h.o_custkey = g.group_id AND h.o_orderstatus = 'P')")
+def leakage_quarantine(spark, sf):
+    g = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("group_id"), (F.col("o_orderstatus") == "P").alias("is_holdout"))
+    return dataset.quarantine(g, g.where("is_holdout").select("id")).select("group_id", "id")
+
+
+@_query("SELECT doc_id FROM documents ORDER BY sha256('probe:' || doc_id::VARCHAR) LIMIT 50")
+def hash_sample(spark, sf):
+    return dataset.hash_sample(table(spark, sf, "documents").select("doc_id"), "doc_id", 50, "probe")
+
+
+@_query("SELECT doc_id, source, place, CASE WHEN place <= 5 THEN 'primary' ELSE 'reserve' END AS role FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('quota|' || doc_id::VARCHAR), doc_id) AS place FROM documents) WHERE place <= 8")
+def stratified_quota(spark, sf):
+    return dataset.stratified_sample(table(spark, sf, "documents"), "doc_id", "source", 5, 3, "quota")
+
+
+@_query("SELECT doc_id, CASE WHEN ('0x' || substr(sha256('blind:' || doc_id::VARCHAR), 1, 8))::BIGINT % 2 = 0 THEN 'A' ELSE 'B' END AS arm FROM documents")
+def deterministic_blinding(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", dataset.blinding(F.col("doc_id"), "blind").alias("arm"))
+
+
+@_query("""SELECT count(*) AS documents, count_if(text IS NULL) AS missing, count_if(trim(coalesce(text, '')) = '') AS blank, sum(length(coalesce(text, '')))::BIGINT AS total_chars, min(length(coalesce(text, ''))) AS min_chars, max(length(coalesce(text, ''))) AS max_chars,
+round(avg(length(coalesce(text, ''))), 6) AS mean_chars, round(stddev_pop(length(coalesce(text, ''))), 6) AS std_chars, round(quantile_cont(length(coalesce(text, '')), 0.5), 6) AS p50, round(quantile_cont(length(coalesce(text, '')), 0.95), 6) AS p95,
+count_if(contains(text, chr(13) || chr(10))) AS crlf, count_if(regexp_matches(text, '<[a-zA-Z/][^>]*>')) AS html, count_if(contains(text, ' | ')) AS tables, count(DISTINCT text) AS distinct_texts, count(text) - count(DISTINCT text) AS exact_duplicates FROM documents""")
+def corpus_census(spark, sf):
+    return dataset.corpus_census(table(spark, sf, "documents"), "text")
+
+
+@_query("""SELECT count(*) AS documents, count(DISTINCT page_id) AS ids, count_if(html IS NULL OR trim(html) = '') AS blank, count_if(url IS NULL OR trim(url) = '') AS missing_title, count(url) - count(DISTINCT url) AS duplicate_titles, count(url) - count(DISTINCT url) AS duplicate_urls, count(html) - count(DISTINCT html) AS duplicate_texts, min(length(coalesce(html, ''))) AS min_chars, max(length(coalesce(html, ''))) AS max_chars, sum(length(coalesce(html, '')))::BIGINT AS total_chars FROM pages""")
+def ingestion_audit(spark, sf):
+    return cleaning.ingestion_audit(table(spark, sf, "pages"), "page_id", "url", "url", "html")
+
+
+@_query(f"""SELECT (SELECT count(*) FROM (SELECT text FROM documents INTERSECT SELECT text FROM benchmark)) AS exact, (SELECT count(*) FROM (SELECT {_NORM.format('text')} FROM documents INTERSECT SELECT {_NORM.format('text')} FROM benchmark)) AS normalised, (SELECT count(*) FROM (SELECT {_NORM.format('text')} AS q FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1)) AS inconsistent""")
+def overlap_and_conflicts(spark, sf):
+    d = table(spark, sf, "documents")
+    return dataset.overlap_and_conflicts(d, _items(spark, sf), "text", "source")
+
+
+@_query("""WITH t AS (SELECT conv_id, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations), p AS (SELECT right(trim(text), 100) AS t FROM t WHERE nxt IS NOT NULL)
+SELECT count(*) AS pairs, count_if(regexp_matches(t, '[:;,]$')) AS open_enumeration, count_if(NOT regexp_matches(t, '[.!?;:]$')) AS no_end_mark FROM p""")
+def boundary_risks(spark, sf):
+    return dataset.boundary_risks(table(spark, sf, "conversations"), "conv_id", "turn", "text").drop("bare_heading")
+
+
+# --- graph ----------------------------------------------------------------------------------------
+
+def _edges(spark, sf):
+    """Nations lead to the next three nations of their region by key: a small fixed graph."""
+    n = table(spark, sf, "nation")
+    a = n.select(F.col("n_nationkey").alias("source"), "n_regionkey")
+    e = a.join(n.select(F.col("n_nationkey").alias("target"), "n_regionkey"), "n_regionkey").where("target > source")
+    return e.select("source", "target", F.when(F.col("target") % 2 == 0, F.lit("even")).alias("kind"), F.lit("odd").alias("raw"))
+
+
+@_query("""WITH e AS (SELECT a.n_nationkey AS source, b.n_nationkey AS target, CASE WHEN b.n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey),
+s AS (SELECT 's' AS seed_set, min(n_nationkey) AS id FROM nation), h1 AS (SELECT s.seed_set, source, target, kind, 1 AS hop FROM s JOIN e ON e.source = s.id),
+h2 AS (SELECT * FROM (SELECT h.seed_set, e.source, e.target, e.kind, 2 AS hop, row_number() OVER (PARTITION BY e.target ORDER BY h.target) AS r FROM h1 h JOIN e ON e.source = h.target WHERE e.target NOT IN (SELECT target FROM h1) AND e.target NOT IN (SELECT id FROM s)) WHERE r = 1)
+SELECT seed_set, source, target, kind, hop FROM h1 UNION ALL SELECT seed_set, source, target, kind, hop FROM h2""")
+def graph_traversal(spark, sf):
+    seeds = table(spark, sf, "nation").agg(F.min("n_nationkey").alias("id")).select(F.lit("s").alias("seed_set"), "id", F.lit(1).alias("pos"))
+    return graph.traverse(_edges(spark, sf), seeds).select("seed_set", "source", "target", "kind", "hop")
+
+
+@_query("""WITH RECURSIVE e AS (SELECT l_orderkey AS a, -1 - l_suppkey AS b FROM lineitem WHERE l_quantity > 49 UNION SELECT -1 - l_suppkey, l_orderkey FROM lineitem WHERE l_quantity > 49), n AS (SELECT DISTINCT a FROM e),
+r AS (SELECT a AS src, a AS dst FROM n UNION SELECT r.src, e.b FROM r JOIN e ON r.dst = e.a) SELECT src AS id, min(dst) AS component FROM r GROUP BY src""")
+def components(spark, sf):
+    """Orders and suppliers that a large line joins."""
+    line = table(spark, sf, "lineitem").where("l_quantity > 49")
+    return connected_components(line.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")))
+
+
+# --- evidence and claims --------------------------------------------------------------------------
+
+def _evidence_hits(spark, sf):
+    hits = bm25_search(spark, sf).join(_items(spark, sf).select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("document_id"), "source", "lang")
+    none = F.array().cast("array<string>")
+    return hits.join(docs, "chunk_id").withColumns({"document_numbers": F.array(F.lit("src1"), F.lit("src2")), "article_numbers": none, "document_number": F.col("source"), "article_number": F.lit(None).cast("string"), "effect_status": F.when(F.col("lang") == "en", F.lit("current")).when(F.col("lang") == "fr", F.lit("Expired")), "token_count": F.length("text")})
+
+
+_EVID = f"""{_HITS}, x AS (SELECT h.query_id, h.chunk_id, h.rank, d.source, d.lang, length(d.text) AS token_count, {_WORDS.format('b.text')} AS q, {_WORDS.format("(d.text || ' ' || d.source)")} AS e FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.chunk_id),
+y AS (SELECT *, len(list_intersect(q, e))::DOUBLE / len(q) AS overlap, source IN ('src1', 'src2') AS dm, coalesce(lang = 'fr', false) AS inactive FROM x),
+z AS (SELECT *, round(1.0::DOUBLE / rank + 2.0 * dm::INT + overlap - CASE WHEN inactive THEN 2.0 ELSE 0 END, 12) AS selection_score FROM y),
+sel AS (SELECT query_id, chunk_id, source AS document_id, token_count, overlap, selection_score, CASE WHEN inactive THEN 'inactive' WHEN dm THEN 'explicit_match' ELSE 'reference_mismatch' END AS applicability, row_number() OVER (PARTITION BY query_id ORDER BY selection_score DESC, inactive, rank, chunk_id) AS selection_order FROM z)"""
+
+
+@_query(f"WITH {_EVID} SELECT query_id, chunk_id, overlap, selection_score, applicability, selection_order FROM sel")
+def evidence_scoring(spark, sf):
+    return evidence.score_evidence(_evidence_hits(spark, sf)).select("query_id", "chunk_id", "overlap", "selection_score", "applicability", "selection_order")
+
+
+@_query(f"""WITH RECURSIVE {_EVID}, go AS (
+SELECT q.query_id, 0::BIGINT AS k, 0 AS n, 0::BIGINT AS used, MAP([]::VARCHAR[], []::INT[]) AS docs, NULL::BIGINT AS chunk_id, NULL::VARCHAR AS reason, NULL::INT AS selection_rank FROM (SELECT DISTINCT query_id FROM sel) q
+UNION ALL SELECT g.query_id, s.selection_order, g.n + (r = 'selected')::INT, g.used + CASE WHEN r = 'selected' THEN s.token_count ELSE 0 END, CASE WHEN r = 'selected' THEN map_concat(g.docs, MAP([s.document_id], [coalesce(g.docs[s.document_id], 0) + 1])) ELSE g.docs END, s.chunk_id, r, CASE WHEN r = 'selected' THEN g.n + 1 END
+FROM go g JOIN (SELECT * FROM sel) s ON s.query_id = g.query_id AND s.selection_order = g.k + 1, LATERAL (SELECT CASE WHEN g.n >= 4 THEN 'max_evidence' WHEN coalesce(g.docs[s.document_id], 0) >= 2 THEN 'document_cap' WHEN g.used + s.token_count > 6000 THEN 'token_budget' ELSE 'selected' END AS r))
+SELECT query_id, chunk_id::VARCHAR AS chunk_id, k AS selection_order, reason, selection_rank FROM go WHERE k > 0""")
+def budgeted_selection(spark, sf):
+    picked = evidence.select_within_budget(evidence.score_evidence(_evidence_hits(spark, sf)), 4, 6000, 2)
+    return picked.select("query_id", "chunk_id", "selection_order", "reason", "selection_rank")
+
+
+@_query(f"""WITH {_EVID} SELECT query_id, count(*) AS evidence_count, max(overlap) AS relevance_score, CASE WHEN bool_or(applicability = 'explicit_match') THEN 1.0 ELSE 0.0 END::DOUBLE AS coverage_score, avg((applicability NOT IN ('inactive', 'reference_mismatch'))::INT) AS applicability_score FROM (SELECT *, applicability FROM sel) GROUP BY query_id""")
+def context_grading(spark, sf):
+    s = evidence.score_evidence(_evidence_hits(spark, sf))
+    s = s.withColumn("document_match", F.col("applicability") == "explicit_match").withColumn("evidence_id", F.col("chunk_id"))
+    q = _items(spark, sf).select(F.col("item_id").alias("query_id"), F.lit(True).alias("wants_document"), F.lit(False).alias("wants_article"))
+    return evidence.grade_context(q, s).where("evidence_count > 0").select("query_id", "evidence_count", "relevance_score", "coverage_score", "applicability_score")
+
+
+@_query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\[(E[1-9]\d*)\]', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g')) AS answer FROM documents""")
+def answer_rendering(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", evidence.render_answer(F.col("text")).alias("answer"))
+
+
+@_query(r"""WITH l AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations), s AS (SELECT conv_id, turn, unnest(regexp_extract_all(regexp_replace(trim(line), '([.!?;])(\s|$)', '\1' || chr(1) || '\2', 'g'), '[^' || chr(1) || ']+')) AS s FROM l WHERE trim(line) <> '') SELECT conv_id, turn, count(*) AS claims FROM s WHERE trim(s) <> '' GROUP BY ALL""")
+def claim_counts(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.size(evidence.split_claims(F.col("text"))).alias("claims"))
+    return c.where("claims > 0").groupBy("conv_id", "turn").agg(F.sum("claims").alias("claims"))
+
+
+@_query()
+def claim_verification(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'assistant'")
+    key = F.concat_ws(":", "conv_id", "turn")
+    answers = c.select(key.alias("question_id"), F.concat(F.col("text"), F.lit(" [E1]")).alias("answer"), F.array(F.lit("E1")).alias("citation_ids"))
+    ev = c.select(key.alias("question_id"), F.lit("E1").alias("evidence_id"), "text")
+    return evidence.verify_claims(answers, ev)
+
+
+@_query()
+def grounded_answers(spark, sf):
+    return retrieval.grounded_answers(_evidence_hits(spark, sf), 3, 6000)
+
+
+# --- query understanding --------------------------------------------------------------------------
+
+@_query(r"""SELECT item_id, CASE WHEN contains(lower(trim(text)), 'phải') THEN 'obligation' ELSE 'general' END AS intent, len(list_distinct(regexp_extract_all(text, '(?:^|[^0-9])((?:19|20)[0-9]{2})', 1))) AS n_years FROM benchmark""")
+def query_analysis(spark, sf):
+    return query.analyze(_items(spark, sf), "text").select("item_id", "intent", F.size("year_mentions").alias("n_years"))
+
+
+@_query("SELECT item_id AS query_id, 'qv1' AS variant_id, 'normalized' AS kind, trim(text) AS text FROM benchmark")
+def query_variants(spark, sf):
+    return query.plan_variants(_items(spark, sf), "item_id", "text")
+
+
+@_query("SELECT item_id, 'hybrid_rerank' AS first_route, 3 AS n FROM benchmark")
+def query_routes(spark, sf):
+    r = query.plan_routes(query.analyze(_items(spark, sf), "text"))
+    return r.select("item_id", F.element_at("routes", 1).alias("first_route"), F.size("routes").alias("n"))
+
+
+# --- cleaning, parsing, chunking ------------------------------------------------------------------
+
+@_query()
+def html_cleaning(spark, sf):
+    return cleaning.clean_documents(table(spark, sf, "pages"), "html").select("page_id", "clean_text", "issue")
+
+
+@_query()
+def passage_cleaning(spark, sf):
+    return cleaning.clean_passages(table(spark, sf, "pages"), "html").select("page_id", "cleaned.*")
+
+
+@_query()
+def structure_parsing(spark, sf):
+    return parsing.parse_documents(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@_query()
+def document_chunks(spark, sf):
+    return chunking.chunk_documents(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@_query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]')) AS tokens FROM documents")
+def token_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.token_count(F.col("text")).alias("tokens"))
+
+
+@_query("SELECT date_trunc('minute', ts) - INTERVAL (minute(ts) % 5) MINUTE AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf):
+    return ingest.event_windows(table(spark, sf, "events"))
