@@ -105,9 +105,9 @@ WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(tex
 iw AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
 win AS (SELECT DISTINCT item_id::VARCHAR AS item_id, least(len(ws), 10) AS l, unnest(list_transform(range(1, greatest(len(ws) - 10, 0) + 2), lambda i: array_to_string(ws[i:i+least(len(ws), 10)-1], ' '))) AS w FROM iw WHERE len(ws) > 0),
 lens AS (SELECT DISTINCT l FROM win),
-dwin AS (SELECT doc_id, l, unnest(range(1, len(ws) - l + 2)) AS at, unnest(list_transform(range(1, len(ws) - l + 2), lambda i: array_to_string(ws[i:i+l-1], ' '))) AS w FROM dw, lens WHERE len(ws) >= l),
-hit AS (SELECT d.doc_id, d.at, d.l, win.item_id FROM dwin d JOIN win ON d.w = win.w AND d.l = win.l),
-pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + l)) AS p FROM hit) GROUP BY doc_id),
+dwin AS (SELECT doc_id, l, unnest(range(1, len(ws) - l + 2)) AS first_word, unnest(list_transform(range(1, len(ws) - l + 2), lambda i: array_to_string(ws[i:i+l-1], ' '))) AS w FROM dw, lens WHERE len(ws) >= l),
+hit AS (SELECT d.doc_id, d.first_word, d.l, win.item_id FROM dwin d JOIN win ON d.w = win.w AND d.l = win.l),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(first_word, first_word + l)) AS p FROM hit) GROUP BY doc_id),
 it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id, ',' ORDER BY item_id)) AS items_sha256 FROM hit GROUP BY doc_id)
 SELECT dw.doc_id, len(dw.ws)::BIGINT AS n_words, coalesce(pos.n_hit, 0)::BIGINT AS n_hit, coalesce(it.n_items, 0)::BIGINT AS n_items, coalesce(it.items_sha256, sha256('')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
