@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as tx
-from textquarry.operators import analytics, bm25, chunking, cleaning, dataset, evidence, fusion, graph, metrics, parsing, query, vectors
+from textquarry.operators import analytics, bm25, chunking, cleaning, dataset, diagnostics, evidence, fusion, graph, metrics, parsing, query, vectors, verdicts
 from textquarry.operators.components import connected_components
 from textquarry.plans import retrieval
 from textquarry.session import table
@@ -517,3 +517,99 @@ def token_counts(spark, sf):
 @_query("SELECT date_trunc('minute', ts) - INTERVAL (minute(ts) % 5) MINUTE AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf):
     return ingest.event_windows(table(spark, sf, "events"))
+
+
+# --- diagnostics, gates, verdicts ------------------------------------------------------------------
+
+def _diagnosed(spark, sf):
+    a, b = _two_lists(spark, sf)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), "text")
+    items = _items(spark, sf)
+    return diagnostics.diagnose(items.select(F.col("item_id").alias("query_id")), a, b, a.join(docs, "chunk_id"), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("answer")), 0.8, 0.9)
+
+
+_DIAG = f"""{_LISTS}, o AS (SELECT coalesce(h.query_id, x.query_id) AS query_id, count_if(h.chunk_id IS NOT NULL AND x.chunk_id IS NOT NULL) AS overlap, count(*) AS u FROM hits h FULL JOIN other x ON h.query_id = x.query_id AND h.chunk_id = x.chunk_id GROUP BY 1),
+hd AS (SELECT h.query_id, d.source, d.text FROM hits h JOIN documents d ON d.doc_id = h.chunk_id), dv AS (SELECT query_id, count(DISTINCT source)::DOUBLE / count(*) AS diversity, count(*) AS n FROM hd GROUP BY 1),
+wt AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS.format('text')})) AS t FROM benchmark), ht AS (SELECT DISTINCT query_id, unnest(list_distinct({_TERMS.format('text')})) AS t FROM hd),
+cv AS (SELECT wt.query_id, count(ht.t)::DOUBLE / count(*) AS coverage FROM wt LEFT JOIN ht ON ht.query_id = wt.query_id AND ht.t = wt.t GROUP BY 1),
+dg AS (SELECT b.item_id AS query_id, coalesce(overlap, 0) AS overlap, coalesce(overlap::DOUBLE / u, 0) AS jaccard, coalesce(diversity, 0) AS diversity, coalesce(coverage, 0) AS coverage, coalesce(n, 0) AS n FROM benchmark b LEFT JOIN o ON o.query_id = b.item_id LEFT JOIN dv ON dv.query_id = b.item_id LEFT JOIN cv ON cv.query_id = b.item_id)"""
+
+
+@_query(f"WITH {_DIAG} SELECT query_id, overlap, jaccard, diversity, coverage FROM dg")
+def retrieval_diagnostics(spark, sf):
+    return _diagnosed(spark, sf).select("query_id", "overlap", "jaccard", "diversity", "coverage")
+
+
+@_query(f"""WITH {_DIAG}, s AS (SELECT unnest(['no_bm25_hits', 'no_dense_hits', 'no_hybrid_hits']) AS signal FROM dg WHERE n = 0 UNION ALL SELECT 'low_document_diversity' FROM dg WHERE n > 0 AND diversity < 0.8 UNION ALL SELECT 'low_answer_term_coverage' FROM dg WHERE coverage < 0.9 UNION ALL SELECT 'zero_branch_overlap' FROM dg WHERE n > 0 AND overlap = 0) SELECT signal, count(*) AS n FROM s GROUP BY signal""")
+def diagnostic_signals(spark, sf):
+    return diagnostics.signal_report(_diagnosed(spark, sf))
+
+
+@_query(f"""WITH {_LISTS}, j AS (SELECT coalesce(h.query_id, x.query_id) AS query_id, h.chunk_id AS a, x.chunk_id AS b FROM (SELECT * FROM hits WHERE rank <= 4) h FULL JOIN (SELECT * FROM other WHERE rank <= 4) x ON h.query_id = x.query_id AND h.chunk_id = x.chunk_id)
+SELECT query_id, count_if(a IS NOT NULL AND b IS NOT NULL) AS overlap, count_if(a IS NOT NULL AND b IS NOT NULL)::DOUBLE / count(*) AS jaccard, count_if(a IS NULL) AS entrants, count_if(b IS NULL) AS displaced FROM j GROUP BY query_id""")
+def pool_churn(spark, sf):
+    a, b = _two_lists(spark, sf)
+    return analytics.pool_churn(a, b, 4)
+
+
+@_query("""WITH c AS (SELECT o_orderpriority AS candidate_id, avg(o_totalprice)::DOUBLE AS quality, count(*)::DOUBLE AS cost FROM orders GROUP BY 1), b AS (SELECT quality AS q, cost AS k FROM c WHERE candidate_id LIKE '1%')
+SELECT candidate_id, CASE WHEN cost > 1e9 THEN 'objective_threshold_failed:cost' ELSE concat_ws(',', CASE WHEN quality < q - 100 THEN 'objective_regression_failed:quality' END, CASE WHEN cost > k + 5 THEN 'objective_regression_failed:cost' END) END AS reasons FROM c, b""")
+def candidate_gates(spark, sf):
+    c = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("candidate_id")).agg(F.avg("o_totalprice").cast("double").alias("quality"), F.count("*").cast("double").alias("cost"))
+    base = "1-URGENT"
+    g = diagnostics.gate_candidates(c, {"quality": ("max", None, 100.0), "cost": ("min", 1e9, 5.0)}, base)
+    return g.select("candidate_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@_query("""WITH n AS (SELECT n_nationkey AS needle_id, regexp_replace(lower(n_name), '[^a-z0-9]+', '', 'g') AS slug FROM nation), t AS (SELECT c_custkey AS title_id, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS slug FROM customer), r AS (SELECT r_regionkey + 100 AS needle_id, 'customer' || lpad((r_regionkey)::VARCHAR, 8, '0') AS slug FROM region),
+a AS (SELECT * FROM n UNION ALL SELECT * FROM r), l AS (SELECT a.needle_id, count(*) AS n FROM a JOIN t ON contains(t.slug, a.slug) AND length(a.slug) >= 4 GROUP BY 1)
+SELECT a.needle_id, CASE WHEN l.n = 1 THEN 'unambiguous' WHEN l.n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS state FROM a LEFT JOIN l USING (needle_id)""")
+def linkability(spark, sf):
+    """Short names against the customers' names, by containment of slugs."""
+    clean = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("needle_id"), clean("n_name").alias("slug"))
+    r = table(spark, sf, "region").select((F.col("r_regionkey") + 100).alias("needle_id"), F.concat(F.lit("customer"), F.lpad(F.col("r_regionkey").cast("string"), 8, "0")).alias("slug"))
+    needles = n.union(r)
+    titles = table(spark, sf, "customer").select(F.col("c_custkey").alias("title_id"), clean("c_name").alias("slug"))
+    return diagnostics.linkability(diagnostics.containment_links(needles, titles), needles)
+
+
+@_query(f"""WITH {_HITS}, l AS (SELECT b.item_id AS query_id, d.doc_id AS document_id FROM benchmark b JOIN documents d ON d.text = b.text UNION SELECT item_id, item_id FROM benchmark), r AS (SELECT l.query_id, l.document_id, min(h.rank) AS r FROM l LEFT JOIN hits h ON h.query_id = l.query_id AND h.chunk_id = l.document_id GROUP BY ALL)
+SELECT count(*) AS links, avg(coalesce((r <= 1)::INT, 0)) AS recall_1, avg(coalesce((r <= 5)::INT, 0)) AS recall_5, avg(coalesce((r <= 10)::INT, 0)) AS recall_10 FROM r""")
+def retrieval_proxy(spark, sf):
+    items = _items(spark, sf)
+    same = items.select(F.col("item_id").alias("query_id"), "text").join(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text"), "text").select("query_id", "document_id")
+    links = same.union(items.select("item_id", "item_id")).distinct()
+    hits = bm25_search(spark, sf).select("query_id", F.col("chunk_id").alias("document_id"), "rank")
+    return diagnostics.proxy_recall(hits, links, (1, 5, 10))
+
+
+@_query("""SELECT 'table' AS marker, count_if(regexp_matches(text, ' \\| ')) AS documents FROM documents UNION ALL SELECT 'number', count_if(regexp_matches(text, '[0-9]{4,}')) FROM documents UNION ALL SELECT 'heading', count_if(regexp_matches(text, '(?m)^[A-Z][^ ]*\\.$')) FROM documents""")
+def marker_census(spark, sf):
+    return diagnostics.marker_census(table(spark, sf, "documents"), "text", {"table": r" \| ", "number": "[0-9]{4,}", "heading": r"(?m)^[A-Z][^ ]*\.$"})
+
+
+@_query()
+def chunk_census(spark, sf):
+    return diagnostics.chunk_census(document_chunks(spark, sf))
+
+
+@_query("""SELECT doc_id, CASE WHEN quality = 1 AND toxic = 1 THEN 'contradicted' WHEN quality = 1 THEN 'supported' ELSE 'insufficient' END AS label, quality = 1 AND toxic = 1 AS overridden FROM labels""")
+def verdict_derivation(spark, sf):
+    lab = table(spark, sf, "labels")
+    base = lab.withColumn("base", verdicts.by_relation(F.when(F.col("quality") == 1, F.lit("ENTAILS")).otherwise(F.lit("DOES_NOT_ESTABLISH")))).withColumn("same", F.col("quality") == 1).withColumn("cannot", (F.col("quality") == 1) & (F.col("toxic") == 1))
+    return verdicts.overridden(base, "base", "same", "cannot").select("doc_id", "label", "overridden")
+
+
+@_query()
+def answer_recovery(spark, sf):
+    """Event properties as malformed answers: none is one."""
+    e = table(spark, sf, "events").select("event_id", verdicts.recover_answers(F.col("props")).alias("r"))
+    return e.groupBy("r.outcome").agg(F.count("*").alias("n"))
+
+
+@_query()
+def rouge_l_ascii(spark, sf):
+    """ROUGE-L over ASCII tokens, where marks split words."""
+    t = lambda c: F.filter(F.split(F.lower(F.col(c)), "[^a-z0-9]+"), lambda w: w != "")
+    return _pairs(spark, sf).select("id", metrics.rouge_l_long(t("a"), t("b")).alias("rouge_l"))
