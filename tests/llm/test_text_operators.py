@@ -1,0 +1,198 @@
+import hashlib
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import tiktoken
+from pyspark.sql import functions as F
+
+from textquarry.llm import bytebpe, ctw, langid, quality, secrets, tokencount, toxicity
+
+VOCABULARY, MODEL = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_byte_bpe_as_the_library(spark, odd, empty):
+    ranks = bytebpe.read_ranks(VOCABULARY)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe, rng = bytebpe.ByteBPE(ranks, public_tokenizers.PATTERN), random.Random(1)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "the", " ", "  ", "\n", "\t", "é", "🙂", "'s", "1", ".", "ing", "　", "\xa0"]) for _ in range(rng.randint(0, 60)))
+        assert bpe.encode(t) == lib.encode_ordinary(t) and bpe.decode(bpe.encode(t)).decode() == t
+    rows = bytebpe.encode_texts(odd, VOCABULARY, public_tokenizers.PATTERN, extra=("text",)).collect()
+    assert len(rows) == odd.count()
+    for r in rows:
+        want = lib.encode_ordinary(r.text or "")
+        assert r.ids == want and r.n_tokens == len(want) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert bytebpe.encode_texts(empty, VOCABULARY, public_tokenizers.PATTERN).count() == 0
+
+
+def test_token_counts_as_the_library(spark, odd, empty):
+    sp, counter, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), tokencount.PieceCounter(MODEL), random.Random(2)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "the", " ", "  ", "\n", "▁", "é", "🙂", "'s", "1", ".", "ing", "<s>", "\x00"]) for _ in range(rng.randint(0, 60)))
+        assert counter.count(t) == len(sp.encode(t)), t
+    for r in tokencount.count_tokens(odd, MODEL, 100, extra=("text",)).collect():
+        n = len(sp.encode(r.text or ""))
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((r.text or "").encode()), n > 100)
+    assert tokencount.count_tokens(empty, MODEL).count() == 0
+
+
+def test_language_id_learns_and_rejects_what_has_no_letters(spark, odd, empty):
+    rng, words = random.Random(3), {"a": ["der", "und", "nicht", "ein"], "b": ["the", "and", "not", "one"]}
+    text = lambda la: " ".join(rng.choice(words[la]) for _ in range(30))
+    model = langid.train([(la, text(la)) for la in "ab" for _ in range(60)])
+    df = spark.createDataFrame([(i, text("ab"[i % 2])) for i in range(40)] + [(100, None), (101, "12 ?!")], "doc_id int, text string")
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    assert all(got[i].lang_pred == "ab"[i % 2] and 0.5 < got[i].score <= 1 for i in range(40))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 and not got[i].accepted for i in (100, 101))
+    assert langid.predict(odd, model).count() == odd.count() and langid.predict(empty, model).count() == 0
+    none = langid.train(langid.training_sample(empty, "lang", "doc_id", "text", langid.LangParams()))
+    assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
+
+
+def brute_quality(t):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts, hit, seen, dup = Counter(windows), set(), [], 0
+    for i, w in enumerate(windows):
+        if counts[w] > 1:
+            hit |= {i, i + 1, i + 2}
+    for line in (t or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.append(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), dup, len(hit)
+
+
+def test_quality_base_counts_and_verdict(spark, odd, empty):
+    rng = random.Random(4)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "b", " ", "\n", "\t", "\x0b", "\x1c", "\xa0", "é", "#", "|", "\r"]) for _ in range(rng.randint(0, 80)))
+        assert quality.base_counts(t) == brute_quality(t)
+    good = [" ".join(rng.choice("the of and to in a house tree river stone".split()) + "." * (rng.random() < 0.1) for _ in range(150)) for _ in range(60)]
+    junk = " ".join(f"{w}%%$" for w in good[0].split())
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*good, junk])], "doc_id int, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(df, quality.language_references(df)).collect()}
+    assert all(got[i].kept for i in range(60)) and not got[60].kept and not got[60].base_failed
+    rows = quality.judge(odd, quality.language_references(odd), extra=("text",)).collect()
+    assert len(rows) == odd.count() and all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(r.text) for r in rows)
+    assert quality.language_references(empty) == {} and quality.judge(empty, {}).count() == 0
+    p, q = np.array([1.0, 0]), np.array([0, 1.0])
+    assert quality.js_distance(p, p) == 0 and quality.js_distance(p, q) == pytest.approx(1) and quality.js_distance(p * 0, q) == 1
+
+
+def test_toxicity_learns_whole_words_stems_and_disguises(spark, odd, empty):
+    rng, plain = random.Random(5), "river stone house tree walks quickly over small green hills".split()
+    make = lambda bad: " ".join(rng.choice(plain) for _ in range(40)) + (f" you {rng.choice(['moron', 'vequan', 'vequor'])} there" if bad else "")
+    docs = spark.createDataFrame([(i, make(i % 3 == 0)) for i in range(300)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(5, None)], "doc_id int, toxic int")
+    model = toxicity.fit(docs, labels)
+    test = ["a m0r0n walks", "a moroп?", "a мoron walks", "the vequzzz stone", "river stone", "", None]
+    df = spark.createDataFrame(list(enumerate(test)), "doc_id int, text string")
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    assert [got[i].predicted for i in (0, 2, 3)] == [1, 1, 1] and [got[i].predicted for i in (4, 5, 6)] == [0, 0, 0]
+    assert got[5].score == got[6].score == got[4].score and all(0 <= r.score <= 1 for r in got.values())
+    calm = toxicity.fit(docs, labels, toxicity.ToxicParams(exceptions=("moron mountain",)))
+    assert toxicity.score(spark.createDataFrame([(1, "a moron mountain walks")], "doc_id int, text string"), calm).first().predicted == 0
+    assert toxicity.score(odd, model).count() == odd.count()
+    none = toxicity.fit(empty, labels.limit(0))
+    assert toxicity.score(odd, none).count() == odd.count() and toxicity.score(empty, none).count() == 0
+
+
+def test_secrets_base_spans_links_and_masks(spark, odd, empty):
+    key = "AKIA" + "B7" * 9
+    t = f'é Password: "abcdefghijkl" {key} deadbeefdeadbeef {"a" * 15} token=short'
+    base, links = secrets.scan_text(t)
+    got = {(k, t[s:e]) for k, s, e in base}
+    assert got == {("assign", 'Password: "abcdefghijkl'), ("access", key), ("hex", "deadbeefdeadbeef")} and not links
+    weak = "user: bob12 at https://db.example.org uses Zx9Qw3Er7Ty1Ui5Op2As8Df4 now"
+    assert {k for k, *_ in secrets.scan_text(weak)[1]} == {"weak_id", "weak_secret", "endpoint"}
+    assert secrets.scan_text("just Zx9Qw3Er7Ty1Ui5Op2As8Df4 alone") == ([], [])
+    far = weak.replace(" uses ", "\n\n" + "x " * 400)
+    assert secrets.scan_text(far)[1] == []
+    assert secrets.masked(t, base, "#") == f"é #\" # # {'a' * 15} token=short"
+    rows = secrets.scan_secrets(odd, with_text=True, extra=("text",)).collect()
+    assert len(rows) == odd.count() and all(r.masked_text == r.text for r in rows if r.text and len(r.text) < 100)
+    assert secrets.scan_secrets(empty).count() == 0
+
+
+def brute_ctw(train, words, depth):
+    """Log10 probability of each word by the plain recursion over one tree for each node of the byte's decisions."""
+    def steps(w):
+        coded = b" " * depth + (w + b" " if w else b"\n")
+        for at in range(depth, len(coded)):
+            node = 1
+            for j in range(7, -1, -1):
+                bit = coded[at] >> j & 1
+                yield node, coded[at - depth : at], bit
+                node = node * 2 + bit
+    counts: dict = {}
+    for w, n in train.items():
+        for node, ctx, bit in steps(w):
+            for d in range(depth + 1):
+                counts.setdefault((node, ctx[depth - d :]), [0, 0])[bit] += n
+    kids: dict = {}
+    for node, ctx in counts:
+        if ctx:
+            kids.setdefault((node, ctx[1:]), []).append((node, ctx))
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def lw(key):
+        own = kt(*counts[key])
+        if len(key[1]) == depth:
+            return own
+        return np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(map(lw, kids.get(key, []))))
+
+    out = {}
+    for w in words:
+        total = 0.0
+        for node, ctx, bit in steps(w):
+            def p(d):
+                a, b = counts.get((node, ctx[depth - d :]), (0, 0))
+                est = ((b if bit else a) + 0.5) / (a + b + 1)
+                if d == depth or (node, ctx[depth - d - 1 :]) not in counts:
+                    return est
+                key = (node, ctx[depth - d :])
+                w0 = math.exp(math.log(0.5) + kt(a, b) - lw(key))
+                return w0 * est + (1 - w0) * p(d + 1)
+            total += math.log10(p(0))
+        out[w] = total
+    return out
+
+
+@pytest.mark.parametrize("head, grams", [(300_000, 3_000_000), (2, 0)])
+def test_ctw_as_the_plain_recursion(spark, head, grams):
+    texts = [(1, "the cat sat"), (2, "The hat"), (3, "a catalogue é"), (4, None), (5, ""), (1, "the cat sat")]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    params = ctw.CtwParams(depth=2, head_words=head, most_grams=grams)
+    got = ctw.score(df, F.col("doc_id") != 3, params).collect()
+    train = Counter()
+    for i, t in texts:
+        if i != 3:
+            train.update([*ctw.tokens_of(t), b""])
+    model = brute_ctw(train, {w for _, t in texts for w in [*ctw.tokens_of(t), b""]}, 2)
+    n, v = sum(train.values()), len(train)
+    assert len(got) == len(texts)
+    by = {i: [*ctw.tokens_of(t), b""] for i, t in texts}
+    for r in got:
+        w = by[r.doc_id]
+        assert r.score == pytest.approx(sum(model[x] for x in w), rel=1e-9) and r.n_tokens == len(w) and r.train_tokens == n
+        assert r.base_score == pytest.approx(sum(math.log10((train[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) and r.n_known == sum(train[x] > 0 for x in w)
+
+
+def test_ctw_is_a_distribution_and_takes_odd_tables(spark, odd, empty):
+    train = Counter({b"ab": 3, b"": 2})
+    words = spark.createDataFrame([(bytearray(b"ab"), 3, 3), (bytearray(b""), 2, 2)] + [(bytearray([b]), 0, 1) for b in range(256) if b not in (9, 10, 11, 12, 13, 32)], "word binary, c_train long, c_all long")
+    costs = {r.key: 10 ** -r.cost for r in ctw.train(words, ctw.CtwParams(depth=2)).collect()}
+    first = [p for k, p in costs.items() if k >> 8 == 0x2020]
+    assert sum(first) <= 1 + 1e-9 and sum(first) > 0.9 and train
+    assert ctw.score(odd, F.lit(True), ctw.CtwParams(depth=2)).count() == odd.count()
+    assert ctw.score(odd, F.lit(False), ctw.CtwParams(depth=2)).count() == odd.count()
+    assert ctw.score(empty, F.lit(True), ctw.CtwParams(depth=2)).count() == 0
