@@ -119,7 +119,7 @@ def chunk_document(document_id: str, title: str | None, blocks: list[dict], p: C
     for b in blocks:
         if b["block_id"] in done:
             continue
-        if b["block_type"] in ("part", "chapter", "section", "subsection") and below.get(b["block_id"]):
+        if b["block_type"] in ("part", "chapter", "section", "subsection"):
             heads.append(b)
             continue
         unit = tree(b) if b["block_type"] == "article" else [b]
