@@ -40,7 +40,7 @@ class NearDupParams:
     sketch_bits: int = 1024
     sketch_slack: float = 0.2  #: an estimate so far below the threshold rules a pair out; five standard deviations
     block: int = 128
-    rest_block: int = 64
+    rest_block: int = 256  #: larger across blocks: members are repeated once for each block they meet
 
 
 def _words(text: str) -> list[bytes]:
@@ -215,8 +215,9 @@ def near_duplicates(df: DataFrame, params: NearDupParams = NearDupParams(), id_c
     main = by_comp.groupBy("centre").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.sum("m").alias("all"), F.max("m").alias("most")).where("all > most")
     main = main.select("centre", "main", F.ceil((F.col("all") - F.col("most")) / p.rest_block).cast("int").alias("parts"))
     if not many.isEmpty():
-        spread = materialize(many.join(main, "centre"), "spread")
-        rest = spread.where("comp <> main").select("centre", F.pmod(F.xxhash64("rep", F.lit("rest")), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("id"), "comp", F.lit(True).alias("probe"))
+        wide = F.ceil(F.col("blocks") * p.block / p.rest_block).cast("int")
+        spread = materialize(many.join(main, "centre").withColumn("wide", wide).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int")), "spread")
+        rest = spread.where("comp <> main").select("centre", F.pmod(F.xxhash64("rep", F.lit("rest")), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("block"), F.col("rep").alias("id"), "comp", F.lit(True).alias("probe"))
         every = spread.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", F.col("rep").alias("id"), "comp", F.lit(False).alias("probe"))
         both = rest.unionByName(every).groupBy("centre", "part", "block", "id").agg(F.first("comp").alias("comp"), F.max("probe").alias("probe"))
         across = verified(both, ["centre", "part", "block"], "across")
