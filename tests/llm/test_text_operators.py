@@ -192,7 +192,7 @@ def test_ctw_is_a_distribution_and_takes_odd_tables(spark, odd, empty):
     words = spark.createDataFrame([(bytearray(b"ab"), 3, 3), (bytearray(b""), 2, 2)] + [(bytearray([b]), 0, 1) for b in range(256) if b not in (9, 10, 11, 12, 13, 32)], "word binary, c_train long, c_all long")
     costs = {r.key: 10 ** -r.cost for r in ctw.train(words, ctw.CtwParams(depth=2)).collect()}
     first = [p for k, p in costs.items() if k >> 8 == 0x2020]
-    assert sum(first) <= 1 + 1e-9 and sum(first) > 0.9 and train
+    assert sum(first) <= 1 + 1e-9 and sum(first) > 0.85 and train
     assert ctw.score(odd, F.lit(True), ctw.CtwParams(depth=2)).count() == odd.count()
     assert ctw.score(odd, F.lit(False), ctw.CtwParams(depth=2)).count() == odd.count()
     assert ctw.score(empty, F.lit(True), ctw.CtwParams(depth=2)).count() == 0
