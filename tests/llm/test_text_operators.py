@@ -106,6 +106,15 @@ def test_toxicity_learns_whole_words_stems_and_disguises(spark, odd, empty):
     assert toxicity.score(odd, none).count() == odd.count() and toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_bias_is_that_of_all_labels(spark):
+    rng, plain = random.Random(6), "river stone house tree walks quickly over small green hills".split()
+    make = lambda bad: " ".join(rng.choice(plain) for _ in range(rng.randint(5, 80))) + " moron" * (rng.random() < (0.6 if bad else 0.02))
+    docs = spark.createDataFrame([(i, make(i % 10 == 0)) for i in range(4000)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(4000)], "doc_id int, toxic int")
+    full, balanced = (toxicity.fit(docs, labels, toxicity.ToxicParams(per_class=k, min_odds=2.0)).coef for k in (10_000, 200))
+    assert balanced[0] == pytest.approx(full[0], abs=0.5)  # nine clean texts a toxic one: 2.2 apart if the sample's ratio stays
+
+
 def test_secrets_base_spans_links_and_masks(spark, odd, empty):
     key = "AKIA" + "B7" * 9
     t = f'é Password: "abcdefghijkl" {key} deadbeefdeadbeef {"a" * 15} token=short'

@@ -4,7 +4,8 @@ Folding lower-cases, maps homoglyphs to Latin letters and digits or signs inside
 letters they stand for. Lexicon entries are whole words or word beginnings with a weight, learned
 as smoothed log odds from a bounded, balanced sample of labelled texts; longer entries override
 shorter ones at the same place, so exception phrases are entries of weight 0. The weights found are
-summed, normalised by length, and turned to a probability by a logistic regression.
+summed, normalised by length, and turned to a probability by a logistic regression, whose bias is
+set back to the class ratio of all labels.
 """
 
 from __future__ import annotations
@@ -85,8 +86,12 @@ def build_automaton(weights: dict[str, float]):
     return a
 
 
-def train(counts: list[tuple[str, int, int]], texts: list[tuple[int, str]], n: tuple[int, int], params: ToxicParams = ToxicParams()) -> ToxicModel:
-    """counts: (entry, clean texts, toxic texts) of n = (clean, toxic); texts: (label, folded) to fit the logistic regression."""
+def train(counts: list[tuple[str, int, int]], texts: list[tuple[int, str]], n: tuple[int, int], params: ToxicParams = ToxicParams(), full: tuple[int, int] | None = None) -> ToxicModel:
+    """counts: (entry, clean texts, toxic texts) of n = (clean, toxic); texts: (label, folded) to fit the logistic regression.
+
+    full: (clean, toxic) of all labels that the sample stands for. The sample's class ratio isn't theirs,
+    which shifts the log odds of every text by the same amount; the bias takes that back.
+    """
     base = n[1] / max(sum(n), 1)
     odds = lambda c, t: math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
     found = sorted(((odds(c, t), t, e) for e, c, t in counts if t >= params.min_texts and odds(c, t) >= params.min_odds), key=lambda x: (-x[0] * x[1], x[2]))
@@ -112,6 +117,8 @@ def train(counts: list[tuple[str, int, int]], texts: list[tuple[int, str]], n: t
             w = w - np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-6:
                 break
+    if full and min(*full, *n) > 0:
+        w[0] += math.log(full[1] / full[0] * n[0] / n[1])
     return ToxicModel(weights, tuple(map(float, w)))
 
 
@@ -159,7 +166,7 @@ def fit(df: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(), i
     strong = counts.where((F.col("t") >= params.min_texts) & (F.col("t") * (sizes[0] + 1.0) >= 5 * (F.col("c") + 0.5) * (sizes[1] + 1.0)))
     strong = [(r.e, r.c, r.t) for r in strong.orderBy(F.desc(F.col("t") - F.col("c")), "e").limit(5 * params.most_entries).collect()]
     clean = counts.where((F.col("c") > F.col("t")) & F.col("e").endswith(" ") & (F.col("c") >= 2)).orderBy(F.desc("c"), "e").limit(20_000).collect()
-    return train(strong + [(r.e, r.c, r.t) for r in clean], rows, sizes, params)
+    return train(strong + [(r.e, r.c, r.t) for r in clean], rows, sizes, params, (n.get(0, 0), n.get(1, 0)))
 
 
 def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
