@@ -115,6 +115,22 @@ def test_toxicity_bias_is_that_of_all_labels(spark):
     assert balanced[0] == pytest.approx(full[0], abs=0.5)  # nine clean texts a toxic one: 2.2 apart if the sample's ratio stays
 
 
+def test_toxicity_finds_entries_side_by_side():
+    found = lambda weights, text: [w for _, w in toxicity.build_automaton(weights).iter_long(toxicity.fold_text(text).replace(" ", "  "))]
+    sum_of = lambda weights, text: math.expm1(toxicity.measures(toxicity.fold_text(text), toxicity.build_automaton(weights))[0])
+    assert sum_of({" foo ": 1.0, " bar ": 2.0}, "foo bar foo foo") == pytest.approx(5)
+    assert sum_of({" class ": 0.0, " idio": 3.0}, "class idiot") == pytest.approx(3)
+    weights, rng = {" moron mountain ": 0.0, " moron ": 1.0, " mo": 0.5, " idio": 3.0, " mountain ": 0.25, " a b c ": 7.0, " a ": 0.125, " b ": 8.0}, random.Random(7)
+    for _ in range(300):
+        words, want, at = [rng.choice("moron mountain moth idiot a b c you".split()) for _ in range(rng.randint(0, 12))], [], 0
+        while at < len(words):  # the longest entry at each word, then the word after it
+            rest = f" {' '.join(words[at:])} "
+            best = max((e for e in weights if rest.startswith(e)), key=len, default="")
+            want += [weights[best]] if best else []
+            at += max(1, best.strip().count(" ") + 1)
+        assert found(weights, " ".join(words)) == want, words
+
+
 def test_secrets_base_spans_links_and_masks(spark, odd, empty):
     key = "AKIA" + "B7" * 9
     t = f'é Password: "abcdefghijkl" {key} deadbeefdeadbeef {"a" * 15} token=short'

@@ -68,20 +68,21 @@ def measures(folded: str, automaton) -> tuple[float, float]:
     """Weight found, and weight for each 100 words, both damped."""
     total = 0.0
     if automaton is not None:
-        for _, w in automaton.iter_long(folded):
+        for _, w in automaton.iter_long(folded.replace(" ", "  ")):
             total += w
     n = folded.count(" ")
     return math.log1p(max(total, 0.0)), math.log1p(100 * max(total, 0.0) / (n + 20))
 
 
 def build_automaton(weights: dict[str, float]):
+    """Matches don't overlap, so words stand two spaces apart in scanned texts and phrases: one for the entry before, one for the next."""
     import ahocorasick
 
     if not weights:
         return None
     a = ahocorasick.Automaton()
     for k, w in weights.items():
-        a.add_word(k, w)
+        a.add_word(k[:1] + k[1:-1].replace(" ", "  ") + k[1:][-1:], w)
     a.make_automaton()
     return a
 
