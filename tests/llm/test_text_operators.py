@@ -212,6 +212,48 @@ def test_ctw_as_the_plain_recursion(spark, head, grams):
         assert r.base_score == pytest.approx(sum(math.log10((train[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) and r.n_known == sum(train[x] > 0 for x in w)
 
 
+@pytest.mark.parametrize("most, block", [(3_000_000, 2_000_000), (3, 4)])
+def test_ctw_contexts_reach_over_words(spark, most, block):
+    texts, depth = {1: "the cat sat", 2: "The hat", 3: "a catalogue é", 4: None, 5: "", 6: "sat cat the"}, 3
+    df = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id int, text string")
+    params = ctw.CtwParams(depth=depth, across_words=True, most_grams=most, block_bytes=block)
+    got = ctw.score(df, F.col("doc_id").isin(1, 2, 4, 5), params).collect()
+    ended = {i: b"".join(w + b" " for w in ctw.tokens_of(t)) for i, t in texts.items()}
+    counts: dict = {}
+
+    def steps(coded):
+        padded = b" " * depth + coded
+        for at in range(depth, len(padded)):
+            node = 1
+            for j in range(7, -1, -1):
+                bit = padded[at] >> j & 1
+                yield node, padded[at - depth : at], bit
+                node = node * 2 + bit
+    for i in (1, 1, 2, 4, 5):
+        for node, ctx, bit in steps(ended[i] + b"\n"):
+            for d in range(depth + 1):
+                counts.setdefault((node, ctx[depth - d :]), [0, 0])[bit] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def lw(key):
+        own = kt(*counts[key])
+        return own if len(key[1]) == depth else np.logaddexp(own, sum(lw(k) for k in counts if k[0] == key[0] and len(k[1]) == len(key[1]) + 1 and k[1][1:] == key[1])) - math.log(2)
+
+    def p(node, ctx, bit, d=0):
+        key = (node, ctx[depth - d :])
+        a, b = counts.get(key, (0, 0))
+        est = ((b if bit else a) + 0.5) / (a + b + 1)
+        if d == depth or (node, ctx[depth - d - 1 :]) not in counts:
+            return est
+        w0 = math.exp(math.log(0.5) + kt(a, b) - lw(key))
+        return w0 * est + (1 - w0) * p(node, ctx, bit, d + 1)
+
+    want = {i: sum(math.log10(p(*x)) for x in steps(e + b"\n")) for i, e in ended.items()}
+    assert len(got) == 7 and all(r.score == pytest.approx(want[r.doc_id], rel=1e-9) for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[1].score > by[6].score + 0.1 and by[1].base_score == pytest.approx(by[6].base_score)  # the order of words counts
+
+
 def test_ctw_is_a_distribution_and_takes_odd_tables(spark, odd, empty):
     train = Counter({b"ab": 3, b"": 2})
     words = spark.createDataFrame([(bytearray(b"ab"), 3, 3), (bytearray(b""), 2, 2)] + [(bytearray([b]), 0, 1) for b in range(256) if b not in (9, 10, 11, 12, 13, 32)], "word binary, c_train long, c_all long")

@@ -2,13 +2,14 @@
 
 A text is its tokens: words (A-Z folded), each coded as its bytes and a closing space, then one end
 byte. A byte is eight binary decisions; each node of that decision tree has a context tree over the
-previous `depth` bytes of the token, padded with spaces. Every context keeps the Krichevsky-Trofimov
+previous `depth` bytes of the text (`across_words`) or of the token alone, padded with spaces. Every context keeps the Krichevsky-Trofimov
 estimate of its counts; bottom up, a context's weighted probability is half its own estimate and half
 the product of its children's; top down, this gives the predictive mixture over all depths. A
 context that training never saw hands the decision to the deepest one that it did see.
 
 Counts, weights and mixtures are tables keyed by (context, node) in 64-bit integers, one level a
-group-by. Word costs are worked out once for each distinct word, and texts sum the costs of theirs.
+group-by. With contexts of the text, texts sum the costs of their grams (context and byte); else word
+costs are worked out once for each distinct word, and texts sum the costs of theirs.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ END = 0x0A  #: byte of the end token; no word holds it
 @dataclass(frozen=True)
 class CtwParams:
     depth: int = 5
+    across_words: bool = False  #: contexts are the previous bytes of the text, whatever word they are in
     head_words: int = 300_000  #: most frequent words whose costs go to every worker; others meet theirs in a join
     head_length: int = 48  #: longest of them, bytes
-    most_grams: int = 3_000_000  #: most gram costs (16 bytes each) that go to every worker; beyond, words meet theirs in a join
+    most_grams: int = 3_000_000  #: most gram costs (16 bytes each) that go to every worker; beyond, words or texts meet theirs in a join
+    block_bytes: int = 2_000_000  #: bytes of texts whose grams are packed at once
     flush_words: int = 250_000
 
 
@@ -40,14 +43,12 @@ def tokens_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def gram_keys(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each coded byte of each word (b"" is the end token): context and byte packed in 64 bits; the index of its word."""
-    pad = b" " * depth
-    coded = [w + b" " if w else bytes([END]) for w in words]
-    buf = np.frombuffer(b"".join([pad + c for c in coded]), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    owner = np.repeat(np.arange(len(words)), sizes + depth)
-    start = np.repeat(np.cumsum(sizes + depth) - sizes - depth, sizes + depth)
+def _packed(padded: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte after the first `depth` of each piece: context and byte packed in 64 bits; the index of its piece."""
+    buf = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    owner = np.repeat(np.arange(len(padded)), sizes)
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.flatnonzero(np.arange(len(buf)) - start >= depth)
     key = np.zeros(len(at), np.uint64)
     for back in range(depth, -1, -1):
@@ -55,6 +56,29 @@ def gram_keys(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key.astype(np.int64), owner[at]
 
 
+def gram_keys(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each coded byte of each word (b"" is the end token): context and byte packed in 64 bits; the index of its word."""
+    pad = b" " * depth
+    return _packed([pad + (w + b" " if w else bytes([END])) for w in words], depth)
+
+
+def text_blocks(texts, depth: int, size: int):
+    """Grams of coded texts, about `size` bytes at once: key, index of the text. Longer texts go by pieces that begin with their context."""
+    pieces, owners, n = [], [], 0
+    for i, t in enumerate(texts):
+        coded = b" " * depth + b" ".join([*tokens_of(t), bytes([END])])
+        for at in range(0, len(coded) - depth, size):
+            pieces.append(coded[at : at + size + depth]), owners.append(i)
+            n += len(pieces[-1])
+            if n >= size:
+                key, owner = _packed(pieces, depth)
+                yield key, np.array(owners)[owner]
+                pieces, owners, n = [], [], 0
+    if pieces:
+        key, owner = _packed(pieces, depth)
+        yield key, np.array(owners)[owner]
+
+
 def _ln_gamma(x: Column) -> Column:
     """For x >= 0.5: Stirling's series after a shift by seven."""
     z = x + 7
@@ -103,6 +127,47 @@ def count_tokens(df: DataFrame, trained: Column, id_col: str, text_col: str, flu
     return rows.mapInArrow(count, "word binary, t long, n long").groupBy("word").agg(F.sum("t").alias("c_train"), F.sum("n").alias("c_all"))
 
 
+def count_grams(df: DataFrame, trained: Column, text_col: str, params: CtwParams) -> DataFrame:
+    """(key, n, n_all): each gram of the coded texts, how often in trained and in all of them."""
+    depth, size = params.depth, params.block_bytes
+
+    def count(batches):
+        import pyarrow as pa
+
+        out = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("n_all", pa.int64())])
+        parts, held = [], 0
+
+        def merged():
+            key, n, n_all = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            return key[first], np.add.reduceat(n[order], first), np.add.reduceat(n_all[order], first)
+
+        def batch_of(part):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in part], schema=out)
+
+        for b in batches:
+            marks, texts = b.column(0).to_pylist(), b.column(1)
+            for mark in (True, False):
+                mine = texts.filter(pa.array([bool(m) is mark for m in marks]))
+                for key, _ in text_blocks((x.as_py() for x in mine), depth, size):
+                    ids, n = np.unique(key, return_counts=True)
+                    parts.append((ids, n * mark, n))
+                    held += len(ids)
+                    if held > 3_000_000:
+                        parts = [merged()]
+                        held = len(parts[0][0])
+                        if held > 1_500_000:
+                            yield batch_of(parts[0])
+                            parts, held = [], 0
+        if parts:
+            yield batch_of(merged())
+
+    rows = df.select(trained.alias("m"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(count, "key long, n long, n_all long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+
+
 def train(vocabulary: DataFrame, params: CtwParams = CtwParams()) -> DataFrame:
     """(key, cost): for each gram (context and byte) of the vocabulary, minus log10 of its probability. Words of count 0 only ask for costs."""
     depth = params.depth
@@ -129,7 +194,11 @@ def train(vocabulary: DataFrame, params: CtwParams = CtwParams()) -> DataFrame:
         if words:
             yield from drain()
 
-    seen = materialize(vocabulary.select("word", "c_train").mapInArrow(grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    return gram_costs(materialize(vocabulary.select("word", "c_train").mapInArrow(grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams"), depth)
+
+
+def gram_costs(seen: DataFrame, depth: int) -> DataFrame:
+    """(key, cost) for each (key, n): the tree of the counts n, and minus log10 of each gram's probability in it."""
     byte = F.col("key").bitwiseAND(F.lit(255))
     steps = seen.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).select(
         "key", "n",
@@ -195,6 +264,18 @@ def word_costs(vocabulary: DataFrame, costs: DataFrame, params: CtwParams = CtwP
     return vocabulary.join(summed, "word")
 
 
+def _most(df: DataFrame, count: str, limit: int) -> Column:
+    """Whether a row's count is above one that leaves at most `limit` rows; counts meet in 16 classes an octave, a thousand at most."""
+    octave = F.floor(F.log2(F.col(count).cast("double")) * 16).cast("int")
+    left, least = limit, None
+    for r in df.groupBy(octave.alias("o")).agg(F.count("*").alias("k")).orderBy(F.desc("o")).limit(1024).collect():
+        left -= r.k
+        if left < 0:
+            break
+        least = r.o
+    return octave >= least if least is not None else F.lit(False)
+
+
 def score(df: DataFrame, trained: Column, params: CtwParams = CtwParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: the id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -208,17 +289,18 @@ def score(df: DataFrame, trained: Column, params: CtwParams = CtwParams(), id_co
     vocabulary = materialize(count_tokens(df, trained, id_col, text_col, p.flush_words), "vocabulary")
     total = vocabulary.agg(F.coalesce(F.sum("c_train"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c_train") > 0).cast("long")), F.lit(0)).alias("v")).first()
     n, v = total["n"], total["v"]
-    costs = materialize(word_costs(vocabulary, train(vocabulary, p), p).withColumn("h", F.xxhash64("word")), "words")
+    if p.across_words:  # words have their counts only; costs are those of grams
+        seen = materialize(count_grams(df, trained, text_col, p), "grams")
+        grams = materialize(gram_costs(seen.select("key", "n"), p.depth).join(seen.select("key", "n_all"), "key"), "costs")
+        top = grams.where(_most(grams, "n_all", p.most_grams)).select("key", "cost").toArrow().sort_by("key")
+        held_grams = spark.sparkContext.broadcast((top["key"].to_numpy(), top["cost"].to_numpy()))
+        del top
+        costs = vocabulary.withColumn("cost", F.lit(0.0))
+    else:
+        costs = word_costs(vocabulary, train(vocabulary, p), p)
+    costs = materialize(costs.withColumn("h", F.xxhash64("word")), "words")
     short = costs.where(F.length("word") <= p.head_length)
-    # the head is all words above a count that leaves at most head_words; counts meet in 16 classes an octave, a thousand at most
-    octave = F.floor(F.log2(F.col("c_all").cast("double")) * 16).cast("int")
-    left, least = p.head_words, None
-    for r in short.groupBy(octave.alias("o")).agg(F.count("*").alias("k")).orderBy(F.desc("o")).limit(1024).collect():
-        left -= r.k
-        if left < 0:
-            break
-        least = r.o
-    head = short.where(octave >= least if least is not None else F.lit(False)).select("word", "c_train", "cost").toArrow()
+    head = short.where(_most(short, "c_all", p.head_words)).select("word", "c_train", "cost").toArrow()
     held = spark.sparkContext.broadcast(tuple(head[c].to_numpy(zero_copy_only=False) if c != "word" else head[c].combine_chunks() for c in ("word", "c_train", "cost")))
     del head
     base_of = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
@@ -228,6 +310,21 @@ def score(df: DataFrame, trained: Column, params: CtwParams = CtwParams(), id_co
         words, counts, logs = held.value
         table = {w: (base_of(c), -cost, c > 0) for w, c, cost in zip(words.to_pylist(), counts.tolist(), logs.tolist())}
 
+        keys, values = held_grams.value if p.across_words else ((), ())
+
+        def of_grams(texts):
+            """Log10 probability from the grams held, and the grams that aren't."""
+            total, missing = np.zeros(len(texts)), [[] for _ in texts]
+            for key, owner in text_blocks(texts, p.depth, p.block_bytes):
+                ids, back = np.unique(key, return_inverse=True)
+                at = np.minimum(np.searchsorted(keys, ids), max(len(keys) - 1, 0))
+                have = keys[at] == ids if len(keys) else np.zeros(len(ids), bool)
+                cost = np.where(have, values[at], 0.0) if len(keys) else np.zeros(len(ids))
+                total -= np.bincount(owner, cost[back], len(texts))
+                for i in np.flatnonzero(~have[back]).tolist():
+                    missing[owner[i]].append(int(key[i]))
+            return total.tolist(), missing
+
         def f(texts):
             cols = [[] for _ in range(7)]
             for t in texts:
@@ -245,21 +342,28 @@ def score(df: DataFrame, trained: Column, params: CtwParams = CtwParams(), id_co
                     known += k * x[2]
                 for c, x in zip(cols, (len(words) + 1, known, base, ctw, sum(map(len, words)) + len(words) + 1, rest, left)):
                     c.append(x)
+            if p.across_words:
+                cols[3], missing = of_grams(texts)
+                cols.append(missing)
             return cols
 
         return f
 
     rows = df.select(F.col(id_col), F.col(text_col)).withColumn("__uid", uid)
-    first = map_texts(rows, factory, "n_tokens long, known long, base double, ctw double, bytes long, rest array<binary>, left array<long>", id_col, text_col, ("__uid",))
+    first = map_texts(rows, factory, "n_tokens long, known long, base double, ctw double, bytes long, rest array<binary>, left array<long>" + ", grams array<long>" * p.across_words, id_col, text_col, ("__uid",))
     hashed = F.transform("rest", lambda w: F.xxhash64(w))
     first = materialize(first.withColumn("rest", hashed), "first")
     pairs = first.where(F.size("rest") > 0).select("__uid", F.explode(F.arrays_zip("rest", "left")).alias("x")).select("__uid", F.col("x.rest").alias("h"), F.col("x.left").alias("k"))
     tail = costs.select("h", "c_train", "cost")
     base = F.log10((F.col("c_train") + 0.1) / F.lit(n + 0.1 * (v + 1)))
     rest = pairs.join(tail, "h").groupBy("__uid").agg(F.sum(F.col("k") * base).alias("b"), F.sum(-F.col("k") * F.col("cost")).alias("s"), F.sum(F.when(F.col("c_train") > 0, F.col("k")).otherwise(0)).alias("w"))
-    out = first.drop("rest", "left").join(rest, "__uid", "left")
+    out = first.drop("rest", "left", "grams").join(rest, "__uid", "left")
     zero = F.lit(0.0)
     final = F.col("ctw") + F.coalesce("s", zero)
+    if p.across_words:
+        far = first.select("__uid", F.explode("grams").alias("key")).join(grams.select("key", "cost"), "key").groupBy("__uid").agg(F.sum(-F.col("cost")).alias("g"))
+        out = out.join(far, "__uid", "left")
+        final = final + F.coalesce("g", zero)
     return out.select(
         id_col, "n_tokens", (F.col("known") + F.coalesce("w", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", zero)).alias("base_score"), final.alias("score"), (-final / math.log10(2) / F.col("bytes")).alias("bits_per_byte"),
