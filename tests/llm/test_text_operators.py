@@ -148,6 +148,16 @@ def test_secrets_base_spans_links_and_masks(spark, odd, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_of_any_length():
+    key = "".join(random.Random(8).choices("ABCDEFGHIJabcdefghij0123456789+", k=86)) + "=="
+    name = "user_" + "z1" * 40
+    text = f"user: {name} at https://db.example.org uses {key} now"
+    links = secrets.scan_text(text)[1]
+    assert {text[s:e] for k, s, e, _ in links if k == "weak_secret"} == {key} and {text[s:e] for k, s, e, _ in links if k == "weak_id"} == {f"user: {name}"}
+    assert secrets.masked(text, [x[:3] for x in links], "#") == "# at # uses # now"
+    assert secrets.scan_text(f"just {key} alone") == ([], [])
+
+
 def brute_ctw(train, words, depth):
     """Log10 probability of each word by the plain recursion over one tree for each node of the byte's decisions."""
     def steps(w):

@@ -33,8 +33,8 @@ assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 access = re.compile(r"AKIA[A-Z0-9]+").finditer
 #: Shorter runs fail and are dropped, and a run of 16 is never inside a match of a shorter one.
 hexes = re.compile(r"[0-9a-f]{16,}").finditer
-weak_id = re.compile(r"""(?:client_?id|access_?key|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,64})""", re.I | re.A).finditer
-weak_secret = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])").finditer
+weak_id = re.compile(r"""(?:client_?id|access_?key|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""", re.I | re.A).finditer
+weak_secret = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])").finditer
 endpoint = re.compile(r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}", re.I | re.A).finditer
 
 
