@@ -88,6 +88,20 @@ def test_quality_base_counts_and_verdict(spark, odd, empty):
     assert quality.js_distance(p, p) == 0 and quality.js_distance(p, q) == pytest.approx(1) and quality.js_distance(p * 0, q) == 1
 
 
+def test_quality_of_languages_that_are_a_small_part(spark):
+    rng = random.Random(9)
+    make = lambda words, n: " ".join(rng.choices(words.split(), k=n))
+    rows = [(make("the of and to in a house tree river stone", 20_000), "en") for _ in range(70)]
+    rows += [(make("wa bo ke lumi sor tavi nek ole pira zun amo bri cel dov eru fip gan hox ibe jut", 150), "xx") for _ in range(40)] + [(make("qe ru yol hesk mip dax fen gub jor lat kav lon mex nuy opa", 150), "yy") for _ in range(3)]
+    rows.append((make("qe ru yol hesk mip dax fen gub jor lat kav lon mex nuy opa", 150), None))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, text string, lang string")
+    references = quality.language_references(df)
+    assert set(references) == {"en", "xx"} and 6000 / 1_406_450 < 0.005
+    got = {r.doc_id: r for r in quality.judge(df, references).collect()}
+    assert all(got[i].word_distance < 0.335 for i in range(110)) and all(got[i].kept for i in range(70, 110))
+    assert all(got[i].kept and got[i].word_distance is None and got[i].class_distance is None for i in range(110, 113)) and not got[113].kept
+
+
 def test_toxicity_learns_whole_words_stems_and_disguises(spark, odd, empty):
     rng, plain = random.Random(5), "river stone house tree walks quickly over small green hills".split()
     make = lambda bad: " ".join(rng.choice(plain) for _ in range(40)) + (f" you {rng.choice(['moron', 'vequan', 'vequor'])} there" if bad else "")

@@ -26,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 @dataclass(frozen=True)
 class QualityParams:
     common_share: float = 0.002  #: a word this frequent in a language is common; at most 1/share words a language
-    language_share: float = 0.005  #: languages with fewer of all words give no reference; at most 1/share languages
+    language_words: int = 5_000  #: words that make a stable histogram, ten of the least common word; languages with fewer give no reference and their texts no distances
     max_class_distance: float = 0.2
     max_word_distance: float = 0.335
     min_chars: int = 40  #: below, classes are not judged
@@ -92,8 +92,8 @@ def language_references(df: DataFrame, lang_col: str = "lang", text_col: str = "
     """lang -> class histogram, slot of each common word, word histogram (last slot: other words), over all documents.
 
     Words are counted in the workers, combined before the shuffle and summed by (lang, word). Only
-    words above `common_share` of a language above `language_share` come to the driver: at most
-    1/common_share words for each of at most 1/language_share languages.
+    words above `common_share` of a language of `language_words` or more come to the driver: at most
+    1/common_share words a language, however small its part of the table.
     """
 
     def count(batches):
@@ -124,18 +124,18 @@ def language_references(df: DataFrame, lang_col: str = "lang", text_col: str = "
 
     counts = materialize(counts, "words")
     is_class = F.substring("word", 1, 1) == F.lit(b" ")
-    totals = counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(int(1 / params.language_share)).collect()
-    most = sum(r["n"] for r in totals)
-    kept = {r.lang: r["n"] for r in totals if r["n"] >= params.language_share * most}
+    totals = counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= params.language_words).collect()
+    kept = {r.lang: r["n"] for r in sorted(totals, key=lambda r: (-r["n"], r.lang))}
     if not kept:
         return {}
-    common = F.lit(False)
-    for la, n in kept.items():
-        common = common | ((F.col("lang") == la) & (is_class | (F.col("n") >= params.common_share * n)))
+    totals = df.sparkSession.createDataFrame([*kept.items()], "lang string, total long")
+    common = counts.join(F.broadcast(totals), "lang").where(is_class | (F.col("n") >= params.common_share * F.col("total")))
     refs: dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]] = {}
-    found = counts.where(common).collect()
+    found: dict[str, list[tuple[bytes, int]]] = {}
+    for r in common.select("lang", "word", "n").collect():
+        found.setdefault(r.lang, []).append((bytes(r.word), r["n"]))
     for la, n in kept.items():
-        mine = sorted((bytes(r.word), r["n"]) for r in found if r.lang == la)
+        mine = sorted(found[la])
         classes = np.array([next((k for w, k in mine if w == f" {i}".encode()), 0) for i in range(len(CLASSES))], float)
         words = [(w, k) for w, k in mine if w[:1] != b" "]
         histogram = np.array([k for _, k in words] + [n - sum(k for _, k in words)], float)
@@ -143,13 +143,14 @@ def language_references(df: DataFrame, lang_col: str = "lang", text_col: str = "
     return refs
 
 
-def judge(df: DataFrame, references: dict, params: QualityParams = QualityParams(), id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+def judge(df: DataFrame, references: dict, params: QualityParams = QualityParams(), id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), lang_col: str = "lang") -> DataFrame:
     """One row for each row of df: the id, the base counts, base_failed, class_distance, word_distance, kept.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept is
     false if base_failed, else whether the distances to the nearest reference are within the
     limits. A null text has no words. A distance that the length guards leave out is null, as with
-    no reference at all, and then doesn't reject. Whole texts are counted.
+    no reference at all or none of the text's language (where df names one), and then doesn't reject.
+    Whole texts are counted.
     """
     held = df.sparkSession.sparkContext.broadcast((references, params))
 
@@ -179,4 +180,10 @@ def judge(df: DataFrame, references: dict, params: QualityParams = QualityParams
 
         return lambda texts: [*zip(*map(one, texts))]
 
-    return map_texts(df, factory, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean", id_col, text_col, extra)
+    named = F.col(lang_col).cast("string") if lang_col in df.columns else F.lit(None).cast("string")
+    out = map_texts(df.withColumn("__lang", named), factory, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean", id_col, text_col, (*extra, "__lang"))
+    strange = F.col("__lang").isNotNull() & ~F.col("__lang").isin([*references]) if references else F.lit(False)
+    return out.withColumns({
+        "kept": F.when(strange, ~F.col("base_failed")).otherwise(F.col("kept")),
+        "class_distance": F.when(~strange, F.col("class_distance")), "word_distance": F.when(~strange, F.col("word_distance")),
+    }).drop("__lang")
