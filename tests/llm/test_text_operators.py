@@ -102,6 +102,15 @@ def test_quality_of_languages_that_are_a_small_part(spark):
     assert all(got[i].kept and got[i].word_distance is None and got[i].class_distance is None for i in range(110, 113)) and not got[113].kept
 
 
+def test_quality_keeps_long_words_apart(spark):
+    rng, same = random.Random(10), "z" * 90
+    rows = [(i, " ".join([*rng.choices("the of and to in a house tree river stone".split(), k=70), *(f"{'x' * 70}{i}_{k}" for k in range(30)), *[same] * 20]), "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    references = quality.language_references(df)
+    assert len(references["en"][1]) == 11 and quality.word_key(same.encode()) in references["en"][1]
+    assert all(r.word_distance < 0.25 for r in quality.judge(df, references).collect())
+
+
 def test_toxicity_learns_whole_words_stems_and_disguises(spark, odd, empty):
     rng, plain = random.Random(5), "river stone house tree walks quickly over small green hills".split()
     make = lambda bad: " ".join(rng.choice(plain) for _ in range(40)) + (f" you {rng.choice(['moron', 'vequan', 'vequor'])} there" if bad else "")

@@ -8,6 +8,7 @@ judged by words.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -88,6 +89,11 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)), dup, repeat
 
 
+def word_key(word: bytes) -> bytes:
+    """The word; beyond 64 bytes its beginning and a hash of the whole, so that long words stay apart."""
+    return word if len(word) <= 64 else word[:64] + hashlib.blake2b(word, digest_size=16).digest()
+
+
 def language_references(df: DataFrame, lang_col: str = "lang", text_col: str = "text", params: QualityParams = QualityParams()) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """lang -> class histogram, slot of each common word, word histogram (last slot: other words), over all documents.
 
@@ -111,7 +117,7 @@ def language_references(df: DataFrame, lang_col: str = "lang", text_col: str = "
         out = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
         for batch in batches:
             for la, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.setdefault(la, Counter()).update(w[:64] for w in t.lower().encode("utf-8", "surrogatepass").split())
+                words.setdefault(la, Counter()).update(w if len(w) <= 64 else word_key(w) for w in t.lower().encode("utf-8", "surrogatepass").split())
                 classes[la] = classes.get(la, 0) + class_counts(t)
             yield from flush()
         yield from flush(True)
@@ -166,7 +172,7 @@ def judge(df: DataFrame, references: dict, params: QualityParams = QualityParams
                     c = class_counts(t)
                     dc = min(js_distance(c, r[0]) for r in refs.values())
                 if n >= p.min_words:
-                    counts = Counter(t.lower().encode("utf-8", "surrogatepass").split())
+                    counts = Counter(w if len(w) <= 64 else word_key(w) for w in t.lower().encode("utf-8", "surrogatepass").split())
                     best = 1.0
                     for _, slots, ref in refs.values():
                         h = np.zeros(len(slots) + 1)
