@@ -251,3 +251,22 @@ def test_resumable_answers(spark, tmp_path):
     for _ in range(2):
         ingest_chunks(spark, src, "id string, t string", str(tmp_path / "chunks"), str(tmp_path / "cp"), "id", "t").awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "chunks")).count() == len(chunking.chunk_document("d", None, parsing.document_blocks("d", LEGAL)))
+
+
+def test_components_of_all_lines_as_union_find(spark, tmp_path):
+    from textquarry import catalog
+
+    lines = [(1, 1, 50), (1, 2, 3), (2, 2, 7), (3, 3, 1), (4, 3, 50), (5, 4, 49), (6, 5, 50), (6, 5, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    up: dict = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for order, supplier, _ in lines:
+        a, b = sorted((find(order), find(-1 - supplier)))
+        up[b] = a
+    got = {r.id: r.component for r in catalog.queries()["components_all_lines"](spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in up} and len(got) == 11 and "components_all_lines" not in catalog.oracle_sql()

@@ -406,6 +406,13 @@ def components(spark, sf):
     return connected_components(line.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")))
 
 
+@_query()
+def components_all_lines(spark, sf):
+    """Orders and suppliers that any line joins; no SQL, as the recursive one asks for all pairs."""
+    line = table(spark, sf, "lineitem")
+    return connected_components(line.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")))
+
+
 # --- evidence and claims --------------------------------------------------------------------------
 
 def _evidence_hits(spark, sf):
