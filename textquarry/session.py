@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,24 +29,51 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only where that is unset and all runs in one JVM (tests) a temporary folder is made and set, and
+    removed at the end; on a cluster without the setting this fails, as no folder is known to be shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textquarry-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="textquarry-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        found = "file://" + path
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet to the shared scratch folder and read it back: cuts lineage, survives lost executors.
+
+    Tables that nothing reads any more go by discard(); what results still read goes by clear_scratch().
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    path = f"{scratch_dir(spark)}/textquarry/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._textquarry_path = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later result reads. Other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_textquarry_path", None):
+            _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all materialised tables of the scratch folder, once the results that read them are written."""
+    _delete(spark, f"{scratch_dir(spark)}/textquarry")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
