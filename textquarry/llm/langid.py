@@ -10,6 +10,7 @@ probabilities and the level below which a prediction is rejected.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -26,7 +27,7 @@ find_words = re.compile(r"[^\W\d_]+").findall
 @dataclass(frozen=True)
 class LangParams:
     per_language: int = 300  #: expected texts of each language in the training sample; bounds it
-    most_languages: int = 200  #: languages with fewest texts beyond this many are not learned
+    most_texts: int = 60_000  #: expected texts of all languages together; with more than 200 languages each gives fewer
     buckets: int = 1 << 16
     dim: int = 16
     epochs: int = 4
@@ -44,7 +45,25 @@ def subwords(word: str, buckets: int) -> list[int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return find_words(text.lower()) if text else []
+    """Runs of letters, lower-cased. Numerals that aren't decimal digits, such as fractions and Roman numerals, are no letters."""
+    if not text:
+        return []
+    words = find_words(text.lower())
+    odd = {w for w in {*words} if not w.isalpha()}
+    if not odd:
+        return words
+    parts = {w: "".join(c if c.isalpha() else " " for c in w).split() for w in odd}
+    return [x for w in words for x in (parts[w] if w in odd else (w,))]
+
+
+def text_features(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of a text and how often each occurs: at most `buckets` of them, however long the text."""
+    total: dict[int, int] = {}
+    for w, n in Counter(words_of(text)).items():
+        for b in subwords(w, buckets):
+            total[b] = total.get(b, 0) + n
+    ids = sorted(total)
+    return np.array(ids, np.int64), np.array([total[b] for b in ids], np.float32)
 
 
 @dataclass
@@ -56,17 +75,15 @@ class LangModel:
     reject_below: float
 
 
-def train(rows: list[tuple[str, str]], params: LangParams = LangParams()) -> LangModel:
-    """rows: (lang, text). Without rows the model knows no language and predicts `und`."""
-    rows = sorted((la, t) for la, t in rows if words_of(t))
-    langs = sorted({la for la, _ in rows})
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], params: LangParams = LangParams()) -> LangModel:
+    """rows: (lang, buckets, counts) of training texts. Without rows the model knows no language and predicts `und`."""
+    rows = sorted(((la, ids, n) for la, ids, n in rows if len(ids)), key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist()))
+    langs = sorted({r[0] for r in rows})
     if not langs:
         return LangModel([], np.zeros((params.buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(params.seed)
-    feats, y = [], np.array([langs.index(la) for la, _ in rows])
-    for _, t in rows:
-        ids, n = np.unique([b for w in words_of(t) for b in subwords(w, params.buckets)], return_counts=True)
-        feats.append((ids, (n / n.sum()).astype(np.float32)))
+    slot = {la: i for i, la in enumerate(langs)}
+    feats, y = [(ids, (n / n.sum()).astype(np.float32)) for _, ids, n in rows], np.array([slot[r[0]] for r in rows])
     order = rng.permutation(len(rows))
     n_cal = int(len(rows) * params.calibration) if len(rows) >= 20 else 0
     cal, fit = order[:n_cal], order[n_cal:]
@@ -110,19 +127,33 @@ def train(rows: list[tuple[str, str]], params: LangParams = LangParams()) -> Lan
     return LangModel(langs, table, bias, float(temperature), min(level, 0.9))
 
 
-def training_sample(df: DataFrame, label_col: str, id_col: str, text_col: str, params: LangParams) -> list[tuple[str, str]]:
-    """About `per_language` labelled texts of each language, chosen by a hash of the id: the model's bounded sample."""
+def training_sample(df: DataFrame, label_col: str, id_col: str, text_col: str, params: LangParams) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(lang, buckets, counts) of about `per_language` labelled texts of each language, chosen by a hash of the id: the model's bounded sample.
+
+    Every language is sampled, whatever its part of the table. Texts become counts of subword buckets
+    in the workers, so that a long text takes no more of the driver than `buckets` numbers.
+    """
     labelled = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("h")
     )
-    counts = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(params.most_languages).collect()}
-    if not counts:
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.count("*").alias("k")).first()["k"]
+    if not total:
         return []
-    picked = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, params.per_language / n)
-        picked = picked | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)))
-    return [(r.lang, r.text) for r in labelled.where(picked).select("lang", "text").collect()]
+    each = min(params.per_language, params.most_texts / total)
+    share = F.broadcast(sizes.select("lang", (F.lit(float(each)) / F.col("n")).alias("share")))  # a row a language
+    draw = F.col("h").cast("double") / 2.0**64 + 0.5
+    sample = labelled.join(share, "lang").where((F.col("share") >= 1) | (draw < F.col("share"))).select("lang", "text")
+
+    def factory():
+        def f(texts):
+            found = [text_features(t, params.buckets) for t in texts]
+            return [[ids for ids, _ in found], [n for _, n in found]]
+
+        return f
+
+    rows = map_texts(sample, factory, "ids array<int>, n array<float>", "lang", "text").toArrow()
+    return [(la, np.array(ids, np.int64), np.array(n, np.float32)) for la, ids, n in zip(rows["lang"].to_pylist(), rows["ids"].to_pylist(), rows["n"].to_pylist())]
 
 
 def predict(df: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
