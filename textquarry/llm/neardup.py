@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import map_texts, trim
 from textquarry.operators.components import connected_components
-from textquarry.session import materialize
+from textquarry.operators.joins import hot_join
+from textquarry.session import discard, materialize
 
 WORD_ENTRIES = 400_000
 _WORDS: dict[bytes, int] = {}  # hashes of words, kept for a worker's later tasks
@@ -105,7 +106,7 @@ def estimate(xor_count: np.ndarray, k: int, bits: int) -> np.ndarray:
     return 1 + bits / (4 * k) * np.log(np.maximum(1 - 2 * xor_count / bits, 1e-9))
 
 
-def signatures(df: DataFrame, p: NearDupParams, id_col: str, text_col: str) -> DataFrame:
+def signatures(df: DataFrame, p: NearDupParams, id_col: str, text_col: str, extra: tuple[str, ...] = ()) -> DataFrame:
     def factory():
         import xxhash
 
@@ -127,16 +128,16 @@ def signatures(df: DataFrame, p: NearDupParams, id_col: str, text_col: str) -> D
 
         return f
 
-    return map_texts(df, factory, "n_shingles long, digest binary, bands array<long>, sketch binary", id_col, text_col)
+    return map_texts(df, factory, "n_shingles long, digest binary, bands array<long>, sketch binary", id_col, text_col, extra)
 
 
 def _link_rows(p: NearDupParams):
-    """For a block: rows (id, comp, probe, text, sketch) -> links. Pairs of one comp are joined already; a pair counts if one of it is a probe."""
+    """For a block: rows (id, th, comp, probe, text, sketch) -> links. Pairs of one comp are joined already; a pair counts if one of it is a probe."""
     k = p.bands * p.rows
     least = p.percent / 100 - p.sketch_slack
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
+        pdf = pdf.drop_duplicates(["id", "th"]).sort_values(["id", "th"])
         ids, n = pdf["id"].tolist(), len(pdf)
         if n < 2:
             return pd.DataFrame({"a": pdf["id"][:0], "b": pdf["id"][:0]})
@@ -179,27 +180,31 @@ def _link_rows(p: NearDupParams):
 def near_duplicates(df: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: the id, n_shingles, component_id (smallest id reachable over links, itself included), kept.
 
-    Texts without words, and null texts, have no shingles, link with nothing and are kept. Rows
-    that repeat an id are the same document. A null id is its own component and kept. Ties can't
-    occur: the smallest id stands for a class and a component. An empty table gives an empty one.
+    Texts without words, and null texts, have no shingles, link with nothing and are kept. Rows that
+    repeat an id are one document: of one text they are the same row twice, and if their texts
+    differ, what one of them links with is linked with the others. A null id is its own component
+    and kept. Ties can't occur: the smallest id stands for a class and a component. An empty table
+    gives an empty one.
     """
     p = params
-    sig = materialize(signatures(df, p, id_col, text_col).withColumnRenamed(id_col, "id"), "sig")
+    named = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
+    sig = materialize(signatures(named, p, "id", "text", ("th",)), "sig")
     id_type = sig.schema["id"].dataType.simpleString()
-    classes = materialize(
-        sig.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
-    )
+    known = sig.where("digest is not null and id is not null")
+    rep = F.min(F.struct("id", "th"))
+    classes = known.groupBy("digest").agg(rep.alias("r"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.select("digest", F.col("r.id").alias("rep"), F.col("r.th").alias("th"), "bands", "sketch"), "classes")
     buckets = classes.select(F.explode("bands").alias("key"), "rep")
     centres = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("m")).where("m > 1").select("key", "centre")
-    members = materialize(buckets.join(centres, "key").select("centre", "rep").distinct(), "members")
-    sizes = members.groupBy("centre").agg(F.count("*").alias("m")).where("m > 1").select("centre", F.ceil(F.col("m") / p.block).cast("int").alias("blocks"))
-    members = members.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    found = materialize(buckets.join(centres, "key").select("centre", "rep").distinct(), "members")
+    sizes = materialize(found.groupBy("centre").agg(F.count("*").alias("m")).where("m > 1").select("centre", F.ceil(F.col("m") / p.block).cast("int").alias("blocks")), "sizes")
+    members = hot_join(found, sizes, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    sketches = classes.select(F.col("rep").alias("id"), "sketch")
+    texts = named.where("id is not null and text is not null")
+    sketches = classes.select(F.col("rep").alias("id"), "th", "sketch")
 
     def verified(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-        full = rows.join(sketches, "id").join(texts, "id").select(*keys, "id", "comp", "probe", "sketch", "text")
+        full = rows.join(sketches, "id").join(texts, ["id", "th"]).select(*keys, "id", "th", "comp", "probe", "sketch", "text")
         return materialize(full.groupBy(*keys).applyInPandas(_link_rows(p), f"a {id_type}, b {id_type}"), name)
 
     own = members.select(
@@ -207,24 +212,30 @@ def near_duplicates(df: DataFrame, params: NearDupParams = NearDupParams(), id_c
         F.col("rep").alias("id"), F.col("rep").alias("comp"), F.lit(True).alias("probe"),
     )
     links = verified(own, ["centre", "block"], "links")
-    labels = connected_components(links)
+    several = known.groupBy("id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).where("lo <> hi").select("id")
+    same = known.select("id", "digest").join(several, "id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    labels = connected_components(links.union(same))
 
     many = members.where("blocks > 1").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     many = materialize(many.select("centre", "blocks", "block", "rep", "comp"), "many")
     by_comp = many.groupBy("centre", "comp").agg(F.count("*").alias("m"))
     main = by_comp.groupBy("centre").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.sum("m").alias("all"), F.max("m").alias("most")).where("all > most")
-    main = main.select("centre", "main", F.ceil((F.col("all") - F.col("most")) / p.rest_block).cast("int").alias("parts"))
-    if not many.isEmpty():
+    main = materialize(main.select("centre", "main", F.ceil((F.col("all") - F.col("most")) / p.rest_block).cast("int").alias("parts")), "main")
+    if not main.isEmpty():
         wide = F.ceil(F.col("blocks") * p.block / p.rest_block).cast("int")
-        spread = materialize(many.join(main, "centre").withColumn("wide", wide).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int")), "spread")
+        spread = materialize(hot_join(many, main, "centre").withColumn("wide", wide).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int")), "spread")
         rest = spread.where("comp <> main").select("centre", F.pmod(F.xxhash64("rep", F.lit("rest")), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("block"), F.col("rep").alias("id"), "comp", F.lit(True).alias("probe"))
         every = spread.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", F.col("rep").alias("id"), "comp", F.lit(False).alias("probe"))
         both = rest.unionByName(every).groupBy("centre", "part", "block", "id").agg(F.first("comp").alias("comp"), F.max("probe").alias("probe"))
         across = verified(both, ["centre", "part", "block"], "across")
         if not across.isEmpty():
+            before = labels
             labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(across))
+            discard(before)
+        discard(spread, across)
+    discard(found, sizes, links, many, main)
 
     placed = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("of_class"))
-    out = sig.select("id", "n_shingles", "digest").join(placed, "digest", "left")
+    out = hot_join(sig.select("id", "n_shingles", "digest"), materialize(placed, "placed"), "digest", "left")
     component = F.coalesce("of_class", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
