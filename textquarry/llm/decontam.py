@@ -122,10 +122,23 @@ def find_contamination(df: DataFrame, items: DataFrame, window: int = 10, id_col
 
 
 def remove_spans(text: Column, spans: Column) -> Column:
-    """The text without the words of the spans (1-based start word, words) and what stands between them."""
-    words = words_of(text)
-    pattern = lambda s: F.concat(F.lit(f"(?i)(?<!{_inverse()})"), F.concat_ws(f"{BREAKS_RAW}+", F.slice(words, s["at"], s["len"])), F.lit(f"(?!{_inverse()})"))
-    return F.aggregate(F.transform(spans, pattern), text, lambda t, p: F.regexp_replace(t, p, F.lit(" ")))
+    """The text with each span (1-based start word, words; sorted, apart) replaced by one space, from its first word to its last.
+
+    The text is cut into its words and the stretches between them, one more than words; what stays
+    is a stretch and then word and stretch by turns, from the end of a span to the start of the next.
+    """
+    words = F.regexp_extract_all(text, F.lit(f"({_inverse()}+)"), F.lit(1))
+    gaps = F.split(text, f"{_inverse()}+", -1)
+    n = F.size(spans)
+
+    def kept(k: Column) -> Column:
+        before = F.get(spans, k - 1)
+        start = F.when(k > 0, before["at"] + before["len"]).otherwise(F.lit(1)).cast("int")  # first word kept
+        end = F.when(k < n, F.get(spans, k)["at"]).otherwise(F.size(words) + 1).cast("int")  # first word of the next span
+        stretch = F.zip_with(F.slice(words, start, end - start), F.slice(gaps, start + 1, end - start), lambda w, g: F.concat(w, g))
+        return F.concat(F.element_at(gaps, start), F.array_join(stretch, ""))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), n), kept), " ")
 
 
 def _inverse() -> str:
