@@ -3,7 +3,7 @@
 Parts of credentials are intervals of a text: access identifiers, secrets and endpoints, strong or
 weak. An interval join links complementary parts whose intervals lie in one scope (within
 `scope_chars` of each other and with no blank line between); weak candidates count only when such a
-part stands beside them. The strong base kinds are always reported.
+part stands beside them. The strong base kinds are always reported, and no weak one overlaps them.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -51,15 +52,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in hexes(text)]
 
 
-def linked_weak(text: str, base: list[tuple[str, int, int]], params: SecretParams) -> list[tuple[str, int, int, str]]:
-    """Weak candidates with the complementary part they are linked to. Both sides are sorted by start and joined by a sweep."""
-    taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
+#: Parts that a weak kind is complementary to: a secret completes any identifier or endpoint, a strong identifier also an endpoint.
+COMPLEMENTS = {
+    "weak_id": {"assign", "hex", "weak_secret"},
+    "endpoint": {"access", "assign", "hex", "weak_secret"},
+    "weak_secret": {"access", "weak_id", "endpoint"},
+}
+blank_lines = re.compile(r"(?=(\n[ \t\r]*\n))").finditer
+
+
+def _outside(weak: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The weak intervals that overlap no taken one: a sweep by start that holds the furthest end of all taken ones before."""
+    taken = sorted((s, e) for _, s, e in taken)
+    furthest = [*accumulate((e for _, e in taken), max)]
+    out = []
+    for kind, s, e in weak:
+        before = bisect_left(taken, (e,))  # taken ones that start before the end
+        if not before or furthest[before - 1] <= s:
+            out.append((kind, s, e))
+    return out
 
-    def free(s, e):
-        i = bisect_left(starts, e)
-        return not any(b > s for _, b in taken[max(0, i - 8) : i])
 
+def linked_weak(text: str, base: list[tuple[str, int, int]], params: SecretParams) -> list[tuple[str, int, int, str]]:
+    """Weak candidates outside the base spans, with the first complementary part in their scope.
+
+    A candidate's scope reaches `scope_chars` to both sides, but not over a blank line. Its partner
+    is the first part by start and end that touches the scope: the interval join is one search in
+    the running maximum of the ends of the sorted parts, so that any number of parts takes n log n.
+    """
     weak = []
     if ":" in text or "=" in text:
         weak += [("weak_id", *m.span()) for m in weak_id(text)]
@@ -71,21 +91,22 @@ def linked_weak(text: str, base: list[tuple[str, int, int]], params: SecretParam
         for m in weak_secret(text)
         if (any(c.isdigit() for c in m[0]) and any(c.isupper() for c in m[0]) and any(c.islower() for c in m[0]) and entropy(m[0]) >= params.min_entropy)
     ]
-    weak = sorted({w for w in weak if free(w[1], w[2])}, key=lambda w: w[1:])
-    role = {"access": "id", "weak_id": "id", "endpoint": "endpoint", "assign": "secret", "hex": "secret", "weak_secret": "secret"}
-    parts = sorted([*base, *weak], key=lambda x: (x[1], x[2]))
-    links, lo = [], 0
-    longest = max((e - s for _, s, e in parts), default=0)
+    weak = sorted(_outside(sorted({*weak}), base), key=lambda w: w[1:])
+    if not weak:
+        return []
+    parts = sorted([*base, *weak], key=lambda x: (x[1], x[2], KINDS.index(x[0])))
+    others = {kind: [x for x in parts if x[0] in COMPLEMENTS[kind]] for kind in {w[0] for w in weak}}
+    furthest = {kind: [*accumulate((e for _, _, e in some), max)] for kind, some in others.items()}
+    blanks = [m.span(1) for m in blank_lines(text)]
+    starts, ends = [s for s, _ in blanks], [e for _, e in blanks]
+    links = []
     for kind, s, e in weak:
-        while parts[lo][1] < s - params.scope_chars - longest:
-            lo += 1
-        for other in parts[lo:]:
-            if other[1] > e + params.scope_chars:
-                break
-            gap = text[min(e, other[2]) : max(s, other[1])]
-            if role[other[0]] != role[kind] and len(gap) <= params.scope_chars and "\n\n" not in gap and (other[0] in ("assign", "access", "hex") or "secret" in (role[kind], role[other[0]])):
-                links.append((kind, s, e, f"{other[0]}:{other[1]}:{other[2]}"))
-                break
+        before, after = bisect_right(ends, s) - 1, bisect_left(starts, e)
+        least = max(s - params.scope_chars, starts[before] + 1 if before >= 0 else 0)
+        most = min(e + params.scope_chars, ends[after] - 1 if after < len(ends) else len(text))
+        at = bisect_left(furthest[kind], least)
+        if at < len(others[kind]) and others[kind][at][1] <= most:
+            links.append((kind, s, e, "{}:{}:{}".format(*others[kind][at])))
     return links
 
 
