@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import map_texts
+from textquarry.session import discard, materialize
 
 #: Cyrillic and Greek letters that look like Latin ones, and the letters they look like.
 HOMOGLYPHS = dict(zip("абвгеікмнорстухѕјԁһ" + "αβεικνορτυχ", "a6breikmhopctyxsjdh" + "abeiknoptux"))
@@ -36,7 +37,9 @@ class ToxicParams:
     prefix: tuple[int, int] = (3, 8)  #: lengths of word beginnings
     min_texts: int = 3  #: toxic training texts that must hold an entry
     min_odds: float = 2.5  #: least log odds of an entry
-    most_entries: int = 4000
+    most_entries: int = 4000  #: entries of the lexicon: those with the most weight times texts
+    most_candidates: int = 20_000  #: strong candidates looked at for it: those that most more toxic than clean texts hold
+    most_exceptions: int = 20_000  #: clean words looked at as exceptions of entries: the most frequent of them
     exceptions: tuple[str, ...] = field(default=())  #: phrases that are never toxic
 
 
@@ -87,13 +90,8 @@ def build_automaton(weights: dict[str, float]):
     return a
 
 
-def train(counts: list[tuple[str, int, int]], texts: list[tuple[int, str]], n: tuple[int, int], params: ToxicParams = ToxicParams(), full: tuple[int, int] | None = None) -> ToxicModel:
-    """counts: (entry, clean texts, toxic texts) of n = (clean, toxic); texts: (label, folded) to fit the logistic regression.
-
-    full: (clean, toxic) of all labels that the sample stands for. The sample's class ratio isn't theirs,
-    which shifts the log odds of every text by the same amount; the bias takes that back.
-    """
-    base = n[1] / max(sum(n), 1)
+def choose_entries(counts: list[tuple[str, int, int]], n: tuple[int, int], params: ToxicParams = ToxicParams()) -> dict[str, float]:
+    """Entry -> weight from (entry, clean texts, toxic texts) of n = (clean, toxic) texts; exceptions have weight 0."""
     odds = lambda c, t: math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
     found = sorted(((odds(c, t), t, e) for e, c, t in counts if t >= params.min_texts and odds(c, t) >= params.min_odds), key=lambda x: (-x[0] * x[1], x[2]))
     weights = {e: w for w, _, e in found[: params.most_entries]}
@@ -104,10 +102,18 @@ def train(counts: list[tuple[str, int, int]], texts: list[tuple[int, str]], n: t
     for e, c, t in counts:  # clean words that begin as an entry does are exceptions
         if c > t and odds(c, t) <= 0 and e.endswith(" ") and e.startswith(stems):
             weights[e] = 0.0
-    weights |= {fold_text(x): 0.0 for x in params.exceptions}
-    automaton = build_automaton(weights)
-    x = np.array([[1.0, *measures(t, automaton)] for _, t in texts]).reshape(-1, 3)
-    y = np.array([k for k, _ in texts], float)
+    return weights | {fold_text(x): 0.0 for x in params.exceptions}
+
+
+def regress(found: list[tuple[int, float, float]], n: tuple[int, int], full: tuple[int, int] | None = None) -> tuple[float, float, float]:
+    """Weights of the logistic regression over (label, the two measures) of n = (clean, toxic) sample texts.
+
+    full: (clean, toxic) of all labels that the sample stands for. The sample's class ratio isn't theirs,
+    which shifts the log odds of every text by the same amount; the bias takes that back.
+    """
+    base = n[1] / max(sum(n), 1)
+    x = np.array([[1.0, a, b] for _, a, b in found]).reshape(-1, 3)
+    y = np.array([k for k, _, _ in found], float)
     w = np.array([math.log((base + 1e-3) / (1 - base + 1e-3)), 0.0, 0.0])
     if len(y) and 0 < y.mean() < 1:
         for _ in range(60):  # Newton with a ridge
@@ -120,33 +126,37 @@ def train(counts: list[tuple[str, int, int]], texts: list[tuple[int, str]], n: t
                 break
     if full and min(*full, *n) > 0:
         w[0] += math.log(full[1] / full[0] * n[0] / n[1])
-    return ToxicModel(weights, tuple(map(float, w)))
+    return tuple(map(float, w))
+
+
+def train(counts: list[tuple[str, int, int]], texts: list[tuple[int, str]], n: tuple[int, int], params: ToxicParams = ToxicParams(), full: tuple[int, int] | None = None) -> ToxicModel:
+    """Both steps over (label, folded text) that are at hand."""
+    weights = choose_entries(counts, n, params)
+    automaton = build_automaton(weights)
+    return ToxicModel(weights, regress([(y, *measures(t, automaton)) for y, t in texts], n, full))
 
 
 def fit(df: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_where=None) -> ToxicModel:
     """Learn from a sample of the labelled rows: about `per_class` texts of each label, by a hash of the id.
 
-    Entries are counted in the workers; those in enough toxic texts come to the driver, with the
-    folded sample texts for the two regression weights. Null labels are not used; a document with
-    several label rows counts with the highest.
+    Texts stay with the workers, whatever their length: these count entries, of which the strong ones
+    come to the driver, and then measure the sample, which gives three numbers a text. Null labels
+    are not used; a document with several label rows counts with the highest.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
     if train_where is not None:
         marks = marks.where(train_where(F.col("__id")))
-    n = {r["__y"]: r["n"] for r in marks.groupBy("__y").agg(F.count("*").alias("n")).collect()}
-    h = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit("toxicity")), F.lit(1 << 20))
+    n = {r["__y"]: r["n"] for r in marks.where("__y in (0, 1)").groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    draw = F.xxhash64(F.col("__id").cast("string"), F.lit("toxicity")).cast("double") / 2.0**64 + 0.5
     picked = F.lit(False)
     for y in (0, 1):
         share = min(1.0, params.per_class / max(n.get(y, 0), 1))
-        picked = picked | ((F.col("__y") == y) & (h < int(share * (1 << 20)) + (share == 1.0)))
+        picked = picked | ((F.col("__y") == y) & ((draw < share) if share < 1 else F.lit(True)))
     sample = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(marks.where(picked)), "__id").select("__id", "__y", "__t")
 
-    folded = map_texts(sample, lambda: lambda texts: [[fold_text(t) for t in texts]], "folded string", "__id", "__t", ("__y",))
-    from textquarry.session import materialize
-
-    folded = materialize(folded, "toxic")
-    rows = [(r["__y"], r.folded) for r in folded.collect()]
-    sizes = (sum(y == 0 for y, _ in rows), sum(y == 1 for y, _ in rows))
+    folded = materialize(map_texts(sample, lambda: lambda texts: [[fold_text(t) for t in texts]], "folded string", "__id", "__t", ("__y",)), "toxic")
+    held = {r["__y"]: r["n"] for r in folded.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    sizes = held.get(0, 0), held.get(1, 0)
 
     def count(batches):
         from collections import Counter
@@ -162,12 +172,20 @@ def fit(df: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(), i
             part = keys[at : at + 10_000]
             yield pa.RecordBatch.from_pydict({"e": part, "c": [both[0][k] for k in part], "t": [both[1][k] for k in part]}, pa.schema([("e", pa.string()), ("c", pa.int64()), ("t", pa.int64())]))
 
-    counts = folded.select("__y", "folded").where("__y in (0, 1)").mapInArrow(count, "e string, c long, t long").groupBy("e").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    counts = folded.select("__y", "folded").mapInArrow(count, "e string, c long, t long").groupBy("e").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     counts = materialize(counts, "entries")
     strong = counts.where((F.col("t") >= params.min_texts) & (F.col("t") * (sizes[0] + 1.0) >= 5 * (F.col("c") + 0.5) * (sizes[1] + 1.0)))
-    strong = [(r.e, r.c, r.t) for r in strong.orderBy(F.desc(F.col("t") - F.col("c")), "e").limit(5 * params.most_entries).collect()]
-    clean = counts.where((F.col("c") > F.col("t")) & F.col("e").endswith(" ") & (F.col("c") >= 2)).orderBy(F.desc("c"), "e").limit(20_000).collect()
-    return train(strong + [(r.e, r.c, r.t) for r in clean], rows, sizes, params, (n.get(0, 0), n.get(1, 0)))
+    strong = [(r.e, r.c, r.t) for r in strong.orderBy(F.desc(F.col("t") - F.col("c")), "e").limit(params.most_candidates).collect()]
+    clean = counts.where((F.col("c") > F.col("t")) & F.col("e").endswith(" ") & (F.col("c") >= 2)).orderBy(F.desc("c"), "e").limit(params.most_exceptions).collect()
+    weights = choose_entries(strong + [(r.e, r.c, r.t) for r in clean], sizes, params)
+
+    def factory():
+        automaton = build_automaton(weights)
+        return lambda texts: [*zip(*(measures(t, automaton) for t in texts))]
+
+    measured = [(r["__y"], r.a, r.b) for r in map_texts(folded, factory, "a double, b double", "__id", "folded", ("__y",)).collect()]
+    discard(folded, counts)
+    return ToxicModel(weights, regress(sorted(measured), sizes, (n.get(0, 0), n.get(1, 0))))
 
 
 def score(df: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
