@@ -55,6 +55,14 @@ def test_near_duplicates_of_odd_tables(spark, odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rng = random.Random(11)
+    a, b, c = (" ".join(rng.choice("abcdefghijkl") * 2 + str(rng.randrange(99)) for _ in range(50)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, a + " end"), (9, b), (9, b), (7, c), (4, "end " + c), (8, None), (8, c)]
+    got = {(r.doc_id, r.n_shingles > 0): (r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {(5, True): (3, False), (3, True): (3, True), (9, True): (3, False), (7, True): (4, False), (4, True): (4, True), (8, True): (4, False), (8, False): (8, True)}
+
+
 def test_odd_sketch_estimates(spark):
     p = neardup.NearDupParams()
     sk, rng = neardup.Sketcher(p), np.random.default_rng(1)
@@ -115,6 +123,18 @@ def test_decontamination_as_brute_force(spark, monkeypatch, most):
     assert again.where("n_hit >= 10").count() == 0
 
 
+def test_long_spans_are_cut_out_by_place(spark):
+    items = [(1, " ".join(f"Word{i}" for i in range(25_000)))]
+    long = "Start here, " + ", ".join(f"wORD{i}" for i in range(20_000)) + "; and the rest " + " ".join(f"tail{i}" for i in range(30_000)) + "!"
+    docs = [(1, long), (2, "\n" + items[0][1]), (3, "a b  c"), (4, "word5-word6 word7 word8 word9/word10 word11 word12 word13 word14 'word15' x y z u v w r s t q p")]
+    d, b = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {r.doc_id: r.text for r in decontam.decontaminate(d, b).collect()}
+    assert got == {1: "Start here,  " + long[long.index("; and") :], 3: "a b  c", 4: " ' x y z u v w r s t q p"}
+    spans = F.expr("array(named_struct('at', 2, 'len', 2), named_struct('at', 5, 'len', 1))")
+    cut = spark.createDataFrame([("-a, b c;d (e) f.",), ("a b c d e",)], "t string").select(decontam.remove_spans(F.col("t"), spans).alias("t")).collect()
+    assert [r.t for r in cut] == ["-a,  ;d ( ) f.", "a   d  "]
+
+
 def test_decontamination_of_odd_tables(spark, odd, empty):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog again and again")], "item_id int, text string")
     got = decontam.find_contamination(odd, items)
@@ -125,23 +145,38 @@ def test_decontamination_of_odd_tables(spark, odd, empty):
     assert "Python" not in plan and "ArrowEval" not in plan
 
 
+def brute_rotation(rows, turns=64):
+    name = lambda r: (r or "").strip(" ") or None
+    escape = lambda t: t.replace("<|", "<\\|")
+    out = []
+    for c in {r[0] for r in rows}:
+        said = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, hashlib.md5(f"{r[2] or ''}\n{r[3] or ''}".encode()).hexdigest()))
+        for p in {name(r[2]) for r in said} - {None, "system"}:
+            for at in range(0, len(said), turns):
+                text, masks = "", []
+                for _, _, role, x in said[at : at + turns]:
+                    who = name(role)
+                    speaker = "assistant" if who == p else "system" if who == "system" else "user:" + escape(who or "unknown")
+                    text += f"<|{speaker}|>\n"
+                    a = len(text)
+                    text += f"{escape(x or '')}<|end|>\n"
+                    masks += [(a, len(text))] if who == p else []
+                out.append((c, p, at // turns, len(said[at : at + turns]), text, masks))
+    return sorted(out, key=repr)
+
+
 def test_every_participant_is_the_assistant_once(spark):
+    rng = random.Random(21)
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, 3, "ann", "bye"), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (3, 0, None, "ghost"), (3, 1, " ", "y"), (3, None, "eve", "z")]
+    rows += [(4, 0, "unknown", "I am <|end|>\n<|system|>"), (4, 1, None, "no <|"), (4, 2, "a<|b", "é😀")]
+    rows += [(5, rng.choice([None, *range(90)]), rng.choice(["ann", " bob ", None, "system"]), rng.choice(["a", "b", None, ""])) for _ in range(700)] + [(6, 1, "ann", "same")] * 300
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
-    got = chatrotate.rotate(df).collect()
-    people = {1: {"ann", "bob"}, None: {"ann"}, 3: {"eve"}}
-    want = []
-    for c, t, r, x in rows:
-        for p in people.get(c, ()):
-            name = (r or "").strip() or "unknown"
-            mine = name == p
-            head = f"<|{'assistant' if mine else 'system' if name == 'system' else 'user:' + name}|>\n"
-            out = f"{head}{x or ''}<|end|>\n"
-            want.append((c, p, t, out, len(head) if mine else 0, len(out) if mine else 0))
-    assert sorted([(r.conv_id, r.perspective, r.turn, r.rendered, r.mask_start, r.mask_end) for r in got], key=repr) == sorted(want, key=repr)
-    packed = {(r.perspective): r for r in chatrotate.pack(chatrotate.rotate(df.where("conv_id = 1"))).collect()}
-    assert packed["bob"].text.startswith("<|system|>\nbe kind<|end|>\n<|user:ann|>\nhi") and [packed["bob"].text[m.a : m.b] for m in packed["bob"].masks] == ["<|end|>\n"]
-    assert chatrotate.rotate(df.limit(0)).count() == 0 and chatrotate.rotate(df.withColumns({"perspective": F.lit(1), "of": F.lit(2)})).count() == len(got)
+    for params in (chatrotate.ChatParams(), chatrotate.ChatParams(turns=3)):
+        got = [(r.conv_id, r.perspective, r.part, r.n_turns, r.text, [(m.a, m.b) for m in r.masks]) for r in chatrotate.rotate(df.repartition(5), params).collect()]
+        assert sorted(got, key=repr) == brute_rotation(rows, params.turns)
+    assert chatrotate.rotate(df.limit(0)).count() == 0 and chatrotate.rotate(df.withColumns({"perspective": F.lit(1), "of": F.lit(2), "pos": F.lit(3), "part": F.lit("x")})).count() == len(brute_rotation(rows))
+    plan = chatrotate.rotate(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
 
 
 def test_pipeline_stages(spark, tmp_path):

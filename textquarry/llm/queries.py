@@ -34,7 +34,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chatrotate.rotate(table(spark, sf_dir, "conversations"))
+    """Rendered dialogues of every perspective, masks as a:b of characters, comma-joined."""
+    found = chatrotate.rotate(table(spark, sf_dir, "conversations"))
+    masks = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["a"].cast("string"), m["b"].cast("string"))), ",")
+    return found.select("conv_id", "perspective", "part", "n_turns", "text", masks.alias("masks"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +51,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = ctw.score(docs, fold(10) != 0, ctw.CtwParams(across_words=True))
+    found = ctw.score(docs, fold(10) != 0)
     return found.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
@@ -90,14 +93,20 @@ FROM documents d JOIN comp c ON c.src = d.doc_id LEFT JOIN n ON n.doc_id = d.doc
 """
 
 OP5_SQL = r"""
-WITH t AS (SELECT conv_id, turn, role, CASE WHEN role IS NULL OR trim(role) = '' THEN 'unknown' ELSE trim(role) END AS name, coalesce(text, '') AS text FROM conversations),
-p AS (SELECT DISTINCT conv_id, trim(role) AS perspective FROM t WHERE role IS NOT NULL AND trim(role) NOT IN ('', 'system')),
+WITH t AS (
+  SELECT conv_id, CASE WHEN trim(role) <> '' THEN trim(role) END AS who, replace(coalesce(text, ''), '<|', '<\|') AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(10) || coalesce(text, ''))) - 1 AS pos
+  FROM conversations
+), p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who IS NOT NULL AND who <> 'system'),
 j AS (
-  SELECT t.conv_id, p.perspective, t.turn, t.text, (t.name = p.perspective AND t.role IS NOT NULL) AS is_target,
-    CASE WHEN t.name = p.perspective AND t.role IS NOT NULL THEN 'assistant' WHEN t.name = 'system' THEN 'system' ELSE 'user:' || t.name END AS speaker
+  SELECT t.conv_id, p.perspective, pos, pos // 64 AS part, said, coalesce(who = perspective, false) AS mine,
+    CASE WHEN who = perspective THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user:' || replace(coalesce(who, 'unknown'), '<|', '<\|') END AS speaker
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
-), r AS (SELECT *, '<|' || speaker || '|>' || chr(10) AS head FROM j), s AS (SELECT *, head || text || '<|end|>' || chr(10) AS rendered FROM r)
-SELECT conv_id, perspective, turn, speaker, rendered, (CASE WHEN is_target THEN length(head) ELSE 0 END)::BIGINT AS mask_start, (CASE WHEN is_target THEN length(rendered) ELSE 0 END)::BIGINT AS mask_end, is_target FROM s
+), r AS (SELECT *, '<|' || speaker || '|>' || chr(10) AS head, said || '<|end|>' || chr(10) AS body FROM j),
+s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY pos) AS b FROM r)
+SELECT conv_id, perspective, part::BIGINT AS part, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY pos) AS text,
+  coalesce(string_agg((b - length(body))::BIGINT || ':' || b::BIGINT, ',' ORDER BY pos) FILTER (mine), '') AS masks
+FROM s GROUP BY conv_id, perspective, part
 """
 
 OP6_SQL = r"""
