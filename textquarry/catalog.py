@@ -9,7 +9,7 @@ from textquarry.functions import text as tx
 from textquarry.operators import analytics, bm25, chunking, cleaning, dataset, diagnostics, evidence, fusion, graph, metrics, parsing, query, vectors, verdicts
 from textquarry.operators.components import connected_components
 from textquarry.plans import retrieval
-from textquarry.session import table
+from textquarry.session import exists, table
 from textquarry.streaming import ingest
 
 _QUERIES: dict = {}
@@ -38,8 +38,15 @@ def _items(spark, sf):
     return table(spark, sf, "benchmark")
 
 
+_BUILT: dict = {}
+
+
 def _index(spark, sf):
-    return bm25.build_index(table(spark, sf, "documents"), "doc_id", "text")
+    """The documents' lexical index: built once a session and folder, then read by every search."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _BUILT or not exists(_BUILT[key].postings):
+        _BUILT[key] = bm25.build_index(table(spark, sf, "documents"), "doc_id", "text")
+    return _BUILT[key]
 
 
 # --- lexical index and search -------------------------------------------------------------------
@@ -194,12 +201,6 @@ def meteor(spark, sf):
     return metrics.meteor(_pairs(spark, sf), "id", "a", "b")
 
 
-@_query()
-def rouge_l(spark, sf):
-    p = _pairs(spark, sf)
-    return p.select("id", metrics.rouge_l_long(metrics.metric_tokens(F.col("a")), metrics.metric_tokens(F.col("b"))).alias("rouge_l"))
-
-
 @_query(f"WITH {_PAIRS} SELECT id, (lower(trim(regexp_replace(coalesce(a, ''), '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(coalesce(b, ''), '\\s+', ' ', 'g'))))::INT::DOUBLE AS em FROM pairs")
 def exact_match(spark, sf):
     return _pairs(spark, sf).select("id", metrics.exact_match(F.col("a"), F.col("b")).alias("em"))
@@ -246,12 +247,12 @@ def batch_census(spark, sf):
     return analytics.census(table(spark, sf, "events"), {"event_type": F.col("event_type"), "sign": sign})
 
 
-@_query("""WITH a AS (SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, source AS lang FROM documents WHERE doc_id % 5 <> 0)
+@_query("""WITH a AS (SELECT doc_id, lang FROM documents), b AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' WHEN toxic = 1 THEN 'toxic' END AS lang FROM labels)
 SELECT coalesce(a.lang, 'missing') || '->' || coalesce(b.lang, 'missing') AS transition, count(*) AS n FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY 1""")
 def batch_transitions(spark, sf):
-    """Two runs that lack some keys each: the missing state is what is compared."""
-    d = table(spark, sf, "documents")
-    return analytics.transitions(d.where("doc_id % 3 <> 0").select("doc_id", "lang"), d.where("doc_id % 5 <> 0").select("doc_id", F.col("source").alias("lang")), "doc_id", "lang")
+    """Documents against labels, which lack many of them: the missing state is what is compared."""
+    labels = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, F.lit("good")).when(F.col("toxic") == 1, F.lit("toxic")).alias("lang"))
+    return analytics.transitions(table(spark, sf, "documents").select("doc_id", "lang"), labels, "doc_id", "lang")
 
 
 @_query("""SELECT p_partkey, EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice)) AS dominated FROM part a""")
@@ -398,16 +399,8 @@ def graph_traversal(spark, sf):
     return graph.traverse(_edges(spark, sf), seeds).select("seed_set", "source", "target", "kind", "hop")
 
 
-@_query("""WITH RECURSIVE e AS (SELECT l_orderkey AS a, -1 - l_suppkey AS b FROM lineitem WHERE l_quantity > 49 UNION SELECT -1 - l_suppkey, l_orderkey FROM lineitem WHERE l_quantity > 49), n AS (SELECT DISTINCT a FROM e),
-r AS (SELECT a AS src, a AS dst FROM n UNION SELECT r.src, e.b FROM r JOIN e ON r.dst = e.a) SELECT src AS id, min(dst) AS component FROM r GROUP BY src""")
-def components(spark, sf):
-    """Orders and suppliers that a large line joins."""
-    line = table(spark, sf, "lineitem").where("l_quantity > 49")
-    return connected_components(line.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")))
-
-
 @_query()
-def components_all_lines(spark, sf):
+def components(spark, sf):
     """Orders and suppliers that any line joins; no SQL, as the recursive one asks for all pairs."""
     line = table(spark, sf, "lineitem")
     return connected_components(line.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")))
@@ -478,22 +471,6 @@ def grounded_answers(spark, sf):
 
 # --- query understanding --------------------------------------------------------------------------
 
-@_query(r"""SELECT item_id, CASE WHEN contains(lower(trim(text)), 'phải') THEN 'obligation' ELSE 'general' END AS intent, len(list_distinct(regexp_extract_all(text, '(?:^|[^0-9])((?:19|20)[0-9]{2})', 1))) AS n_years FROM benchmark""")
-def query_analysis(spark, sf):
-    return query.analyze(_items(spark, sf), "text").select("item_id", "intent", F.size("year_mentions").alias("n_years"))
-
-
-@_query("SELECT item_id AS query_id, 'qv1' AS variant_id, 'normalized' AS kind, trim(text) AS text FROM benchmark")
-def query_variants(spark, sf):
-    return query.plan_variants(_items(spark, sf), "item_id", "text")
-
-
-@_query("SELECT item_id, 'hybrid_rerank' AS first_route, 3 AS n FROM benchmark")
-def query_routes(spark, sf):
-    r = query.plan_routes(query.analyze(_items(spark, sf), "text"))
-    return r.select("item_id", F.element_at("routes", 1).alias("first_route"), F.size("routes").alias("n"))
-
-
 # --- cleaning, parsing, chunking ------------------------------------------------------------------
 
 @_query()
@@ -615,8 +592,3 @@ def answer_recovery(spark, sf):
     return e.groupBy("r.outcome").agg(F.count("*").alias("n"))
 
 
-@_query()
-def rouge_l_ascii(spark, sf):
-    """ROUGE-L over ASCII tokens, where marks split words."""
-    t = lambda c: F.filter(F.split(F.lower(F.col(c)), "[^a-z0-9]+"), lambda w: w != "")
-    return _pairs(spark, sf).select("id", metrics.rouge_l_long(t("a"), t("b")).alias("rouge_l"))

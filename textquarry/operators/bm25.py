@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import terms
+from textquarry.session import materialize
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6  #: in place of an idf of 0 or less
@@ -25,11 +26,19 @@ class Bm25Index:
 
 
 def build_index(chunks: DataFrame, id_col: str, text_col: str) -> Bm25Index:
-    """Postings with the chunk's length beside each, so that scoring needs no second join by chunk."""
+    """Postings with the chunk's length beside each, so that scoring needs no second join by chunk.
+
+    Texts are split once. The postings are written sorted by term, so that a search reads only the
+    row groups of its terms, and every search of the index reads the same tables. Chunks without
+    terms have no posting, and count in the statistics.
+    """
     tokens = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.coalesce(text_col, F.lit(""))).alias("ts"))
-    postings = tokens.select("chunk_id", F.size("ts").alias("doc_len"), F.explode("ts").alias("term")).groupBy("chunk_id", "doc_len", "term").agg(F.count("*").alias("tf"))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
+    tall = tokens.select("chunk_id", F.size("ts").alias("doc_len"), F.explode("ts").alias("term")).groupBy("chunk_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+    postings = materialize(tall.repartitionByRange("term", "chunk_id").sortWithinPartitions("term"), "postings")
+    frequencies = materialize(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    per_chunk = chunks.select(F.count("*").alias("n"))
+    length = postings.agg(F.sum("tf").alias("total"))
+    stats = materialize(per_chunk.crossJoin(F.broadcast(length)).select("n", (F.coalesce("total", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl")), "stats")  # one row each
     return Bm25Index(postings, frequencies, stats)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textquarry.functions.text import ordered_distinct_folded
 
@@ -101,3 +103,26 @@ def plan_routes(df: DataFrame, max_retry: int = 2, default_order: tuple[str, ...
         .otherwise(F.array().cast("array<string>"))
     )
     return df.withColumn("routes", F.slice(F.array_distinct(F.concat(adaptive, lit(default_order))), 1, max_retry + 1))
+
+
+@F.pandas_udf(T.StringType())
+def _composed(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFC")
+
+
+def create_queries(df: DataFrame, max_chars: int = 2000, top_k: int = 10, candidate_k: int = 20, max_top_k: int = 50, max_candidate_k: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Accepted queries and refused ones with their `problem`, of df(query_id, question) and optionally top_k and candidate_k.
+
+    The original question is trimmed; the normalised one is in form C with single spaces.
+    """
+    q = F.regexp_replace(F.coalesce("question", F.lit("")), r"(?U)^\s+|\s+$", "")
+    k = F.coalesce(F.col("top_k"), F.lit(top_k)) if "top_k" in df.columns else F.lit(top_k)
+    c = F.coalesce(F.col("candidate_k"), F.lit(candidate_k)) if "candidate_k" in df.columns else F.lit(candidate_k)
+    rows = df.select("query_id", q.alias("original_question"), _composed(F.regexp_replace(q, r"(?U)\s+", " ")).alias("normalized_question"), k.cast("int").alias("top_k"), c.cast("int").alias("candidate_k"))
+    problem = (
+        F.when(F.col("query_id").isNull() | (F.trim(F.col("query_id").cast("string")) == ""), F.lit("query_id")).when(F.col("original_question") == "", F.lit("blank_question"))
+        .when(F.length("original_question") > max_chars, F.lit("question_too_long"))
+        .when((F.col("top_k") < 1) | (F.col("top_k") > max_top_k) | (F.col("candidate_k") > max_candidate_k) | (F.col("candidate_k") < F.col("top_k")), F.lit("limits"))
+    )
+    marked = rows.withColumn("problem", problem)
+    return marked.where("problem is null").drop("problem"), marked.where("problem is not null").select("query_id", "problem")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,34 +39,46 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int, query_id: s
     """(query_id, chunk_id, score, rank): exact, ties by id, scores rounded to 6 places before ranking.
 
     Queries are held in blocks of at most QUERY_BLOCK by every task; each Arrow batch is one matrix
-    product, cut to its own top k before the shuffle, so that rows moved are tasks x queries x k.
+    product, cut to its own top k before the shuffle, so that rows moved are batches x queries x k.
     """
-    blocks = normalise(queries, vec_col).select(F.col(query_id).alias("q"), F.col(vec_col).alias("v")).orderBy("q").toLocalIterator()
-    rows = [(r.q, r.v) for r in blocks]
     id_type = vectors.schema[vec_id].dataType
     out = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("chunk_id", id_type), T.StructField("score", T.DoubleType())])
     spark, found = vectors.sparkSession, None
-    base = normalise(vectors, vec_col).select(vec_id, vec_col)
-    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
-        part = rows[at : at + QUERY_BLOCK]
+    base = normalise(vectors, vec_col).select(F.col(vec_id).alias("__id"), F.col(vec_col).alias("__v"))
+    asked = normalise(queries, vec_col).select(F.col(query_id).alias("q"), F.col(vec_col).alias("v"))
+
+    def passes():
+        part = []
+        for r in asked.toLocalIterator():
+            part.append((r.q, r.v))
+            if len(part) == QUERY_BLOCK:
+                yield part
+                part = []
+        if part:
+            yield part
+
+    for part in passes():  # the driver holds one block at a time
         held = spark.sparkContext.broadcast(([q for q, _ in part], np.array([v for _, v in part], np.float64).reshape(len(part), -1)))
 
         def local(batches, held=held):
-            import pandas as pd
-
             ids, m = held.value
             for pdf in batches:
-                if not len(pdf) or not len(ids):
+                if not len(pdf):
                     continue
-                keys = pdf[vec_id].to_numpy()
-                s = np.round(m @ np.stack(pdf[vec_col].to_numpy()).astype(np.float64).T, 6)
+                keys = pdf["__id"].to_numpy()
+                s = np.round(m @ np.stack(pdf["__v"].to_numpy()).astype(np.float64).T, 6)
                 for i, q in enumerate(ids):
                     may = np.arange(len(keys)) if not exclude_same else np.flatnonzero(keys != q)
+                    if len(may) > 4 * top_k:  # ties at the edge stay in
+                        edge = np.partition(s[i, may], len(may) - top_k)[len(may) - top_k]
+                        may = may[s[i, may] >= edge]
                     order = may[np.lexsort((keys[may], -s[i, may]))[:top_k]]
                     yield pd.DataFrame({"query_id": [q] * len(order), "chunk_id": keys[order], "score": s[i, order]})
 
         one = base.mapInPandas(local, out)
         found = one if found is None else found.union(one)
+    if found is None:
+        found = spark.createDataFrame([], out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
@@ -80,14 +96,125 @@ def late_materialise(hits: DataFrame, payload: DataFrame, payload_id: str) -> Da
     return hits.join(payload.withColumnRenamed(payload_id, "chunk_id"), "chunk_id")
 
 
-def hashing_embedder(df: DataFrame, text_col: str, dim: int = 384, prefix: str = "passage: ") -> DataFrame:
-    """A deterministic offline embedding: signed feature hashing of terms. Stands in for a model behind the same column."""
+def hashing_embedder(df: DataFrame, text_col: str, dim: int = 384, out_col: str = "embedding") -> DataFrame:
+    """A deterministic offline embedding: each term adds 1 or -1 at a place, both told by its MD5 digest. Stands in for a model behind the same column.
+
+    The place is the number of the digest's first eight hex digits modulo `dim`; the sign is negative
+    if the ninth is odd. Texts without terms get a null vector, which is no valid one.
+    """
     from textquarry.functions.text import terms
 
-    words = terms(F.concat(F.lit(prefix), F.coalesce(text_col, F.lit(""))))
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(dim))
-    sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    pairs = F.transform(words, lambda w: F.struct(slot(w).alias("i"), sign(w).alias("s")))
-    tall = df.withColumn("__p", pairs)
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter("__p", lambda p: p["i"] == i), F.lit(0.0), lambda a, p: a + p["s"]))
-    return tall.withColumn("embedding", vec).drop("__p")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(words: pd.Series) -> pd.Series:
+        places: dict[str, tuple[int, float]] = {}
+        out = []
+        for ws in words:
+            v = np.zeros(dim, np.float32)
+            for w in ws if ws is not None else ():
+                if (x := places.get(w)) is None:
+                    h = hashlib.md5(w.encode()).hexdigest()
+                    x = places[w] = (int(h[:8], 16) % dim, -1.0 if int(h[8], 16) % 2 else 1.0)
+                v[x[0]] += x[1]
+            out.append(v if ws is not None and len(ws) else None)
+        return pd.Series(out)
+
+    return df.withColumn(out_col, embed(terms(F.coalesce(F.col(text_col), F.lit("")))))
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """A written vector table (row_index, chunk_id, embedding of length one) with its manifest."""
+
+    path: str
+    manifest: dict
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/vectors")
+
+
+def build_vector_index(chunks: DataFrame, embed, id_col: str, text_col: str, path: str, provider: dict, source: dict, buckets: int = 64) -> VectorIndex:
+    """Embed chunks to `path`/vectors, resuming after an interruption, and publish the manifest at the end.
+
+    Chunks fall into a fixed number of buckets by a hash of their id; a bucket is written as a whole,
+    so that what a stopped build left is complete buckets, which are not embedded again. Another
+    provider, source or dimension at the same path is refused, as are vectors that aren't finite or
+    all zero. provider: provider, version, model, revision, dimension; source: artifact, version, sha256.
+    """
+    spark = chunks.sparkSession
+    wanted = {"provider": provider, "source": source, "buckets": buckets}
+    plan = f"{path}/plan"
+    if (old := read_json(spark, plan)) is not None and old != wanted:
+        raise ValueError(f"the vector artifact at {path} belongs to another build")
+    write_json(spark, plan, wanted)
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).withColumn("bucket", F.pmod(F.xxhash64(F.col("chunk_id").cast("string")), F.lit(buckets)).cast("int"))
+    done = committed_buckets(spark, f"{path}/vectors")
+    left = rows.where(~F.col("bucket").isin(done)) if done else rows
+    vectors = embed(left, "text").select("chunk_id", "embedding", "bucket")
+    fits = is_valid(F.col("embedding")) & (F.size("embedding") == provider["dimension"])
+    checked = vectors.withColumn("embedding", F.when(fits, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("no valid vector for chunk "), F.col("chunk_id").cast("string"))).cast("array<float>")))
+    unit = checked.withColumn("n", norm(F.col("embedding"))).withColumn("embedding", F.transform("embedding", lambda x: (x / F.col("n")).cast("float"))).drop("n")
+    unit.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk_id").write.mode("append").partitionBy("bucket").parquet(f"{path}/vectors")
+    stored = spark.read.parquet(f"{path}/vectors")
+    n = stored.agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("d")).first()
+    if n["n"] != n["d"] or n["n"] != rows.count():
+        raise ValueError(f"{n['n']} vectors of {n['d']} chunks don't match the source")
+    manifest = wanted | {"records": n["n"], "metric": "cosine", "normalised": True}
+    write_json(spark, f"{path}/manifest", manifest)
+    return VectorIndex(path, manifest)
+
+
+def committed_buckets(spark: SparkSession, path: str) -> list[int]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    return sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(at) if x.getPath().getName().startswith("bucket="))
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """One JSON object as a file in any store that Spark writes."""
+    import json
+
+    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    import json
+
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return json.loads(spark.read.text(path).first()["value"])
+
+
+def open_vector_index(spark: SparkSession, path: str, provider: dict) -> VectorIndex:
+    """A published index whose provider, model and dimension are those that will embed the queries."""
+    manifest = read_json(spark, f"{path}/manifest")
+    if manifest is None:
+        raise ValueError(f"no published vector index at {path}")
+    for key in ("provider", "version", "model", "revision", "dimension"):
+        if manifest["provider"].get(key) != provider.get(key):
+            raise ValueError(f"the index was built with another {key}")
+    return VectorIndex(path, manifest)
+
+
+def vector_problems(vectors: DataFrame, chunks: DataFrame, id_col: str, dimension: int, tolerance: float = 1e-4) -> DataFrame:
+    """(chunk_id, problem): vectors of a wrong length, not finite or not of length one, ids twice, vectors without a chunk and chunks without a vector."""
+    v = F.col("embedding")
+    problem = F.when(v.isNull() | (F.size(v) != dimension), F.lit("dimension")).when(~is_valid(v), F.lit("not_finite_or_zero")).when(F.abs(norm(v) - 1) > tolerance, F.lit("not_normalised"))
+    bad = vectors.select("chunk_id", problem.alias("problem")).where("problem is not null")
+    twice = vectors.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id", F.lit("duplicate_id").alias("problem"))
+    ids = chunks.select(F.col(id_col).alias("chunk_id"))
+    foreign = vectors.join(ids, "chunk_id", "left_anti").select("chunk_id", F.lit("unknown_chunk").alias("problem"))
+    lacking = ids.join(vectors, "chunk_id", "left_anti").select("chunk_id", F.lit("missing_vector").alias("problem"))
+    return bad.union(twice).union(foreign).union(lacking)
+
+
+def serving_metadata(vectors: DataFrame, chunks: DataFrame, id_col: str, filter_cols: list[str]) -> DataFrame:
+    """(chunk_id, bucket, filter columns): what filters need beside the vectors, kept in the vectors' buckets and sorted by the filter columns.
+
+    Files and row groups whose statistics rule a filter out aren't read, which is what row offsets
+    and indexes do for a single file.
+    """
+    meta = chunks.select(F.col(id_col).alias("chunk_id"), *filter_cols)
+    return vectors.select("chunk_id", "bucket").join(meta, "chunk_id").repartition("bucket").sortWithinPartitions("bucket", *filter_cols)

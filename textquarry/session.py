@@ -71,6 +71,12 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def exists(df: DataFrame) -> bool:
+    """Whether a materialised table is still there."""
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._textquarry_path)
+    return at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all materialised tables of the scratch folder, once the results that read them are written."""
     _delete(spark, f"{scratch_dir(spark)}/textquarry")
