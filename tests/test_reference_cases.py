@@ -268,5 +268,5 @@ def test_components_of_all_lines_as_union_find(spark, tmp_path):
     for order, supplier, _ in lines:
         a, b = sorted((find(order), find(-1 - supplier)))
         up[b] = a
-    got = {r.id: r.component for r in catalog.queries()["components_all_lines"](spark, str(tmp_path)).collect()}
-    assert got == {x: find(x) for x in up} and len(got) == 11 and "components_all_lines" not in catalog.oracle_sql()
+    got = {r.id: r.component for r in catalog.queries()["components"](spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in up} and len(got) == 11 and "components" not in catalog.oracle_sql()
