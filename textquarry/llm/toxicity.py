@@ -40,6 +40,7 @@ class ToxicParams:
     most_entries: int = 4000  #: entries of the lexicon: those with the most weight times texts
     most_candidates: int = 20_000  #: strong candidates looked at for it: those that most more toxic than clean texts hold
     most_exceptions: int = 20_000  #: clean words looked at as exceptions of entries: the most frequent of them
+    folds: int = 5  #: parts of the sample, each measured by the lexicon of the others
     exceptions: tuple[str, ...] = field(default=())  #: phrases that are never toxic
 
 
@@ -129,19 +130,14 @@ def regress(found: list[tuple[int, float, float]], n: tuple[int, int], full: tup
     return tuple(map(float, w))
 
 
-def train(counts: list[tuple[str, int, int]], texts: list[tuple[int, str]], n: tuple[int, int], params: ToxicParams = ToxicParams(), full: tuple[int, int] | None = None) -> ToxicModel:
-    """Both steps over (label, folded text) that are at hand."""
-    weights = choose_entries(counts, n, params)
-    automaton = build_automaton(weights)
-    return ToxicModel(weights, regress([(y, *measures(t, automaton)) for y, t in texts], n, full))
-
-
 def fit(df: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_where=None) -> ToxicModel:
     """Learn from a sample of the labelled rows: about `per_class` texts of each label, by a hash of the id.
 
     Texts stay with the workers, whatever their length: these count entries, of which the strong ones
-    come to the driver, and then measure the sample, which gives three numbers a text. Null labels
-    are not used; a document with several label rows counts with the highest.
+    come to the driver, and then measure the sample, which gives three numbers a text. A text is
+    measured by the lexicon of the other folds, so that the regression doesn't take chance entries of
+    its own texts for good ones. Null labels are not used; a document with several label rows counts
+    with the highest.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
     if train_where is not None:
@@ -154,36 +150,57 @@ def fit(df: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(), i
         picked = picked | ((F.col("__y") == y) & ((draw < share) if share < 1 else F.lit(True)))
     sample = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(marks.where(picked)), "__id").select("__id", "__y", "__t")
 
-    folded = materialize(map_texts(sample, lambda: lambda texts: [[fold_text(t) for t in texts]], "folded string", "__id", "__t", ("__y",)), "toxic")
-    held = {r["__y"]: r["n"] for r in folded.groupBy("__y").agg(F.count("*").alias("n")).collect()}
-    sizes = held.get(0, 0), held.get(1, 0)
+    folded = map_texts(sample, lambda: lambda texts: [[fold_text(t) for t in texts]], "folded string", "__id", "__t", ("__y",))
+    folded = materialize(folded.withColumn("__f", F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit("fold")), F.lit(params.folds)).cast("int")), "toxic")
+    held = {(r["__f"], r["__y"]): r["n"] for r in folded.groupBy("__f", "__y").agg(F.count("*").alias("n")).collect()}
+    sizes = tuple(sum(k for (_, y), k in held.items() if y == label) for label in (0, 1))
 
     def count(batches):
         from collections import Counter
 
         import pyarrow as pa
 
-        both = Counter(), Counter()
+        found: dict[tuple[int, int], Counter] = {}
         for b in batches:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                both[y].update(features(t, params.prefix))
-        keys = [*{*both[0], *both[1]}]
-        for at in range(0, len(keys), 10_000):
-            part = keys[at : at + 10_000]
-            yield pa.RecordBatch.from_pydict({"e": part, "c": [both[0][k] for k in part], "t": [both[1][k] for k in part]}, pa.schema([("e", pa.string()), ("c", pa.int64()), ("t", pa.int64())]))
-
-    counts = folded.select("__y", "folded").mapInArrow(count, "e string, c long, t long").groupBy("e").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+            for f, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                found.setdefault((f, y), Counter()).update(features(t, params.prefix))
+        for (f, y), c in found.items():
+            keys = [*c]
+            for at in range(0, len(keys), 10_000):
+                part = keys[at : at + 10_000]
+                yield pa.RecordBatch.from_pydict({"e": part, "f": [f] * len(part), "y": [y] * len(part), "n": [c[k] for k in part]}, pa.schema([("e", pa.string()), ("f", pa.int32()), ("y", pa.int32()), ("n", pa.int64())]))
+
+    of = lambda y, f: F.sum(F.when((F.col("y") == y) & (F.col("f") == f), F.col("n")).otherwise(0))
+    total = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    counts = folded.select("__f", "__y", "folded").mapInArrow(count, "e string, f int, y int, n long").groupBy("e").agg(
+        total(0).alias("c"), total(1).alias("t"), F.array(*[F.struct(of(0, f).alias("c"), of(1, f).alias("t")) for f in range(params.folds)]).alias("by")
+    )
     counts = materialize(counts, "entries")
     strong = counts.where((F.col("t") >= params.min_texts) & (F.col("t") * (sizes[0] + 1.0) >= 5 * (F.col("c") + 0.5) * (sizes[1] + 1.0)))
-    strong = [(r.e, r.c, r.t) for r in strong.orderBy(F.desc(F.col("t") - F.col("c")), "e").limit(params.most_candidates).collect()]
-    clean = counts.where((F.col("c") > F.col("t")) & F.col("e").endswith(" ") & (F.col("c") >= 2)).orderBy(F.desc("c"), "e").limit(params.most_exceptions).collect()
-    weights = choose_entries(strong + [(r.e, r.c, r.t) for r in clean], sizes, params)
+    rows = strong.orderBy(F.desc(F.col("t") - F.col("c")), "e").limit(params.most_candidates).collect()
+    rows += counts.where((F.col("c") > F.col("t")) & F.col("e").endswith(" ") & (F.col("c") >= 2)).orderBy(F.desc("c"), "e").limit(params.most_exceptions).collect()
+    weights = choose_entries([(r.e, r.c, r.t) for r in rows], sizes, params)
+    without = []  # for each fold, the lexicon of the others
+    for f in range(params.folds):
+        left = tuple(sizes[y] - held.get((f, y), 0) for y in (0, 1))
+        without.append(choose_entries([(r.e, r.c - r.by[f].c, r.t - r.by[f].t) for r in rows], left, params) if min(left) > 0 else {})
 
     def factory():
-        automaton = build_automaton(weights)
-        return lambda texts: [*zip(*(measures(t, automaton) for t in texts))]
+        automata: dict[int, object] = {}
+
+        def f(texts):
+            out = []
+            for t in texts:
+                fold, text = int(t[: t.index("\n")]), t[t.index("\n") + 1 :]
+                if fold not in automata:
+                    automata[fold] = build_automaton(without[fold])
+                out.append(measures(text, automata[fold]))
+            return [*zip(*out)]
+
+        return f
 
-    measured = [(r["__y"], r.a, r.b) for r in map_texts(folded, factory, "a double, b double", "__id", "folded", ("__y",)).collect()]
+    marked = folded.select("__id", "__y", F.concat_ws("\n", F.col("__f").cast("string"), "folded").alias("__t"))
+    measured = [(r["__y"], r.a, r.b) for r in map_texts(marked, factory, "a double, b double", "__id", "__t", ("__y",)).collect()]
     discard(folded, counts)
     return ToxicModel(weights, regress(sorted(measured), sizes, (n.get(0, 0), n.get(1, 0))))
 
