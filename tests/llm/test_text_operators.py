@@ -113,6 +113,69 @@ def test_quality_base_counts_and_verdict(spark, odd, empty):
     assert quality.js_distance(p, p) == 0 and quality.js_distance(p, q) == pytest.approx(1) and quality.js_distance(p * 0, q) == 1
 
 
+def brute_class(c):
+    if c in " \t":
+        return 0
+    if c in "\n\r\x0b\x0c":
+        return 1
+    if "a" <= c <= "z":
+        return 2
+    if "A" <= c <= "Z":
+        return 3
+    if "0" <= c <= "9":
+        return 4
+    if c.isalpha():
+        return 5
+    if c in ".,;:!?'\"()-":
+        return 6
+    return 7 if " " < c < "\x7f" else 8
+
+
+def test_quality_distances_and_verdict_as_the_plain_measures(spark):
+    rng = random.Random(14)
+    vocabulary = {"aa": [("".join(rng.choices("abcdefé", k=rng.randint(1, 7)))) for _ in range(60)], "bb": [("".join(rng.choices("ghijklñЖ", k=rng.randint(1, 7)))) for _ in range(60)]}
+
+    def make(la, n):
+        words = rng.choices(vocabulary[la], weights=[1 / (i + 1) for i in range(60)], k=n)
+        return rng.choice([" ", "\n", "  "]).join(w.title() if rng.random() < 0.1 else w + rng.choice(["", "", ",", ".", "9"]) for w in words)
+
+    docs = [(i, make(la := ("aa", "bb")[i % 2], rng.choice([5, 60, 99, 100, 150, 400])), la) for i in range(90)]
+    docs += [(100, "#$% " * 120, "aa"), (101, make("bb", 200), "aa"), (102, "".join(rng.choices("xyz 019#é日", k=900)), "bb"), (103, make("aa", 120), None), (104, "x y z", "cc"), (105, None, "aa"), (106, " ".join([make("aa", 30)] * 5), "aa")]
+    df, p = spark.createDataFrame(docs, "doc_id int, text string, lang string"), quality.QualityParams()
+    refs = {}
+    for la in ("aa", "bb", "cc"):
+        texts = [t for _, t, x in docs if x == la and t]
+        words = Counter(w for t in texts for w in t.lower().replace("\n", " ").split(" ") if w)
+        n = sum(words.values())
+        if n >= p.language_words:
+            common = sorted(w for w, k in words.items() if k >= p.common_share * n)
+            refs[la] = [sum(brute_class(c) == k for t in texts for c in t) for k in range(9)], common, [words[w] for w in common] + [n - sum(words[w] for w in common)]
+    assert set(refs) == {"aa", "bb"}
+
+    def distance(x, y):
+        x, y = [v / sum(x) for v in x], [v / sum(y) for v in y]
+        kl = lambda u, m: sum(a * math.log2(a / b) for a, b in zip(u, m) if a > 0)
+        m = [(a + b) / 2 for a, b in zip(x, y)]
+        return math.sqrt(max((kl(x, m) + kl(y, m)) / 2, 0))
+
+    got, verdicts = {r.doc_id: r for r in quality.judge(df, quality.language_references(df)).collect()}, set()
+    for i, t, la in docs:
+        n, *_, repeat = brute_quality(t)
+        failed = n < 50 or 100 * repeat > 50 * n
+        dc = dw = None
+        if t and la != "cc":
+            if len(t) >= p.min_chars:
+                dc = min(distance([sum(brute_class(c) == k for c in t) for k in range(9)], r[0]) for r in refs.values())
+            if n >= p.min_words:
+                words = Counter(w for w in t.lower().replace("\n", " ").split(" ") if w)
+                dw = min(distance([words[w] for w in r[1]] + [n - sum(words[w] for w in r[1])], r[2]) for r in refs.values())
+        kept = not failed and (dc is None or dc <= p.max_class_distance) and (dw is None or dw <= p.max_word_distance)
+        assert (got[i].base_failed, got[i].kept) == (failed, kept), (i, dc, dw)
+        assert got[i].class_distance == (None if dc is None else pytest.approx(dc, abs=1e-9)) and got[i].word_distance == (None if dw is None else pytest.approx(dw, abs=1e-9))
+        verdicts.add((failed, kept))
+    assert verdicts == {(True, False), (False, False), (False, True)}
+
+
 def test_quality_of_languages_that_are_a_small_part(spark):
     rng = random.Random(9)
     make = lambda words, n: " ".join(rng.choices(words.split(), k=n))
@@ -154,6 +217,32 @@ def test_toxicity_learns_whole_words_stems_and_disguises(spark, odd, empty):
     assert toxicity.score(odd, none).count() == odd.count() and toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_scores_as_the_plain_model(spark):
+    """The lexicon found word by word, the longest entry first, and the regression written out; accuracy on texts that weren't learned from."""
+    rng, plain = random.Random(15), ["river", "stone", "house", "tree", "walks", "class", "assist", "hills", "moral"]
+    bad = ["moron", "idiot", "idiots", "scum", "asshat"]
+    make = lambda y: " ".join([*rng.choices(plain, k=rng.randint(3, 40)), *(rng.choices(bad, k=2) if y else [])])
+    docs = [(i, make(i % 4 == 0)) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(500)], "doc_id int, toxic int")
+    model = toxicity.fit(df, labels, train_where=lambda c: c % 5 != 0)
+    assert model.weights and not any(w in e for e in model.weights for w in ("river", "stone", "house"))
+    odd = [(1000, "A M0R0N, аsshаt and ｓｃｕｍ"), (1001, ""), (1002, None), (1003, "5tone 1diot! idiotic"), (1004, "as-is class")]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(docs + odd, "doc_id int, text string"), model).collect()}
+    for i, t in docs + odd:
+        words, total, at = toxicity.fold_text(t).split(), 0.0, 0
+        while at < len(words):
+            rest = f" {' '.join(words[at:])} "
+            best = max((e for e in model.weights if rest.startswith(e)), key=len, default=" ")
+            total += model.weights.get(best, 0.0)
+            at += max(1, best.strip().count(" ") + 1)
+        b, u, v = model.coef
+        n = len(words) + 1 if words else 1 if not t else 2
+        z = b + u * math.log1p(total) + v * math.log1p(100 * total / (n + 20))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9) and got[i].predicted == int(got[i].score >= 0.5)
+    assert all(got[i].predicted == int(i % 4 == 0) for i in range(0, 500, 5)) and got[1000].predicted == 1 and got[1004].predicted == 0
+
+
 def test_toxicity_bias_is_that_of_all_labels(spark):
     rng, plain = random.Random(6), "river stone house tree walks quickly over small green hills".split()
     make = lambda bad: " ".join(rng.choice(plain) for _ in range(rng.randint(5, 80))) + " moron" * (rng.random() < (0.6 if bad else 0.02))
