@@ -157,3 +157,19 @@ def test_queries_within_limits(spark):
     made, refused = query.create_queries(df, max_chars=20)
     assert {(r.query_id, r.normalized_question, r.top_k, r.candidate_k) for r in made.collect()} == {(1, "a b c", 10, 20), (5, "é", 5, 9)}
     assert {tuple(r) for r in refused.collect()} == {(2, "blank_question"), (3, "question_too_long"), (4, "limits"), (None, "query_id")}
+
+
+@pytest.mark.parametrize("goals", [{"a": "max", "b": "min"}, {"a": "max", "b": "min", "c": "max"}])
+def test_pareto_as_brute_force(spark, goals):
+    import random
+
+    from textquarry.operators import analytics
+
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(40), rng.randrange(40) / 4, rng.randrange(6)) for i in range(900)]
+    sign = [1 if d == "max" else -1 for d in goals.values()]
+    points = {r[0]: tuple(s * v for s, v in zip(sign, r[1:])) for r in rows}
+    want = {i: any(q != p and all(x >= y for x, y in zip(q, p)) for q in points.values()) for i, p in points.items()}
+    df = spark.createDataFrame(rows, "id int, a int, b double, c int")
+    assert {r.id: r.dominated for r in analytics.pareto(df, "id", goals).collect()} == want and not all(want.values())
+    assert analytics.pareto(df.limit(0), "id", goals).count() == 0

@@ -164,18 +164,20 @@ UNION ALL SELECT i.case_id, 5, coalesce(n5, 0)::DOUBLE / rel, coalesce(n5, 0)::D
 SELECT case_id, k, recall, precision, ndcg, reciprocal_rank FROM k""")
 def ranking_metrics(spark, sf):
     """BM25 hits against documents that hold an item's text word for word."""
-    docs, items = table(spark, sf, "documents"), _items(spark, sf)
-    lines = items.select(F.col("item_id").alias("case_id"), F.col("text").alias("needle"))
-    first = F.substring_index("needle", "\n", 1)
-    # a document that holds the text holds its first line: lines meet in an equi-join before the texts are compared
-    candidates = docs.select("doc_id", "text", F.explode(tx.terms(F.col("text"))).alias("w"))
-    del first
-    rare = lines.select("case_id", "needle", F.array_max(F.transform(tx.terms(F.col("needle")), lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("w"))
-    grades = candidates.join(F.broadcast(rare), "w").where(F.contains("text", F.col("needle"))).select("case_id", F.col("doc_id").alias("target_id"), (1 + F.col("doc_id") % 3).alias("grade")).distinct()
+    grades = _holders(spark, sf).withColumn("grade", 1 + F.col("target_id") % 3)
     hits = bm25_search(spark, sf).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("target_id"), "rank")
     return metrics.ranking_metrics(hits, grades, [1, 5])
 
 
+def _holders(spark, sf) -> DataFrame:
+    """(case_id, target_id): documents that hold an item's text. Texts that meet in the item's longest word are compared."""
+    docs, items = table(spark, sf, "documents"), _items(spark, sf)
+    needles = items.select(F.col("item_id").alias("case_id"), F.col("text").alias("needle"))
+    longest = needles.select("case_id", "needle", F.array_max(F.transform(tx.terms(F.col("needle")), lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("w"))
+    candidates = docs.select("doc_id", "text", F.explode(tx.terms(F.col("text"))).alias("w"))
+    return candidates.join(F.broadcast(longest), "w").where(F.contains("text", F.col("needle"))).select("case_id", F.col("doc_id").alias("target_id")).distinct()
+
+
 # --- answer metrics -------------------------------------------------------------------------------
 
 _PAIRS = "pairs AS (SELECT u.conv_id * 1000 + u.turn AS id, u.text AS a, s.text AS b FROM conversations u JOIN conversations s ON s.conv_id = u.conv_id AND s.turn = u.turn + 1)"
@@ -558,14 +560,12 @@ def linkability(spark, sf):
     return diagnostics.linkability(diagnostics.containment_links(needles, titles), needles)
 
 
-@_query(f"""WITH {_HITS}, l AS (SELECT b.item_id AS query_id, d.doc_id AS document_id FROM benchmark b JOIN documents d ON d.text = b.text UNION SELECT item_id, item_id FROM benchmark), r AS (SELECT l.query_id, l.document_id, min(h.rank) AS r FROM l LEFT JOIN hits h ON h.query_id = l.query_id AND h.chunk_id = l.document_id GROUP BY ALL)
+@_query(f"""WITH {_HITS}, l AS (SELECT b.item_id AS query_id, d.doc_id AS document_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), r AS (SELECT l.query_id, l.document_id, min(h.rank) AS r FROM l LEFT JOIN hits h ON h.query_id = l.query_id AND h.chunk_id = l.document_id GROUP BY ALL)
 SELECT count(*) AS links, avg(coalesce((r <= 1)::INT, 0)) AS recall_1, avg(coalesce((r <= 5)::INT, 0)) AS recall_5, avg(coalesce((r <= 10)::INT, 0)) AS recall_10 FROM r""")
 def retrieval_proxy(spark, sf):
-    items = _items(spark, sf)
-    same = items.select(F.col("item_id").alias("query_id"), "text").join(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text"), "text").select("query_id", "document_id")
-    links = same.union(items.select("item_id", "item_id")).distinct()
+    """Links: documents that hold an item's text word for word."""
     hits = bm25_search(spark, sf).select("query_id", F.col("chunk_id").alias("document_id"), "rank")
-    return diagnostics.proxy_recall(hits, links, (1, 5, 10))
+    return diagnostics.proxy_recall(hits, _holders(spark, sf).select(F.col("case_id").alias("query_id"), F.col("target_id").alias("document_id")), (1, 5, 10))
 
 
 @_query("""SELECT 'table' AS marker, count_if(regexp_matches(text, ' \\| ')) AS documents FROM documents UNION ALL SELECT 'number', count_if(regexp_matches(text, '[0-9]{4,}')) FROM documents UNION ALL SELECT 'heading', count_if(regexp_matches(text, '(?m)^[A-Z][^ ]*\\.$')) FROM documents""")
@@ -583,12 +583,3 @@ def verdict_derivation(spark, sf):
     lab = table(spark, sf, "labels")
     base = lab.withColumn("base", verdicts.by_relation(F.when(F.col("quality") == 1, F.lit("ENTAILS")).otherwise(F.lit("DOES_NOT_ESTABLISH")))).withColumn("same", F.col("quality") == 1).withColumn("cannot", (F.col("quality") == 1) & (F.col("toxic") == 1))
     return verdicts.overridden(base, "base", "same", "cannot").select("doc_id", "label", "overridden")
-
-
-@_query()
-def answer_recovery(spark, sf):
-    """Event properties as malformed answers: none is one."""
-    e = table(spark, sf, "events").select("event_id", verdicts.recover_answers(F.col("props")).alias("r"))
-    return e.groupBy("r.outcome").agg(F.count("*").alias("n"))
-
-

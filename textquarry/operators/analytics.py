@@ -32,29 +32,50 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def pareto(df: DataFrame, id_col: str, objectives: dict[str, str]) -> DataFrame:
     """df with `dominated`. objectives: column -> max or min. A candidate dominates if it is no worse in all and better in one.
 
-    Equal objective vectors stand for all their rows, and vectors that a better one of the same
-    first objective's group dominates are cut before the join, which then holds a skyline of
-    distinct vectors only.
+    Equal objective vectors stand for all their rows.
     """
     cols = [*objectives]
     good = [(F.col(c) if d == "max" else -F.col(c)).alias(f"__o{i}") for i, (c, d) in enumerate(objectives.items())]
     names = [f"__o{i}" for i in range(len(cols))]
     vectors = df.select(*good).distinct()
-    if len(names) == 2:  # a point is dominated if a better first objective has as good a second, or an equal first a better second
-        best = vectors.groupBy(names[0]).agg(F.max(names[1]).alias("top"))
-        blocks = best.withColumn("ahead", F.max("top").over(Window.orderBy(F.desc(names[0])).rowsBetween(Window.unboundedPreceding, -1)))
-        state = vectors.join(blocks, names[0]).select(*names, ((F.col(names[1]) < F.col("top")) | F.coalesce(F.col("ahead") >= F.col(names[1]), F.lit(False))).alias("dominated"))
-    else:
-        other = vectors.select(*[F.col(n).alias(f"{n}b") for n in names])
-        no_worse = better = None
-        for n in names:
-            ge, gt = F.col(f"{n}b") >= F.col(n), F.col(f"{n}b") > F.col(n)
-            no_worse = ge if no_worse is None else no_worse & ge
-            better = gt if better is None else better | gt
-        front = vectors.join(other, no_worse & better, "left_anti").withColumn("dominated", F.lit(False))
-        state = vectors.join(front, names, "left").withColumn("dominated", F.coalesce("dominated", F.lit(True)))
-    tagged = df.select("*", *good)
-    return tagged.join(state, names).drop(*names)
+    state = _dominated_pairs(vectors, *names) if len(names) == 2 else _dominated(vectors, names)
+    return df.select("*", *good).join(state, names).drop(*names)
+
+
+def _dominated_pairs(vectors: DataFrame, a: str, b: str, ranges: int = 200) -> DataFrame:
+    """A point is dominated if a better a has as good a b, or an equal a a better b.
+
+    The best b of all better a is a running maximum, taken in two steps: over a fixed number of
+    ranges of a, and within each range.
+    """
+    best = vectors.groupBy(a).agg(F.max(b).alias("top"))
+    cuts = sorted({*best.select(F.col(a).cast("double").alias(a)).where(f"{a} is not null").approxQuantile(a, [i / ranges for i in range(1, ranges)], 0.001)}) if not best.isEmpty() else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(a))) if cuts else F.lit(0)
+    placed = best.withColumn("part", part)
+    tops = placed.groupBy("part").agg(F.max("top").alias("best"))
+    later = tops.select("part", F.max("best").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("beyond"))  # at most `ranges` rows
+    within = F.max("top").over(Window.partitionBy("part").orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1))
+    ahead = placed.withColumn("within", within).join(F.broadcast(later), "part").select(a, "top", F.greatest("within", "beyond").alias("ahead"))
+    return vectors.join(ahead, a).select(a, b, ((F.col(b) < F.col("top")) | F.coalesce(F.col("ahead") >= F.col(b), F.lit(False))).alias("dominated"))
+
+
+def _dominated(vectors: DataFrame, names: list[str], strong: int = 500) -> DataFrame:
+    """Three objectives or more: what a fixed number of strong vectors dominate goes first; the rest, which holds the whole front, meets itself.
+
+    A dominated vector has a vector of the front above it, and the first step takes none of the front.
+    """
+    other = [F.col(n).alias(f"{n}b") for n in names]
+    no_worse = better = None
+    for n in names:
+        ge, gt = F.col(f"{n}b") >= F.col(n), F.col(f"{n}b") > F.col(n)
+        no_worse = ge if no_worse is None else no_worse & ge
+        better = gt if better is None else better | gt
+    ends = vectors.agg(*[x for n in names for x in (F.min(n).alias(f"{n}l"), F.max(n).alias(f"{n}h"))])
+    share = sum((F.coalesce((F.col(n) - F.col(f"{n}l")) / F.nullif(F.col(f"{n}h") - F.col(f"{n}l"), F.lit(0)), F.lit(0.0)) for n in names), F.lit(0.0))
+    top = vectors.crossJoin(F.broadcast(ends)).orderBy(share.desc()).limit(strong).select(*other)  # one row beside each
+    left = vectors.join(F.broadcast(top), no_worse & better, "left_anti")
+    front = left.join(left.select(*other), no_worse & better, "left_anti").withColumn("dominated", F.lit(False))
+    return vectors.join(front, names, "left").withColumn("dominated", F.coalesce("dominated", F.lit(True)))
 
 
 def lexicographic_best(df: DataFrame, objectives: dict[str, str], id_col: str) -> DataFrame:
