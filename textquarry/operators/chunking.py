@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textquarry.operators.parsing import STRUCTURE, document_blocks
 
@@ -39,6 +42,28 @@ def split_tokens(text: str, most: int, overlap: int) -> list[str]:
     return out
 
 
+def split_exact(text: str, most: int, overlap: int, count: Callable[[str], int]) -> list[str]:
+    """The same under a model's own count of a piece, which may differ from the number of tokens here: each window is the longest that fits.
+
+    A single token beyond `most` is refused. `count` must not fall as a piece grows.
+    """
+    spans = [m.span() for m in _token.finditer(text)]
+    if not spans:
+        return []
+    if count(text) <= most:
+        return [text.strip()]
+    out, at = [], 0
+    while True:
+        size = lambda end: count(text[spans[at][0] : spans[end - 1][1]])  # noqa: B023, E731 - used in this round only
+        end = at + bisect_right(range(at + 1, len(spans) + 1), most, key=size)
+        if end == at:
+            raise ValueError("one token exceeds the model's window")
+        out.append(text[spans[at][0] : spans[end - 1][1]])
+        if end == len(spans):
+            return out
+        at = max(at + 1, end - overlap)
+
+
 def chunk_id(document_id: str, strategy: str, ids: list[str], split: int, text: str) -> str:
     return "chunk_" + hashlib.sha256("\0".join([document_id, strategy, *ids, str(split), text]).encode("utf-8", "surrogatepass")).hexdigest()[:24]
 
@@ -151,8 +176,6 @@ def chunk_documents(df: DataFrame, id_col: str, text_col: str, title_col: str |
     """Parse and chunk in one pass over the documents, without a shuffle."""
 
     def run(batches):
-        import pandas as pd
-
         for pdf in batches:
             for at in range(0, len(pdf), 200):
                 part = pdf.iloc[at : at + 200]
@@ -164,24 +187,67 @@ def chunk_documents(df: DataFrame, id_col: str, text_col: str, title_col: str |
     return df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), title.alias("title")).mapInPandas(run, CHUNK_SCHEMA)
 
 
-def chunk_problems(documents: DataFrame, blocks: DataFrame, chunks: DataFrame, max_tokens: int = 384) -> DataFrame:
-    """(document_id, problem, ref): anti-joins and equalities between the three tables."""
+def chunk_problems(documents: DataFrame, blocks: DataFrame, chunks: DataFrame, params: ChunkParams = ChunkParams(), min_tokens: int = 1, inherited: tuple[str, ...] = ()) -> DataFrame:
+    """(document_id, problem, ref) over documents(document_id), blocks and chunks: ids, budgets, texts, sources, order, coverage.
+
+    `inherited` are columns that chunks take from their documents; null equals null. Counts are taken
+    from the texts again by the Arrow counter that chunking uses.
+    """
+    own = chunks.withColumn("__t", _counts(F.col("text"))).withColumn("__s", _counts(F.col("search_text")))
+    say = lambda rows, problem, ref: rows.select("document_id", F.lit(problem).alias("problem"), F.col(ref).cast("string").alias("ref"))
+    ids = F.coalesce("source_block_ids", F.array().cast("array<string>"))
+    sources = chunks.select("chunk_id", "document_id", F.posexplode(ids).alias("pos", "block_id"))
+    held = sources.join(blocks.select("block_id", F.col("document_id").alias("__of"), F.col("text").alias("__text")), "block_id", "left")
+    whole = held.groupBy("chunk_id").agg(F.every(F.col("__of").isNotNull()).alias("__known"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "__text"))), lambda x: F.coalesce(x["__text"], F.lit(""))), "\n").alias("__joined"))
+    texts = chunks.join(whole, "chunk_id").where("__known")
+    splits = texts.where("strategy = 'token_fallback'").groupBy("document_id", "source_block_ids").agg(
+        F.min("chunk_id").alias("chunk_id"), F.first("__joined").alias("__joined"), F.array_sort(F.collect_list(F.struct("split_index", "text"))).alias("__pieces"), F.min("split_count").alias("__lo"), F.max("split_count").alias("__hi")
+    )
+    pieces = _windows_of(params.max_tokens, params.overlap)(F.col("__joined"))
+    split_bad = (F.transform("__pieces", lambda x: x["text"]) != pieces) | (F.transform("__pieces", lambda x: x["split_index"]) != F.sequence(F.lit(0), F.size("__pieces") - 1)) | (F.col("__lo") != F.size("__pieces")) | (F.col("__hi") != F.size("__pieces"))
     out = [
-        chunks.groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("document_id").alias("document_id")).where("n > 1").select("document_id", F.lit("duplicate_chunk_id").alias("problem"), F.col("chunk_id").alias("ref")),
-        chunks.join(documents.select("document_id"), "document_id", "left_anti").select("document_id", F.lit("unknown_document").alias("problem"), F.col("chunk_id").alias("ref")),
-        chunks.where((F.trim("text") == "") | F.col("text").isNull()).select("document_id", F.lit("empty_text").alias("problem"), F.col("chunk_id").alias("ref")),
-        chunks.where(F.col("token_count") > max_tokens).select("document_id", F.lit("over_budget").alias("problem"), F.col("chunk_id").alias("ref")),
-        chunks.groupBy("document_id").agg(F.count("*").alias("n"), F.max("chunk_index").alias("m"), F.countDistinct("chunk_index").alias("d")).where("m + 1 <> n or d <> n").select("document_id", F.lit("index_gap").alias("problem"), F.lit(None).cast("string").alias("ref")),
-        blocks.join(chunks.select(F.explode("source_block_ids").alias("block_id")), "block_id", "left_anti").select("document_id", F.lit("uncovered_block").alias("problem"), F.col("block_id").alias("ref")),
-        chunks.select("document_id", F.explode("source_block_ids").alias("block_id")).join(blocks, ["document_id", "block_id"], "left_anti").select("document_id", F.lit("unknown_block").alias("problem"), F.col("block_id").alias("ref")),
-        documents.join(chunks, "document_id", "left_anti").join(blocks.select("document_id"), "document_id", "left_semi").select("document_id", F.lit("no_chunks").alias("problem"), F.lit(None).cast("string").alias("ref")),
+        say(chunks.groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("document_id").alias("document_id")).where("n > 1"), "duplicate_chunk_id", "chunk_id"),
+        say(chunks.join(documents.select("document_id"), "document_id", "left_anti"), "unknown_document", "chunk_id"),
+        say(chunks.where(F.coalesce(F.trim("text"), F.lit("")) == ""), "empty_text", "chunk_id"),
+        say(own.where("token_count <> __t"), "token_count_mismatch", "chunk_id"),
+        say(chunks.where(F.col("token_count") > params.max_tokens), "over_budget", "chunk_id"),
+        say(chunks.where(F.col("token_count") < min_tokens), "below_minimum", "chunk_id"),
+        say(own.where(F.col("__s") > params.max_search_tokens), "search_text_over_budget", "chunk_id"),
+        say(chunks.where(~F.col("search_text").endswith(F.col("text"))), "text_not_in_search_text", "chunk_id"),
+        say(chunks.where(F.size(ids) == 0), "missing_source_blocks", "chunk_id"),
+        say(held.where("__of is null"), "unknown_block", "block_id"),
+        say(held.where("__of <> document_id"), "foreign_block", "block_id"),
+        say(texts.where("strategy <> 'token_fallback' and text <> __joined"), "text_differs_from_blocks", "chunk_id"),
+        say(splits.where(split_bad), "windows_differ_from_blocks", "chunk_id"),
+        say(chunks.groupBy("document_id").agg(F.count("*").alias("n"), F.max("chunk_index").alias("m"), F.countDistinct("chunk_index").alias("d"), F.lit(None).cast("string").alias("r")).where("m + 1 <> n or d <> n"), "index_gap", "r"),
+        say(blocks.join(sources.select("block_id"), "block_id", "left_anti"), "uncovered_block", "block_id"),
+        say(documents.join(chunks, "document_id", "left_anti").join(blocks.select("document_id"), "document_id", "left_semi").withColumn("r", F.lit(None).cast("string")), "no_chunks", "r"),
     ]
+    if inherited:
+        of = documents.select("document_id", *[F.col(c).alias(f"__{c}") for c in inherited])
+        differs = F.lit(False)
+        for c in inherited:
+            differs = differs | ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+        out.append(say(chunks.join(of, "document_id").where(differs), "metadata_differs", "chunk_id"))
     found = out[0]
     for x in out[1:]:
         found = found.union(x)
     return found
 
 
+@F.pandas_udf(T.IntegerType())
+def _counts(s: pd.Series) -> pd.Series:
+    return s.map(count_tokens, na_action="ignore").astype("Int32")
+
+
+def _windows_of(most: int, overlap: int):
+    @F.pandas_udf("array<string>")
+    def windows(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: split_tokens(t or "", most, overlap))
+
+    return windows
+
+
 def block_problems(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     """(document_id, problem): repeated ids, unknown documents, gaps in the order, parents that don't come before."""
     parents = blocks.select(F.col("block_id").alias("p"), F.col("order_index").alias("po"), F.col("document_id").alias("pd"))

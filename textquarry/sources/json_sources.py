@@ -160,3 +160,23 @@ def submission_zip(answers: DataFrame, questions: DataFrame) -> bytes:
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr(zipfile.ZipInfo("results.json", (1980, 1, 1, 0, 0, 0)), json.dumps(out, ensure_ascii=False, indent=2))
     return buf.getvalue()
+
+
+def read_benchmark(spark: SparkSession, path: str, schema: str, manifest: str | None = None) -> DataFrame:
+    """Evaluation cases of a JSON-lines file with `file_sha256`; refused if empty, if a line or an id is bad, or if bytes, number or kinds differ from the manifest.
+
+    schema names the cases' columns, case_id and target_granularity among them. The manifest is one
+    object with benchmark_sha256, case_count and target_granularities.
+    """
+    file = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("file_sha256"))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("c")).select("c.*")
+    cases = parsed.crossJoin(F.broadcast(file))  # one row
+    counts = cases.agg(F.count("*").alias("n"), F.countDistinct("case_id").alias("ids"), F.array_sort(F.collect_set("target_granularity")).alias("kinds"), F.first("file_sha256").alias("sha")).first()
+    if not counts.n or counts.ids != counts.n:
+        raise InvalidSource(f"{path}: empty, or a bad or repeated case")
+    if manifest is not None:
+        want = spark.read.text(manifest, wholetext=True).select(F.from_json("value", "benchmark_sha256 string, case_count long, target_granularities array<string>").alias("m")).select("m.*").first()
+        if want is None or (want.benchmark_sha256, want.case_count, sorted(want.target_granularities or [])) != (counts.sha, counts.n, counts.kinds):
+            raise InvalidSource(f"{path} doesn't match its manifest")
+    return cases

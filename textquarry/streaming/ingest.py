@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.operators.chunking import ChunkParams, chunk_documents
+from textquarry.operators.gates import prefix_problems, refuse
 
 
 def ingest_chunks(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, id_col: str, text_col: str, params: ChunkParams = ChunkParams()):
@@ -17,12 +18,18 @@ def ingest_chunks(spark: SparkSession, source: str, schema: str, out: str, check
     return chunks.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def resume_answers(questions: DataFrame, path: str, answer: Callable[[DataFrame], DataFrame], id_col: str = "question_id") -> int:
-    """Answer what `path` lacks and append it; gives how many were left."""
+def resume_answers(questions: DataFrame, path: str, answer: Callable[[DataFrame], DataFrame], id_col: str = "question_id", pos_col: str | None = None) -> int:
+    """Answer what `path` lacks and append it; gives how many were left.
+
+    With `pos_col`, the place of a question, records that aren't the ordered beginning of the
+    questions are refused: they belong to another batch.
+    """
     spark = questions.sparkSession
     try:
-        done = spark.read.parquet(path).select(id_col)
-        left = questions.join(done, id_col, "left_anti")
+        done = spark.read.parquet(path)
+        if pos_col:
+            refuse(prefix_problems(questions, done, id_col, pos_col), "records aren't the beginning of these questions")
+        left = questions.join(done.select(id_col), id_col, "left_anti")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
