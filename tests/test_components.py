@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry.operators.components import connected_components
 from textquarry.operators.joins import hot_join
-from textquarry.session import clear_scratch, discard, materialize, scratch_dir
+from textquarry.session import clear_scratch, discard, mark, materialize, scratch_dir, sweep
 
 
 def union_find(links):
@@ -63,6 +63,9 @@ def test_scratch_tables_go(spark):
     folder = scratch_dir(spark).removeprefix("file://") + "/textquarry"
     other = materialize(spark.range(3), "gone")
     discard(other, spark.range(1))
-    assert df.count() == 10 and [x for x in os.listdir(folder) if x.startswith("gone")] == []
+    at = mark()
+    kept, swept = materialize(spark.range(4), "stays"), materialize(spark.range(5), "swept")
+    sweep(spark, at, kept)
+    assert df.count() == 10 and kept.count() == 4 and [x for x in os.listdir(folder) if x.startswith(("gone", "swept"))] == [] and swept is not kept
     clear_scratch(spark)
     assert not os.path.exists(folder)

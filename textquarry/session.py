@@ -46,19 +46,37 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: list[str] = []  # paths of materialised tables, in the order they were written
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet to the shared scratch folder and read it back: cuts lineage, survives lost executors.
 
-    Tables that nothing reads any more go by discard(); what results still read goes by clear_scratch().
+    Tables that nothing reads any more go by discard() or sweep(); what results still read goes by clear_scratch().
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/textquarry/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    _MADE.append(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._textquarry_path = path
     return found
 
 
+def mark() -> int:
+    """A point in the order of materialised tables, for sweep()."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables materialised after a mark(), but those of `keep`: for steps whose result is written."""
+    kept = {getattr(df, "_textquarry_path", None) for df in keep}
+    for path in _MADE[since:]:
+        if path not in kept:
+            _delete(spark, path)
+    _MADE[since:] = [path for path in _MADE[since:] if path in kept]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
