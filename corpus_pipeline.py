@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import bytebpe, decontam, neardup, secrets, toxicity
-from textquarry.session import materialize, table
+from textquarry.session import discard, mark, materialize, sweep, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        before, at = docs, mark()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name)
+            sweep(spark, at, docs)  # what the stage wrote on its way
+            discard(before)
     return docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.col("ids"))
