@@ -129,16 +129,22 @@ def remove_spans(text: Column, spans: Column) -> Column:
     """
     words = F.regexp_extract_all(text, F.lit(f"({_inverse()}+)"), F.lit(1))
     gaps = F.split(text, f"{_inverse()}+", -1)
-    n = F.size(spans)
 
-    def kept(k: Column) -> Column:
-        before = F.get(spans, k - 1)
-        start = F.when(k > 0, before["at"] + before["len"]).otherwise(F.lit(1)).cast("int")  # first word kept
-        end = F.when(k < n, F.get(spans, k)["at"]).otherwise(F.size(words) + 1).cast("int")  # first word of the next span
-        stretch = F.zip_with(F.slice(words, start, end - start), F.slice(gaps, start + 1, end - start), lambda w, g: F.concat(w, g))
-        return F.concat(F.element_at(gaps, start), F.array_join(stretch, ""))
+    def cut(x: Column) -> Column:
+        n = F.size(x["spans"])
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), n), kept), " ")
+        def kept(k: Column) -> Column:
+            before = F.get(x["spans"], k - 1)
+            start = F.when(k > 0, before["at"] + before["len"]).otherwise(F.lit(1)).cast("int")  # first word kept
+            end = F.when(k < n, F.get(x["spans"], k)["at"]).otherwise(F.size(x["words"]) + 1).cast("int")  # first word of the next span
+            stretch = F.zip_with(F.slice(x["words"], start, end - start), F.slice(x["gaps"], start + 1, end - start), lambda w, g: F.concat(w, g))
+            return F.concat(F.element_at(x["gaps"], start), F.array_join(stretch, ""))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), kept), " ")
+
+    # the text is cut once, whatever the number of spans: its pieces are the one element of an array
+    pieces = F.array(F.struct(words.alias("words"), gaps.alias("gaps"), spans.alias("spans")))
+    return F.element_at(F.transform(pieces, cut), 1)
 
 
 def _inverse() -> str:
