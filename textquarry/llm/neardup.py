@@ -5,13 +5,10 @@
 2. Texts with equal sets are one class, represented by the smallest id.
 3. Representatives that share a band value form a bucket; each bucket names its smallest id as
    centre, and the members of all buckets of a centre form a group.
-4. Groups are cut into blocks. Within a block the population count of the XOR of two odd sketches
-   estimates their similarity; pairs that may reach the threshold are verified on their full sets,
-   unless links found before already join them. A block gives at most one link a member.
-5. Groups of several blocks whose members are not all joined are compared across blocks: members
-   outside the group's main component against every block. So every pair of texts that shares a
-   band is compared or already joined, no group is held in one task, and no table of all pairs is made.
-6. Components of the links, by propagation.
+4. Groups are compared block by block (llm/groups.py): the population count of the XOR of two odd
+   sketches estimates their similarity, and pairs that may reach the threshold are verified on
+   their full sets, unless links found before already join them.
+5. Components of the links.
 """
 
 from __future__ import annotations
@@ -24,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import map_texts, trim
-from textquarry.operators.components import connected_components
+from textquarry.llm.groups import centred, group_components, linker
 from textquarry.operators.joins import hot_join
 from textquarry.session import discard, materialize
 
@@ -131,50 +128,20 @@ def signatures(df: DataFrame, p: NearDupParams, id_col: str, text_col: str, extr
     return map_texts(df, factory, "n_shingles long, digest binary, bands array<long>, sketch binary", id_col, text_col, extra)
 
 
-def _link_rows(p: NearDupParams):
-    """For a block: rows (id, th, comp, probe, text, sketch) -> links. Pairs of one comp are joined already; a pair counts if one of it is a probe."""
+def _candidates(p: NearDupParams):
+    """Pairs of a block whose sketches may reach the threshold, by their estimates."""
     k = p.bands * p.rows
     least = p.percent / 100 - p.sketch_slack
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["id", "th"]).sort_values(["id", "th"])
-        ids, n = pdf["id"].tolist(), len(pdf)
-        if n < 2:
-            return pd.DataFrame({"a": pdf["id"][:0], "b": pdf["id"][:0]})
-        bits = np.unpackbits(np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(n, -1), axis=1).astype(np.float32)
+    def found(pdf: pd.DataFrame, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.unpackbits(np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1), axis=1).astype(np.float32)
         ones = bits.sum(1)
         est = estimate(ones[:, None] + ones[None, :] - 2 * bits @ bits.T, k, p.sketch_bits)
-        probe = pdf["probe"].to_numpy(bool)
-        may = np.triu(est >= least, 1) & (probe[:, None] | probe[None, :])
-        i, j = np.nonzero(may)
+        i, j = np.nonzero(np.triu(est >= least, 1) & (probe[:, None] | probe[None, :]))
         order = np.argsort(-est[i, j], kind="stable")
-        root, seen = [*range(n)], {}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, c in enumerate(pdf["comp"].tolist()):
-            root[find(x)] = find(seen.setdefault(c, x))
-        texts, sets, links = pdf["text"].tolist(), {}, []
-        for x, y in zip(i[order].tolist(), j[order].tolist()):
-            if find(x) == find(y):
-                continue
-            for z in (x, y):
-                if z not in sets:
-                    sets[z] = shingle_set(texts[z], p.shingle)
-            a, b = sets[x], sets[y]
-            if 100 * min(len(a), len(b)) < p.percent * max(len(a), len(b)):
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= p.percent * (len(a) + len(b) - both):
-                root[find(y)] = find(x)
-                links.append((ids[x], ids[y]))
-        return pd.DataFrame(links, columns=["a", "b"]).astype({"a": pdf["id"].dtype, "b": pdf["id"].dtype})
-
-    return link
+        return i[order], j[order]
+
+    return found
 
 
 def near_duplicates(df: DataFrame, params: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,51 +156,17 @@ def near_duplicates(df: DataFrame, params: NearDupParams = NearDupParams(), id_c
     p = params
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
     sig = materialize(signatures(named, p, "id", "text", ("th",)), "sig")
-    id_type = sig.schema["id"].dataType.simpleString()
     known = sig.where("digest is not null and id is not null")
     rep = F.min(F.struct("id", "th"))
     classes = known.groupBy("digest").agg(rep.alias("r"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.select("digest", F.col("r.id").alias("rep"), F.col("r.th").alias("th"), "bands", "sketch"), "classes")
-    buckets = classes.select(F.explode("bands").alias("key"), "rep")
-    centres = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("m")).where("m > 1").select("key", "centre")
-    found = materialize(buckets.join(centres, "key").select("centre", "rep").distinct(), "members")
-    sizes = materialize(found.groupBy("centre").agg(F.count("*").alias("m")).where("m > 1").select("centre", F.ceil(F.col("m") / p.block).cast("int").alias("blocks")), "sizes")
-    members = hot_join(found, sizes, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-
-    texts = named.where("id is not null and text is not null")
-    sketches = classes.select(F.col("rep").alias("id"), "th", "sketch")
-
-    def verified(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-        full = rows.join(sketches, "id").join(texts, ["id", "th"]).select(*keys, "id", "th", "comp", "probe", "sketch", "text")
-        return materialize(full.groupBy(*keys).applyInPandas(_link_rows(p), f"a {id_type}, b {id_type}"), name)
-
-    own = members.select(
-        "centre", F.explode(F.when(F.col("rep") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("block"),
-        F.col("rep").alias("id"), F.col("rep").alias("comp"), F.lit(True).alias("probe"),
-    )
-    links = verified(own, ["centre", "block"], "links")
+    found = materialize(centred(classes.select(F.explode("bands").alias("key"), "rep")), "members")
     several = known.groupBy("id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).where("lo <> hi").select("id")
     same = known.select("id", "digest").join(several, "id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    labels = connected_components(links.union(same))
-
-    many = members.where("blocks > 1").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    many = materialize(many.select("centre", "blocks", "block", "rep", "comp"), "many")
-    by_comp = many.groupBy("centre", "comp").agg(F.count("*").alias("m"))
-    main = by_comp.groupBy("centre").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.sum("m").alias("all"), F.max("m").alias("most")).where("all > most")
-    main = materialize(main.select("centre", "main", F.ceil((F.col("all") - F.col("most")) / p.rest_block).cast("int").alias("parts")), "main")
-    if not main.isEmpty():
-        wide = F.ceil(F.col("blocks") * p.block / p.rest_block).cast("int")
-        spread = materialize(hot_join(many, main, "centre").withColumn("wide", wide).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int")), "spread")
-        rest = spread.where("comp <> main").select("centre", F.pmod(F.xxhash64("rep", F.lit("rest")), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("block"), F.col("rep").alias("id"), "comp", F.lit(True).alias("probe"))
-        every = spread.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", F.col("rep").alias("id"), "comp", F.lit(False).alias("probe"))
-        both = rest.unionByName(every).groupBy("centre", "part", "block", "id").agg(F.first("comp").alias("comp"), F.max("probe").alias("probe"))
-        across = verified(both, ["centre", "part", "block"], "across")
-        if not across.isEmpty():
-            before = labels
-            labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(across))
-            discard(before)
-        discard(spread, across)
-    discard(found, sizes, links, many, main)
+    sketches = classes.select(F.col("rep").alias("id"), "th", "sketch")
+    link = linker(_candidates(p), lambda text: shingle_set(text, p.shingle), p.percent)
+    labels = group_components(found, sketches, named.where("id is not null and text is not null"), same, link, p.block, p.rest_block)
+    discard(found)
 
     placed = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("of_class"))
     out = hot_join(sig.select("id", "n_shingles", "digest"), materialize(placed, "placed"), "digest", "left")

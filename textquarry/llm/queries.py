@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import bytebpe, chatrotate, ctw, decontam, langid, neardup, quality, secrets, tokencount, toxicity
+from textquarry.llm import bytebpe, chatrotate, ctw, decontam, divergence, gramjoin, langid, neardup, quality, secrets, tokencount, toxicity, vectorcode
 from textquarry.llm.common import fold
 from textquarry.session import table
 
@@ -66,6 +66,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcode.encode_vectors(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vectorcode.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gramjoin.join_components(table(spark, sf_dir, "documents"), gramjoin.GramJoinParams(shingle=3, percent=90))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_language_id, op2_quality_divergence, op3_byte_bpe, op4_minhash_near_dedup, op5_chat_rotation, op6_benchmark_decontamination, op7_token_counts, op8_lm_scoring, op9_toxicity, op10_secret_scan, pipeline]
+    found = [op1_language_id, op2_quality_divergence, op3_byte_bpe, op4_minhash_near_dedup, op5_chat_rotation, op6_benchmark_decontamination, op7_token_counts, op8_lm_scoring, op9_toxicity, op10_secret_scan, op11_source_divergence, op12_vector_codes, op13_ngram_jaccard_join, pipeline]
     return {f.__name__: f for f in found}
 
 
