@@ -1,9 +1,10 @@
 """Secret scans with multipart credential linking.
 
 Parts of credentials are intervals of a text: access identifiers, secrets and endpoints, strong or
-weak. An interval join links complementary parts whose intervals lie in one scope (within
-`scope_chars` of each other and with no blank line between); weak candidates count only when such a
-part stands beside them. The strong base kinds are always reported, and no weak one overlaps them.
+weak. An interval join links complementary parts that lie apart in one scope (within `scope_chars`
+of each other and with no blank line between); weak candidates count only when such a part stands
+beside them, never for what is inside themselves: a lone URL with an id in it, or a lone login, is
+no credential. The strong base kinds are always reported, and no weak one overlaps them.
 """
 
 from __future__ import annotations
@@ -53,10 +54,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 #: Parts that a weak kind is complementary to: a secret completes any identifier or endpoint, a strong identifier also an endpoint.
+#: A weak secret inside an endpoint (an id of a public link, say) is part of that: only an identifier completes it, and no other endpoint.
 COMPLEMENTS = {
-    "weak_id": {"assign", "hex", "weak_secret"},
+    "weak_id": {"assign", "hex", "weak_secret", "inner_secret"},
     "endpoint": {"access", "assign", "hex", "weak_secret"},
     "weak_secret": {"access", "weak_id", "endpoint"},
+    "inner_secret": {"access", "weak_id"},
 }
 blank_lines = re.compile(r"(?=(\n[ \t\r]*\n))").finditer
 
@@ -74,29 +77,33 @@ def _outside(weak: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]
 
 
 def linked_weak(text: str, base: list[tuple[str, int, int]], params: SecretParams) -> list[tuple[str, int, int, str]]:
-    """Weak candidates outside the base spans, with the first complementary part in their scope.
+    """Weak candidates outside the base spans, with a complementary part in their scope.
 
     A candidate's scope reaches `scope_chars` to both sides, but not over a blank line. Its partner
-    is the first part by start and end that touches the scope: the interval join is one search in
-    the running maximum of the ends of the sorted parts, so that any number of parts takes n log n.
+    overlaps it nowhere: it is the first part by end that ends in the scope before the candidate, or
+    else the first by start after it. The interval join is two searches in the parts sorted by end
+    and by start, so that any number of parts takes n log n.
     """
-    weak = []
+    weak, links_at = [], []
     if ":" in text or "=" in text:
+        links_at = [m.span() for m in endpoint(text)]
         weak += [("weak_id", *m.span()) for m in weak_id(text)]
-        weak += [("endpoint", *m.span()) for m in endpoint(text)]
+        weak += [("endpoint", *span) for span in links_at]
     if not base and not weak:
         return []
-    weak += [
-        ("weak_secret", *m.span())
-        for m in weak_secret(text)
-        if (any(c.isdigit() for c in m[0]) and any(c.isupper() for c in m[0]) and any(c.islower() for c in m[0]) and entropy(m[0]) >= params.min_entropy)
-    ]
+    link_starts = [s for s, _ in links_at]
+    for m in weak_secret(text):
+        if any(c.isdigit() for c in m[0]) and any(c.isupper() for c in m[0]) and any(c.islower() for c in m[0]) and entropy(m[0]) >= params.min_entropy:
+            before = bisect_right(link_starts, m.start()) - 1  # endpoints don't overlap
+            weak.append(("inner_secret" if before >= 0 and m.start() < links_at[before][1] else "weak_secret", *m.span()))
     weak = sorted(_outside(sorted({*weak}), base), key=lambda w: w[1:])
     if not weak:
         return []
-    parts = sorted([*base, *weak], key=lambda x: (x[1], x[2], KINDS.index(x[0])))
-    others = {kind: [x for x in parts if x[0] in COMPLEMENTS[kind]] for kind in {w[0] for w in weak}}
-    furthest = {kind: [*accumulate((e for _, _, e in some), max)] for kind, some in others.items()}
+    shown = lambda kind: "weak_secret" if kind == "inner_secret" else kind
+    parts = [*base, *weak]
+    others = {kind: [(s, e, KINDS.index(shown(k))) for k, s, e in parts if k in COMPLEMENTS[kind]] for kind in {w[0] for w in weak}}
+    by_end = {kind: sorted((e, s, k) for s, e, k in some) for kind, some in others.items()}
+    by_start = {kind: sorted(some) for kind, some in others.items()}
     blanks = [m.span(1) for m in blank_lines(text)]
     starts, ends = [s for s, _ in blanks], [e for _, e in blanks]
     links = []
@@ -104,9 +111,14 @@ def linked_weak(text: str, base: list[tuple[str, int, int]], params: SecretParam
         before, after = bisect_right(ends, s) - 1, bisect_left(starts, e)
         least = max(s - params.scope_chars, starts[before] + 1 if before >= 0 else 0)
         most = min(e + params.scope_chars, ends[after] - 1 if after < len(ends) else len(text))
-        at = bisect_left(furthest[kind], least)
-        if at < len(others[kind]) and others[kind][at][1] <= most:
-            links.append((kind, s, e, "{}:{}:{}".format(*others[kind][at])))
+        i, j = bisect_left(by_end[kind], (least,)), bisect_left(by_start[kind], (e,))
+        if i < len(by_end[kind]) and by_end[kind][i][0] <= s:
+            to, at, k = by_end[kind][i]
+        elif j < len(by_start[kind]) and by_start[kind][j][0] <= most:
+            at, to, k = by_start[kind][j]
+        else:
+            continue
+        links.append((shown(kind), s, e, f"{KINDS[k]}:{at}:{to}"))
     return links
 
 
