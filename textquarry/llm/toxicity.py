@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded texts.
 
-Folding lower-cases, maps homoglyphs to Latin letters and digits or signs inside words to the
-letters they stand for. Lexicon entries are whole words or word beginnings with a weight, learned
+Folding lower-cases, maps homoglyphs to Latin letters and digits or signs beside letters, inside
+words or at their ends, to the letters they stand for. Lexicon entries are whole words or word beginnings with a weight, learned
 as smoothed log odds from a bounded, balanced sample of labelled texts; longer entries override
 shorter ones at the same place, so exception phrases are entries of weight 0. The weights found are
 summed, normalised by length, and turned to a probability by a logistic regression, whose bias is
@@ -23,11 +23,14 @@ from textquarry.session import discard, materialize
 
 #: Cyrillic and Greek letters that look like Latin ones, and the letters they look like.
 HOMOGLYPHS = dict(zip("абвгеікмнорстухѕјԁһ" + "αβεικνορτυχ", "a6breikmhopctyxsjdh" + "abeiknoptux"))
-#: Digits and signs inside words, and the letters they stand for.
+#: Digits and signs in words, and the letters they stand for.
 DIGITS = dict(zip("013457@$", "oieastas"))
 FULL_WIDTH = {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)} | {0xFF10 + i: chr(48 + i) for i in range(10)}
 TABLE = {ord(k): v for k, v in HOMOGLYPHS.items()} | FULL_WIDTH | {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)}
-inside = re.compile(r"(?<=[^\W\d_])[013457@$](?=[^\W\d_])").sub
+odd_letters = re.compile(f"[{''.join(map(re.escape, map(chr, TABLE)))}]").search
+#: Runs of such digits and signs that touch a letter, before or after it: inside words and at their ends.
+inside = re.compile(r"(?<=[^\W\d_])[013457@$]+|[013457@$]+(?=[^\W\d_])").sub
+LETTERS = str.maketrans(DIGITS)
 between = re.compile(r"[\W\d_]+").sub
 
 
@@ -37,9 +40,6 @@ class ToxicParams:
     prefix: tuple[int, int] = (3, 8)  #: lengths of word beginnings
     min_texts: int = 3  #: toxic training texts that must hold an entry
     min_odds: float = 2.5  #: least log odds of an entry
-    most_entries: int = 4000  #: entries of the lexicon: those with the most weight times texts
-    most_candidates: int = 20_000  #: strong candidates looked at for it: those that most more toxic than clean texts hold
-    most_exceptions: int = 20_000  #: clean words looked at as exceptions of entries: the most frequent of them
     folds: int = 5  #: parts of the sample, each measured by the lexicon of the others
     exceptions: tuple[str, ...] = field(default=())  #: phrases that are never toxic
 
@@ -49,9 +49,9 @@ def fold_text(text: str | None) -> str:
     if not text:
         return " "
     t = text.lower()
-    if not t.isascii():
+    if not t.isascii() and odd_letters(t):
         t = t.translate(TABLE)
-    return f" {between(' ', inside(lambda m: DIGITS[m[0]], t)).strip()} "
+    return f" {between(' ', inside(lambda m: m[0].translate(LETTERS), t)).strip()} "
 
 
 def features(folded: str, prefix: tuple[int, int]) -> set[str]:
@@ -94,8 +94,7 @@ def build_automaton(weights: dict[str, float]):
 def choose_entries(counts: list[tuple[str, int, int]], n: tuple[int, int], params: ToxicParams = ToxicParams()) -> dict[str, float]:
     """Entry -> weight from (entry, clean texts, toxic texts) of n = (clean, toxic) texts; exceptions have weight 0."""
     odds = lambda c, t: math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
-    found = sorted(((odds(c, t), t, e) for e, c, t in counts if t >= params.min_texts and odds(c, t) >= params.min_odds), key=lambda x: (-x[0] * x[1], x[2]))
-    weights = {e: w for w, _, e in found[: params.most_entries]}
+    weights = {e: odds(c, t) for e, c, t in sorted(counts) if t >= params.min_texts and odds(c, t) >= params.min_odds}
     for e in sorted(weights, key=len):  # the shortest beginning that tells as much stands for longer ones
         if any(weights.get(e[:k], -1) >= weights[e] - 0.7 for k in range(2, len(e))):
             weights.pop(e)
@@ -133,7 +132,8 @@ def regress(found: list[tuple[int, float, float]], n: tuple[int, int], full: tup
 def fit(df: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_where=None) -> ToxicModel:
     """Learn from a sample of the labelled rows: about `per_class` texts of each label, by a hash of the id.
 
-    Texts stay with the workers, whatever their length: these count entries, of which the strong ones
+    Entries are chosen by evidence alone, and exceptions are all clean words that begin as an entry
+    does, so that the sample bounds both. Texts stay with the workers, whatever their length: these count entries, of which the strong ones
     come to the driver, and then measure the sample, which gives three numbers a text. A text is
     measured by the lexicon of the other folds, so that the regression doesn't take chance entries of
     its own texts for good ones. Null labels are not used; a document with several label rows counts
@@ -176,14 +176,20 @@ def fit(df: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(), i
         total(0).alias("c"), total(1).alias("t"), F.array(*[F.struct(of(0, f).alias("c"), of(1, f).alias("t")) for f in range(params.folds)]).alias("by")
     )
     counts = materialize(counts, "entries")
+    # entries five times as frequent among toxic texts, a wider bound than min_odds, as a fold's lexicon leaves texts out
     strong = counts.where((F.col("t") >= params.min_texts) & (F.col("t") * (sizes[0] + 1.0) >= 5 * (F.col("c") + 0.5) * (sizes[1] + 1.0)))
-    rows = strong.orderBy(F.desc(F.col("t") - F.col("c")), "e").limit(params.most_candidates).collect()
-    rows += counts.where((F.col("c") > F.col("t")) & F.col("e").endswith(" ") & (F.col("c") >= 2)).orderBy(F.desc("c"), "e").limit(params.most_exceptions).collect()
-    weights = choose_entries([(r.e, r.c, r.t) for r in rows], sizes, params)
-    without = []  # for each fold, the lexicon of the others
-    for f in range(params.folds):
-        left = tuple(sizes[y] - held.get((f, y), 0) for y in (0, 1))
-        without.append(choose_entries([(r.e, r.c - r.by[f].c, r.t - r.by[f].t) for r in rows], left, params) if min(left) > 0 else {})
+    rows = strong.orderBy("e").collect()
+    lefts = [tuple(sizes[y] - held.get((f, y), 0) for y in (0, 1)) for f in range(params.folds)]
+    every = lambda found: [([(r.e, r.c, r.t) for r in found], sizes)] + [([(r.e, r.c - r.by[f].c, r.t - r.by[f].t) for r in found], lefts[f]) for f in range(params.folds)]
+    stems = {e for some, left in every(rows) if min(left) > 0 for e in choose_entries(some, left, params)}
+    if stems:  # clean words that begin as one of them does
+        begins = df.sparkSession.createDataFrame([(e,) for e in sorted(stems)], "stem string")
+        clean = counts.where((F.col("c") > F.col("t")) & F.col("e").endswith(" ") & (F.col("c") >= 2))
+        prefixes = clean.select("e", F.explode(F.transform(F.sequence(F.lit(2), F.length("e")), lambda k: F.substr("e", F.lit(1), k))).alias("stem"))
+        rows += clean.join(prefixes.join(begins, "stem").select("e").distinct(), "e").orderBy("e").collect()
+    (some, _), *by_fold = every(rows)
+    weights = choose_entries(some, sizes, params)
+    without = [choose_entries(some, left, params) if min(left) > 0 else {} for some, left in by_fold]  # for each fold, the lexicon of the others
 
     def factory():
         automata: dict[int, object] = {}
