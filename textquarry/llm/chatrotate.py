@@ -22,6 +22,7 @@ class ChatParams:
     close: str = "|>\n"
     end: str = "<|end|>\n"
     escaped: str = "<\\|"  #: what `open` becomes inside texts and names, so that they can't hold a mark
+    name_end: tuple[str, str] = ("|>", "|\\>")  #: what would end a name's mark inside the name, and what it becomes
     unknown: str = "unknown"  #: name of a speaker whose role is null or blank
     turns: int = 64  #: most turns of a stretch
 
@@ -52,14 +53,15 @@ def rotate(df: DataFrame, params: ChatParams = ChatParams(), conv_col: str = "co
     rendered stretch; masks are the intervals (a, b) of its characters that are learned: text and end
     mark of the perspective's own turns. Turns stand in the order of `turn`, nulls first; those of
     one number in the order of a digest of role and text; repeated turns are rendered each. Opening
-    marks inside texts and names are escaped. A null text renders as empty; null and blank roles as
+    marks inside texts and names are escaped, and closing marks inside names. A null text renders as empty; null and blank roles as
     an unknown user; a null conversation id is one conversation; a conversation without participants
     gives no row, nor does an empty table. No group is larger than a stretch; stretches and
     participants meet in one join by conversation, which Spark can split where one has very many.
     """
     p = params
     role, text = F.col(role_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    who = F.when(F.trim(role) != "", F.trim(role))
+    name = F.regexp_replace(role, r"^[\t-\r ]+|[\t-\r ]+$", "")
+    who = F.when(name != "", name)
     turns = df.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.md5(F.concat(F.coalesce(role, F.lit("")), F.lit("\n"), text).cast("binary")).alias("digest"), who.alias("who"), text.alias("text")
     )
@@ -71,7 +73,7 @@ def rotate(df: DataFrame, params: ChatParams = ChatParams(), conv_col: str = "co
 
     def piece(t: Column) -> Column:
         mine = F.coalesce(t["who"] == F.col("perspective"), F.lit(False))
-        speaker = F.when(mine, F.lit("assistant")).when(t["who"] == p.system_role, F.lit("system")).otherwise(F.concat(F.lit("user:"), escape(F.coalesce(t["who"], F.lit(p.unknown)))))
+        speaker = F.when(mine, F.lit("assistant")).when(t["who"] == p.system_role, F.lit("system")).otherwise(F.concat(F.lit("user:"), F.replace(escape(F.coalesce(t["who"], F.lit(p.unknown))), *map(F.lit, p.name_end))))
         return F.struct(F.concat(F.lit(p.open), speaker, F.lit(p.close)).alias("head"), F.concat(escape(t["text"]), F.lit(p.end)).alias("body"), mine.alias("mine"))
 
     met = met.select("conv_id", "perspective", "part", F.transform("said", piece).alias("pieces"))

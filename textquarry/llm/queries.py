@@ -90,30 +90,82 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
-OP4_SQL = r"""
+def near_sql(k: int, percent: int, more: str = "") -> str:
+    """Components of documents by word k-shingles and similarity, with all pairs that share a shingle."""
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), sh AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS s FROM w
+  SELECT DISTINCT doc_id, unnest(CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i+{k - 1}], ' ')) END) AS s FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT p.a, p.b FROM pairs p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.k >= 80 * (x.n + y.n - p.k)),
+links AS (SELECT p.a, p.b FROM pairs p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.k >= {percent} * (x.n + y.n - p.k)),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT doc_id AS src, doc_id AS dst FROM documents UNION SELECT r.src, e.b FROM reach r JOIN both_ways e ON r.dst = e.a),
 comp AS (SELECT src, min(dst) AS component_id FROM reach GROUP BY src)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id{more}
 FROM documents d JOIN comp c ON c.src = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+
+OP4_SQL = near_sql(4, 80, ", d.doc_id = c.component_id AS kept")
+OP13_SQL = near_sql(3, 90)
+
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+docs AS (SELECT row_number() OVER () AS r, lang, source, regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM d),
+tok AS (SELECT r, lang, source, unnest(ts) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::BIGINT AS n FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*)::BIGINT AS v, sum(n)::BIGINT AS nl FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM docs),
+cnt AS (SELECT t.lang, t.source, t.term, count(*)::BIGINT AS c FROM tok t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY 1, 2, 3),
+tot AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0)::BIGINT AS n FROM grp g LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 2)) // (t.n + 2 * l.v) AS p, 1 + (1000000000 * (k.n + 2)) // (l.nl + 2 * l.v) AS q
+  FROM grp g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang JOIN tot t ON t.lang = g.lang AND t.source = g.source LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(pv.value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+terms AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+_OP12_ASSIGN = """a{r} AS (
+  SELECT p.vec_id, p.part, p.v, arg_min(c.e, d(p.v, c.v) * 64 + c.e) AS e, min(d(p.v, c.v)) AS err FROM p JOIN c{r} c ON c.part = p.part GROUP BY p.vec_id, p.part, p.v
+)""".replace("d(p.v, c.v)", "(" + " + ".join(f"(p.v[{i}] - c.v[{i}]) * (p.v[{i}] - c.v[{i}])" for i in (1, 2, 3, 4)) + ")")
+_OP12_UPDATE = """c{n} AS (
+  SELECT c.part, c.e, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT part, e, [floor(sum(v[1]) / count(*))::BIGINT, floor(sum(v[2]) / count(*))::BIGINT, floor(sum(v[3]) / count(*))::BIGINT, floor(sum(v[4]) / count(*))::BIGINT] AS v FROM a{r} GROUP BY part, e
+  ) m ON m.part = c.part AND m.e = c.e
+)"""
+
+#: For vectors of 64 components, so that a part has four.
+OP12_SQL = f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) AS rn
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), j AS (SELECT unnest(range(16)) AS part),
+p AS (SELECT vec_id, rn, part, v[part * 4 + 1 : part * 4 + 4] AS v FROM k, j),
+c0 AS (SELECT part, rn - 1 AS e, v FROM p WHERE rn <= 64),
+{", ".join(_OP12_ASSIGN.format(r=r) + (", " + _OP12_UPDATE.format(r=r, n=r + 1) if r < 2 else "") for r in range(3))},
+e AS (SELECT vec_id, string_agg(format('{{:02x}}', e), '' ORDER BY part) AS code, sum(err)::BIGINT AS error FROM a2 GROUP BY vec_id),
+b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c2)
+SELECT e.vec_id, e.code, e.error, (sum(e.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, b.codebooks_sha256 FROM e JOIN k ON k.vec_id = e.vec_id, b
+"""
+
 OP5_SQL = r"""
 WITH t AS (
-  SELECT conv_id, CASE WHEN trim(role) <> '' THEN trim(role) END AS who, replace(coalesce(text, ''), '<|', '<\|') AS said,
+  SELECT conv_id, nullif(regexp_replace(role, '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g'), '') AS who, replace(coalesce(text, ''), '<|', '<\|') AS said,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(10) || coalesce(text, ''))) - 1 AS pos
   FROM conversations
 ), p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who IS NOT NULL AND who <> 'system'),
 j AS (
   SELECT t.conv_id, p.perspective, pos, pos // 64 AS part, said, coalesce(who = perspective, false) AS mine,
-    CASE WHEN who = perspective THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user:' || replace(coalesce(who, 'unknown'), '<|', '<\|') END AS speaker
+    CASE WHEN who = perspective THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user:' || replace(replace(coalesce(who, 'unknown'), '<|', '<\|'), '|>', '|\>') END AS speaker
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), r AS (SELECT *, '<|' || speaker || '|>' || chr(10) AS head, said || '<|end|>' || chr(10) AS body FROM j),
 s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY pos) AS b FROM r)
@@ -137,4 +189,4 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_near_dedup": OP4_SQL, "op5_chat_rotation": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL}
+    return {"op4_minhash_near_dedup": OP4_SQL, "op5_chat_rotation": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op11_source_divergence": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_ngram_jaccard_join": OP13_SQL}
