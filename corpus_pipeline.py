@@ -11,34 +11,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import bytebpe, decontam, neardup, secrets, toxicity
+from textquarry.llm.common import shielded
 from textquarry.session import discard, mark, materialize, sweep, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go."""
+    """Documents scored 0.5 or more go.
+
+    Null and empty texts have no hits and stay; repeated rows are scored each and stay or go
+    together; an empty table stays empty; without labels nothing is learned and all stay.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, extra=tuple(c for c in docs.columns if c != "doc_id")).where("predicted = 0").select(*docs.columns)
+    held, at = shielded(docs)
+    scored = toxicity.score(held, model, at["doc_id"], at["text"], extra=tuple(p for c, p in at.items() if c != "doc_id"))
+    return scored.where("predicted = 0").select(*[F.col(p).alias(c) for c, p in at.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each component stays.
+
+    Null texts and texts without words link with nothing and stay, as do rows without an id. Rows
+    that repeat an id are one document: one of them stays, the first by a hash of all columns. An
+    empty table stays empty.
+    """
+    found = neardup.near_duplicates(docs).where("doc_id is not null")
+    decided = materialize(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).where("not kept or rows > 1"), "decided")
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")
+    again = docs.join(decided.where("kept").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(first).select("__row.*")
+    return docs.join(decided.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that are mostly such passages go."""
+    """Benchmark passages are cut out; documents that are mostly such passages go.
+
+    Null and empty texts stay, repeated rows are treated each, an empty table or benchmark changes
+    nothing; whole texts are read, whatever their length.
+    """
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the text are replaced by a mask; every document stays."""
-    found = secrets.scan_secrets(docs, extra=tuple(c for c in docs.columns if c not in ("doc_id", "text")), with_text=True)
-    return found.withColumnRenamed("masked_text", "text").select(*docs.columns)
+    """Secrets in the text are replaced by a mask; every document stays.
+
+    Null texts stay null; repeated rows are masked each; an empty table stays empty.
+    """
+    held, at = shielded(docs)
+    found = secrets.scan_secrets(held, id_col=at["doc_id"], text_col=at["text"], extra=tuple(p for c, p in at.items() if c not in ("doc_id", "text")), with_text=True)
+    return found.select(*[F.col("masked_text" if c == "text" else p).alias(c) for c, p in at.items()])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and their digests."""
+    """Token ids and their digests; a null text has none, repeated rows are encoded each, other columns are not read."""
     return bytebpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -26,6 +26,12 @@ def fold(n: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by their places, so that none can clash with what an operator adds; and the new name of each."""
+    places = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*places.values()), places
+
+
 def map_texts(df: DataFrame, factory: Callable, fields: str, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """id and `extra` columns of every row, then `fields` (DDL).
 

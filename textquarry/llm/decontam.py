@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.llm.common import shielded
 from textquarry.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,15 +103,11 @@ def find_contamination(df: DataFrame, items: DataFrame, window: int = 10, id_col
     hit = base.where(F.size("hits") > 0).select("id", "th", F.explode("hits").alias("x")).select("id", "th", F.col("x.at").alias("at"), F.concat_ws(" ", "x.ws").alias("w"), F.size("x.ws").alias("len"))
     hit = hit.join(table, ["w", "len"])
     per = hit.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("s"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    start = F.expr("cast(array() as array<struct<at:int,len:int>>)")
-    merged = F.aggregate(
-        "s", start,
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["at"] + F.element_at(acc, -1)["len"] >= x["at"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["at"].alias("at"), (F.greatest(F.element_at(acc, -1)["at"] + F.element_at(acc, -1)["len"], x["at"] + x["len"]) - F.element_at(acc, -1)["at"]).alias("len")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    per = per.select("id", "th", merged.alias("spans"), "items").select("id", "th", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["len"]).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1)))))  # of hit words
+    per = per.select("id", "th", "items", places.alias("places"))
+    edge = lambda step: F.filter("places", lambda x, i: F.coalesce(F.get(F.col("places"), i + step) != x + step, F.lit(True)))
+    spans = F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("at"), (b - a + 1).alias("len")))
+    per = per.select("id", "th", spans.alias("spans"), F.size("places").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
     per = per.withColumnRenamed("id", "__id").withColumnRenamed("th", "__th")
     out = base.select("id", "th", "n_words").join(per, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
     zero = F.lit(0).cast("long")
@@ -152,8 +149,14 @@ def _inverse() -> str:
 
 
 def decontaminate(df: DataFrame, items: DataFrame, window: int = 10, most_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without hit spans; documents of which more than `most_share` of the words are hit go. Untouched documents stay as they are, in all their columns."""
-    found = find_contamination(df, items, window, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th"), (F.col("n_hit") > most_share * F.col("n_words")).alias("__go"), F.col("spans").alias("__spans")).distinct()
-    joined = df.join(found, df[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(df[text_col].cast("string")) == F.col("__th")), "left").where(~F.coalesce("__go", F.lit(False)))
-    cleaned = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(remove_spans(F.col(text_col), F.col("__spans")))
-    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in df.columns])
+    """df without hit spans; documents of which more than `most_share` of the words are hit go.
+
+    Untouched documents stay as they are, in all their columns, whatever the names of these. Null
+    texts have no words and stay; repeated rows are treated each; empty tables change nothing.
+    """
+    found = find_contamination(df, items, window, id_col, text_col).where("contaminated").select(F.col(id_col).alias("id"), F.col("text_hash").alias("th"), (F.col("n_hit") > most_share * F.col("n_words")).alias("go"), "spans").distinct()
+    held, at = shielded(df)
+    text = F.col(at[text_col])
+    joined = held.join(found, F.col(at[id_col]).eqNullSafe(F.col("id")) & (F.xxhash64(text.cast("string")) == F.col("th")), "left").where(~F.coalesce("go", F.lit(False)))
+    cleaned = F.when(F.col("spans").isNull(), text).otherwise(remove_spans(text, F.col("spans")))
+    return joined.select(*[(cleaned if c == text_col else F.col(place)).alias(c) for c, place in at.items()])
