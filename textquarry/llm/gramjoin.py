@@ -7,7 +7,8 @@ threshold ask for.
 Linking sets of A >= B shingles differ in at most B * (100 - percent) / percent of them, so that of
 one section of groups more than that, at least one has no difference at all. The join therefore
 searches a forest: for texts of like size there is a tree for each section, whose top level cuts
-space into cells of equal counts in the section's groups, so that a text visits its own cell only.
+space into cells of equal counts in the section's groups, so that a text visits its own cell only,
+and only in as many trees as it may have differences and one more.
 Within a cell (a group of texts, in blocks) a tree of bounding boxes over counts in all groups is
 walked against itself: pairs of boxes whose bound is too small are left with all that is in them.
 The pairs that remain are verified on their full sets. No link is lost.
@@ -34,7 +35,7 @@ class GramJoinParams:
     percent: int = 80  #: least similarity: 100 * intersection >= percent * union
     groups: int = 64  #: coordinates of the points in a cell's tree
     section_groups: int = 1 << 16  #: groups of a section
-    growth: float = 1.5  #: between the least sizes of neighbouring size classes
+    growth: float = 3.0  #: between the least sizes of neighbouring size classes
     fanout: int = 8  #: children of a box
     block: int = 192
     rest_block: int = 256
@@ -66,6 +67,8 @@ class Sections:
     def cells(self, s: np.ndarray) -> np.ndarray:
         """Keys of the cells of a set of shingle hashes, in its own size class and in those of the smaller sets that it may link with.
 
+        All cells have one order, those of the fullest sections first. Before its first common cell a
+        set has none but such as hold a difference, so that the first `differences` + 1 are enough.
         Empty sections have a cell only where the others are too few to make sure of a common one.
         Sets so small that they link with equal sets alone have none.
         """
@@ -81,11 +84,12 @@ class Sections:
             group = _mixed((s[order] // np.uint64(m)) % np.uint64(self.p.section_groups) + np.uint64(1))
             start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             counts = np.add.reduceat(group, start)  # a sum, so that equal counts of all groups give equal keys
-            of = at[start]
+            of, sizes = at[start], np.diff(np.r_[start, n])
             if len(of) <= self.differences(n):
                 none = np.setdiff1d(np.arange(m, dtype=np.uint64), of, assume_unique=True)
-                of, counts = np.r_[of, none], np.r_[counts, np.zeros(len(none), np.uint64)]
-            out.append(_mixed(counts ^ _mixed(of + np.uint64(1) + np.uint64((c + 1) << 44))))
+                of, counts, sizes = np.r_[of, none], np.r_[counts, np.zeros(len(none), np.uint64)], np.r_[sizes, np.zeros(len(none), np.int64)]
+            keys = _mixed(counts ^ _mixed(of + np.uint64(1) + np.uint64((c + 1) << 44)))
+            out.append(keys[np.lexsort((keys, -sizes))[: self.differences(n) + 1]])
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
     def point(self, s: np.ndarray) -> np.ndarray:

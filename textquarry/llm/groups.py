@@ -23,7 +23,9 @@ from textquarry.operators.joins import hot_join
 from textquarry.session import discard, materialize
 
 #: Ways that the rows of a bucket are dealt out when they meet the bucket's centre.
-SALTS = 16
+SALTS = 8
+#: Bits of the filter that keeps texts of no group from being shuffled: 8 MB, whatever the number of texts.
+FILTER_BITS = 1 << 26
 
 
 def centred(buckets: DataFrame) -> DataFrame:
@@ -34,6 +36,16 @@ def centred(buckets: DataFrame) -> DataFrame:
     return salted.join(dealt, ["key", "salt"]).select("centre", "rep").distinct()
 
 
+def among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df whose id is among `ids`, and some others: the ids' hashes in a bitmap of fixed size are sent to all tasks, so that nothing is shuffled."""
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
+    bits = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    met = df.join(F.broadcast(bits), F.bitmap_bucket_number(at) == F.col("__bucket"))
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substr("__bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("__bucket", "__bits")
+
+
 def linker(candidates: Callable, shingles: Callable, percent: int) -> Callable:
     """For a block: rows (id, th, comp, probe, text, ...) -> links (a, b).
 
@@ -84,6 +96,7 @@ def group_components(found: DataFrame, points: DataFrame, texts: DataFrame, same
     """
     id_type = found.schema["rep"].dataType.simpleString()
     kept = [c for c in points.columns if c not in ("id", "th")]
+    texts = among(texts, found.select(F.col("rep").alias("id")))
     sizes = materialize(found.groupBy("centre").agg(F.count("*").alias("m")).where("m > 1").select("centre", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "sizes")
     members = hot_join(found, sizes, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
