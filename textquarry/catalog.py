@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as tx
-from textquarry.operators import analytics, bm25, chunking, cleaning, dataset, diagnostics, evidence, fusion, graph, metrics, parsing, query, vectors, verdicts
+from textquarry.operators import analytics, bm25, chunking, cleaning, dataset, diagnostics, evidence, fusion, graph, metrics, parsing, query, ranks, vectors, verdicts
 from textquarry.operators.components import connected_components
 from textquarry.plans import retrieval
 from textquarry.session import exists, table
@@ -231,8 +231,8 @@ def paired_correctness(spark, sf):
 
 @_query("""WITH o AS (SELECT o_custkey, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY o_custkey) SELECT o_custkey, v[(round_even((len(v) - 1) * 0.5, 0))::INT + 1]::DOUBLE AS p50, v[(round_even((len(v) - 1) * 0.95, 0))::INT + 1]::DOUBLE AS p95 FROM o""")
 def nearest_rank_percentiles(spark, sf):
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("v"))
-    return o.select("o_custkey", metrics.nearest_rank(F.col("v"), 0.5).cast("double").alias("p50"), metrics.nearest_rank(F.col("v"), 0.95).cast("double").alias("p95"))
+    found = ranks.exact_ranks(table(spark, sf, "orders"), ["o_custkey"], "o_totalprice", {"p50": ranks.nearest(0.5), "p95": ranks.nearest(0.95)})
+    return found.select("o_custkey", F.col("p50").cast("double").alias("p50"), F.col("p95").cast("double").alias("p95"))
 
 
 @_query("""SELECT lang AS slice, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT source, count(*) FROM documents GROUP BY source""")
@@ -262,6 +262,12 @@ def pareto_front(spark, sf):
     return analytics.pareto(table(spark, sf, "part"), "p_partkey", {"p_size": "max", "p_retailprice": "min"}).select("p_partkey", "dominated")
 
 
+@_query("""SELECT p_partkey, EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND length(b.p_name) <= length(a.p_name) AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice OR length(b.p_name) < length(a.p_name))) AS dominated FROM part a""")
+def pareto_front_of_three(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", F.length("p_name").alias("chars"))
+    return analytics.pareto(p, "p_partkey", {"p_size": "max", "p_retailprice": "min", "chars": "min"}).select("p_partkey", "dominated")
+
+
 @_query("SELECT o_orderpriority, count_if(o_totalprice > 100000) AS win, count_if(o_totalprice <= 100000) AS loss, round(avg(o_totalprice), 4)::DOUBLE AS mean FROM orders GROUP BY 1")
 def win_loss_by_group(spark, sf):
     o = table(spark, sf, "orders")

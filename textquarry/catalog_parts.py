@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textquarry.catalog import _HITS, _TERMS, _edges, _index, _items, _query, bm25_search
-from textquarry.operators import analytics, bm25, dataset, diagnostics, evidence, fusion, graph, metrics, query, vectors
+from textquarry.operators import analytics, bm25, dataset, diagnostics, evidence, fusion, graph, metrics, query, ranks, vectors
 from textquarry.plans import retrieval
 from textquarry.session import table
 
@@ -169,8 +169,7 @@ def checkpoint_ranking(spark, sf):
 
 @_query("""WITH o AS (SELECT o_custkey, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY 1) SELECT o_custkey, v[least(floor(len(v) * 0.9)::INT, len(v) - 1) + 1] AS p90 FROM o""")
 def floor_percentiles(spark, sf):
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("v"))
-    return o.select("o_custkey", analytics.floor_percentile(F.col("v"), 0.9).alias("p90"))
+    return ranks.exact_ranks(table(spark, sf, "orders"), ["o_custkey"], "o_totalprice", {"p90": ranks.floored(0.9)}).select("o_custkey", "p90")
 
 
 @_query("""SELECT metric, count(v) AS cases, round(avg(v), 9) AS mean FROM (SELECT 'tax' AS metric, CASE WHEN l_linenumber < 6 THEN l_tax END AS v FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem) GROUP BY metric""")

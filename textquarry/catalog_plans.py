@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry.catalog import _MT, _PAIRS, _TERMS, _WORDS, _index, _items, _pairs, _query
 from textquarry.operators import census, dataset, gates, identity, metrics, query, vectors
+from textquarry.operators.ranks import ranked
 from textquarry.plans import agent, retrieval
 from textquarry.session import materialize, table
 
@@ -285,12 +286,9 @@ def repeat_stability(spark, sf):
 SELECT a.k AS id, a.p AS asked_pos, b.p AS given_pos FROM a JOIN b USING (k) WHERE a.p <> b.p""")
 def order_problems(spark, sf):
     """Orders against a list in which every fiftieth key has changed its place with the next."""
-    from pyspark.sql import Window
-
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    place = lambda c: F.row_number().over(Window.orderBy(c)).cast("long")  # noqa: E731 - the list's own order
     moved = F.when(F.col("id") % 50 == 0, F.col("id") + 1.5).otherwise(F.col("id").cast("double"))
-    return gates.order_problems(o.withColumn("pos", place(F.col("id"))), o.withColumn("pos", place(moved)), "id", "pos")
+    return gates.order_problems(ranked(o, [F.asc("id")], "pos"), ranked(o, [moved.asc()], "pos"), "id", "pos")
 
 
 @_query("""SELECT 'repeated_key' AS problem, count(user_id) - count(DISTINCT user_id) AS n FROM events UNION ALL SELECT 'record_count', abs(count(*) - 12345) FROM events""")
@@ -382,14 +380,14 @@ def chosen_controls(spark, sf):
 
 
 @_query(f"""WITH {_STRATA}, ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('control|' || question_id::VARCHAR), question_id) AS place FROM s) WHERE place <= 3)
-SELECT question_id, stratum, count(*) AS n_evidence, concat_ws(',', CASE WHEN question_id % 2 = 1 THEN 'missing_question' END, CASE WHEN bool_or(l_partkey % 3 = 0) THEN 'missing_chunk' END) AS problems FROM ch JOIN lineitem ON l_orderkey = question_id GROUP BY 1, 2""")
+SELECT question_id, stratum, count(*) AS n_evidence, CASE WHEN bool_or(p_partkey IS NULL) THEN 'missing_chunk' ELSE '' END AS problems FROM ch JOIN lineitem ON l_orderkey = question_id LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""")
 def control_packets(spark, sf):
-    """Packets of the chosen orders, whose lines are evidence and claims; some questions and parts are missing."""
+    """Packets of the chosen orders, whose lines are evidence and claims, and the names of parts the evidence's texts."""
     line = table(spark, sf, "lineitem")
     ev = line.select(F.col("l_orderkey").alias("question_id"), F.concat(F.lit("E"), "l_linenumber").alias("evidence_id"), F.col("l_partkey").alias("chunk_id"))
     claims = line.select(F.col("l_orderkey").alias("question_id"), F.concat(F.lit("C"), "l_linenumber").alias("claim_id"), F.lit("x").alias("claim_text"), F.lit(True).alias("supported"))
-    parts = line.select(F.col("l_partkey").alias("chunk_id")).distinct().where("chunk_id % 3 <> 0").withColumn("text", F.lit("t"))
-    q = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("question_id"), F.lit("q").alias("question"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text"))
+    q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), F.lit("q").alias("question"))
     made = census.packets(census.choose_controls(census.eligible_records(_records(spark, sf)), 2, 1, "control"), q, ev, parts, claims)
     return made.select("question_id", "stratum", F.size("evidence").cast("long").alias("n_evidence"), F.array_join("problems", ",").alias("problems"))
 

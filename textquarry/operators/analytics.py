@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.operators import resampling, skyline
+from textquarry.session import materialize
+
 
 def census(df: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     """(dimension, value, n): counts of each value; a missing one is `missing`. Array values count each element."""
@@ -59,10 +65,15 @@ def _dominated_pairs(vectors: DataFrame, a: str, b: str, ranges: int = 200) -> D
     return vectors.join(ahead, a).select(a, b, ((F.col(b) < F.col("top")) | F.coalesce(F.col("ahead") >= F.col(b), F.lit(False))).alias("dominated"))
 
 
-def _dominated(vectors: DataFrame, names: list[str], strong: int = 500) -> DataFrame:
-    """Three objectives or more: what a fixed number of strong vectors dominate goes first; the rest, which holds the whole front, meets itself.
+def _dominated(vectors: DataFrame, names: list[str], strong: int = 500, cells: int = 4096, block: int = 2048) -> DataFrame:
+    """Three objectives or more: skylines of parts, merged by cells of a grid.
 
-    A dominated vector has a vector of the front above it, and the first step takes none of the front.
+    What a fixed number of strong vectors dominate goes first, then what each task finds dominated
+    among its own rows. The rest falls into cells between quantiles of the objectives, at most
+    `cells`. A cell with another above it in every objective is dominated as a whole; any other meets
+    the cells that are nowhere below it, block by block, so that no task holds more than two blocks
+    and cells that can't dominate each other never meet. A vector that lacks a number, or has NaN,
+    neither dominates nor is dominated.
     """
     other = [F.col(n).alias(f"{n}b") for n in names]
     no_worse = better = None
@@ -72,10 +83,18 @@ def _dominated(vectors: DataFrame, names: list[str], strong: int = 500) -> DataF
         better = gt if better is None else better | gt
     ends = vectors.agg(*[x for n in names for x in (F.min(n).alias(f"{n}l"), F.max(n).alias(f"{n}h"))])
     share = sum((F.coalesce((F.col(n) - F.col(f"{n}l")) / F.nullif(F.col(f"{n}h") - F.col(f"{n}l"), F.lit(0)), F.lit(0.0)) for n in names), F.lit(0.0))
-    top = vectors.crossJoin(F.broadcast(ends)).orderBy(share.desc()).limit(strong).select(*other)  # one row beside each
+    numbers = " and ".join(f"not isnan(cast({n} as double))" for n in names)
+    top = vectors.where(numbers).crossJoin(F.broadcast(ends)).orderBy(share.desc()).limit(strong).select(*other)  # one row beside each
     left = vectors.join(F.broadcast(top), no_worse & better, "left_anti")
-    front = left.join(left.select(*other), no_worse & better, "left_anti").withColumn("dominated", F.lit(False))
-    return vectors.join(front, names, "left").withColumn("dominated", F.coalesce("dominated", F.lit(True)))
+    number = left.select(*names, F.struct(*names).alias("__row"), *[F.col(n).cast("double").alias(f"{n}d") for n in names])
+    own = materialize(skyline.local_front(number, [f"{n}d" for n in names], names), "front")
+    front = skyline.grid_front(own, [f"{n}d" for n in names], names, cells, block).withColumn("__front", F.lit(True))
+    same = None
+    for n in names:
+        eq = F.col(n).eqNullSafe(F.col(f"{n}f"))
+        same = eq if same is None else same & eq
+    marked = vectors.join(front.withColumnsRenamed({n: f"{n}f" for n in names}), same, "left")
+    return marked.select(*names, F.col("__front").isNull().alias("dominated"))
 
 
 def lexicographic_best(df: DataFrame, objectives: dict[str, str], id_col: str) -> DataFrame:
@@ -101,19 +120,26 @@ def pool_churn(shallow: DataFrame, deep: DataFrame, k: int = 8) -> DataFrame:
 def bootstrap_interval(df: DataFrame, group: str, order: str, value: str, resamples: int = 1000, seed: int = 2026) -> DataFrame:
     """(group, n, mean, median, low, high): percentile interval of the mean of paired deltas, in the order of `order`, by a seeded generator.
 
-    A metric's deltas are one number a case of an evaluation set, which is the bounded input here.
+    The resamples are those of numpy's default generator with the seed, dealt out over tasks
+    (operators/resampling.py). A metric's deltas are one number a case of an evaluation set; each task
+    holds those of one group.
     """
+    deltas = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(value).cast("double").alias("d"))
+    packed = materialize(deltas.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x["d"]).alias("d")).withColumn("n", F.size("d").cast("long")), "deltas")
+    kind = df.schema[group].dataType.simpleString()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"g": pdf["g"], "n": pdf["n"], "mean": [np.mean(d) for d in pdf["d"]], "median": [np.median(d) for d in pdf["d"]]})
 
-        d = pdf.sort_values(order)[value].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        means = d[rng.integers(0, len(d), size=(resamples, len(d)))].mean(1)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(d)], "mean": [d.mean()], "median": [np.median(d)], "low": [np.percentile(means, 2.5)], "high": [np.percentile(means, 97.5)]})
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:  # a number for each resample
+        low, high = np.percentile(pdf["mean"], [2.5, 97.5])
+        return pd.DataFrame({"h": pdf["g"].iloc[:1], "low": [low], "high": [high]})
 
-    kind = df.schema[group].dataType.simpleString()
-    return df.select(group, order, value).groupBy(group).applyInPandas(one, f"{group} {kind}, n long, mean double, median double, low double, high double")
+    means = resampling.resampled_means(packed, "g", "d", resamples, seed)
+    interval = means.groupBy("g").applyInPandas(ends, f"h {kind}, low double, high double")
+    out = packed.mapInPandas(summary, f"g {kind}, n long, mean double, median double").join(interval, F.col("g").eqNullSafe(F.col("h")))
+    return out.select(F.col("g").alias(group), "n", "mean", "median", "low", "high")
 
 
 def win_tie_loss(df: DataFrame, a: str, b: str, tolerance: float = 1e-6) -> DataFrame:

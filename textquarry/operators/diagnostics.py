@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import terms
+from textquarry.operators.ranks import ranked
 
 
 def branch_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def gate_candidates(df: DataFrame, objectives: dict[str, tuple[str, float | None
 
 def rank_checkpoints(df: DataFrame) -> DataFrame:
     """Eligible checkpoints by semantic gain, then fewer unended, fewer repetitive answers, lower loss. df(step, eligible, gain, unended, repetitive, loss)."""
-    return df.where("eligible").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gain"), "unended", "repetitive", "loss", "step")))
+    return ranked(df.where("eligible"), [F.desc("gain"), F.asc("unended"), F.asc("repetitive"), F.asc("loss"), F.asc("step")])
 
 
 def compact_slug(text: Column) -> Column:
@@ -81,21 +82,22 @@ def compact_slug(text: Column) -> Column:
 
 
 def containment_links(needles: DataFrame, titles: DataFrame, least: int = 4) -> DataFrame:
-    """(needle_id, title_id): titles(title_id, slug) that contain the slug of needles(needle_id, slug).
+    """(needle_id, title_id): titles(title_id, slug) that contain the slug of needles(needle_id, slug) of `least` characters or more.
 
-    An equi-join on substrings: each title gives its substrings of the few lengths that needles
-    have, and a hash of them is what is shuffled, so that no pair that doesn't match is ever made.
+    An inverted index of the titles' grams of `least` characters; each distinct needle meets the
+    titles of its rarest gram alone, and these are looked at as a whole. A needle with a gram that no
+    title has is in none. So a needle has one row in the join, whatever its length, and no title is
+    met by a needle that has nothing of it. Null slugs are in no link.
     """
-    n = needles.where(F.length("slug") >= least).select("needle_id", "slug", F.length("slug").alias("len"))
-    lengths = [r["len"] for r in n.select("len").distinct().orderBy("len").limit(257).collect()]
-    if len(lengths) > 256:
-        raise ValueError("over 256 lengths of needles: they are texts, not numbers")
-    starts = lambda k: F.sequence(F.lit(1), F.length("slug") - k + 1)
-    cut = lambda k: F.array_distinct(F.transform(starts(k), lambda i: F.substring(F.col("slug"), i, F.lit(k))))
-    none = F.array().cast("array<string>")
-    parts = F.flatten(F.array(*[F.when(F.length("slug") >= k, cut(k)).otherwise(none) for k in lengths])) if lengths else none
-    subs = titles.select("title_id", F.explode(parts).alias("slug"))
-    return n.select("needle_id", "slug").join(subs, "slug").select("needle_id", "title_id").distinct()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("slug") - (least - 1)), lambda i: F.substring(F.col("slug"), i, F.lit(least))))
+    held = titles.where(F.length("slug") >= least).select("title_id", F.explode(grams).alias("gram"))
+    common = held.groupBy("gram").agg(F.count("*").alias("titles"))
+    wanted = needles.where(F.length("slug") >= least).select("slug").distinct()
+    parts = wanted.select("slug", F.explode(grams).alias("gram")).join(common, "gram", "left")
+    rarest = parts.groupBy("slug").agg(F.min(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "gram")).alias("r")).where("r.titles > 0").select("slug", F.col("r.gram").alias("gram"))
+    met = rarest.join(held, "gram").select("slug", "title_id")
+    whole = met.join(titles.select("title_id", F.col("slug").alias("title")).distinct(), "title_id").where(F.contains("title", F.col("slug"))).select("slug", "title_id").distinct()
+    return needles.select("needle_id", "slug").join(whole, "slug").select("needle_id", "title_id").distinct()
 
 
 def linkability(links: DataFrame, needles: DataFrame) -> DataFrame:

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Most query vectors that go to every task at once; more are searched in as many passes.
-QUERY_BLOCK = 4096
+from textquarry.session import materialize
+
+#: Vectors of a block, of which two are multiplied at a time: 2,048 of 384 components are 6 MB, and so many scores 32 MB.
+BLOCK = 2048
+#: Blocks of queries whose best hits a task holds before it hands them on.
+HELD_BLOCKS = 16
 
 
 def norm(v: Column) -> Column:
@@ -35,50 +42,74 @@ def invalid(df: DataFrame, vec_col: str) -> DataFrame:
     return df.where(~is_valid(F.col(vec_col)))
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int, query_id: str, vec_id: str, vec_col: str, exclude_same: bool = False) -> DataFrame:
+def blocks(df: DataFrame, id_col: str, vec_col: str, size: int = BLOCK) -> DataFrame:
+    """(ids, n, matrix) of the valid vectors, scaled to length one, `size` in a block: ids as an array, the matrix as bytes of doubles, row by row."""
+    unit = normalise(df, vec_col).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    kind = unit.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import itertools
+
+        rows = ((i, v) for b in batches for i, v in zip(b.column(0), b.column(1)))
+        while part := [*itertools.islice(rows, size)]:
+            matrix = np.stack([v.values.to_numpy(zero_copy_only=False) for _, v in part]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([[i.as_py() for i, _ in part]], pa.list_(part[0][0].type)), pa.array([len(part)]), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "n", "matrix"])
+
+    return unit.mapInArrow(pack, f"ids array<{kind}>, n long, matrix binary")
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first top_k (row, id, score) of each row by score, ties by id."""
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    start = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
+    place = np.arange(len(rows)) - np.repeat(start, np.diff(np.r_[start, len(rows)]))
+    return rows[place < top_k], ids[place < top_k], scores[place < top_k]
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int, query_id: str, vec_id: str, vec_col: str, exclude_same: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact, ties by id, scores rounded to 6 places before ranking.
 
-    Queries are held in blocks of at most QUERY_BLOCK by every task; each Arrow batch is one matrix
-    product, cut to its own top k before the shuffle, so that rows moved are batches x queries x k.
+    Queries and vectors are two written tables of blocks, and every block of the one meets every
+    block of the other as one matrix product: the plan is the same for any number of queries, and a
+    task reads the blocks it needs from the tables. A task merges the hits of a block of queries over
+    the vectors' blocks that it sees, so that it hands on top_k rows a query; these are cut once more
+    within Spark before the shuffle, and after it. Vectors that aren't valid are in no result.
     """
     id_type = vectors.schema[vec_id].dataType
     out = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("chunk_id", id_type), T.StructField("score", T.DoubleType())])
-    spark, found = vectors.sparkSession, None
-    base = normalise(vectors, vec_col).select(F.col(vec_id).alias("__id"), F.col(vec_col).alias("__v"))
-    asked = normalise(queries, vec_col).select(F.col(query_id).alias("q"), F.col(vec_col).alias("v"))
-
-    def passes():
-        part = []
-        for r in asked.toLocalIterator():
-            part.append((r.q, r.v))
-            if len(part) == QUERY_BLOCK:
-                yield part
-                part = []
-        if part:
-            yield part
-
-    for part in passes():  # the driver holds one block at a time
-        held = spark.sparkContext.broadcast(([q for q, _ in part], np.array([v for _, v in part], np.float64).reshape(len(part), -1)))
-
-        def local(batches, held=held):
-            ids, m = held.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                keys = pdf["__id"].to_numpy()
-                s = np.round(m @ np.stack(pdf["__v"].to_numpy()).astype(np.float64).T, 6)
-                for i, q in enumerate(ids):
-                    may = np.arange(len(keys)) if not exclude_same else np.flatnonzero(keys != q)
-                    if len(may) > 4 * top_k:  # ties at the edge stay in
-                        edge = np.partition(s[i, may], len(may) - top_k)[len(may) - top_k]
-                        may = may[s[i, may] >= edge]
-                    order = may[np.lexsort((keys[may], -s[i, may]))[:top_k]]
-                    yield pd.DataFrame({"query_id": [q] * len(order), "chunk_id": keys[order], "score": s[i, order]})
-
-        one = base.mapInPandas(local, out)
-        found = one if found is None else found.union(one)
-    if found is None:
-        found = spark.createDataFrame([], out)
+    asked = materialize(blocks(queries, query_id, vec_col, block).select(F.col("ids").alias("q_ids"), F.col("n").alias("q_n"), F.col("matrix").alias("q_matrix")), "query_blocks")
+    held = materialize(blocks(vectors, vec_id, vec_col, block), "vector_blocks")
+    pairs = asked.crossJoin(held)  # blocks, not rows
+    types = [to_arrow_type(f.dataType) for f in out.fields]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+
+        def emit():
+            for q_ids, (rows, ids, scores) in best.values():
+                arrays = [pa.array([q_ids[i] for i in rows], types[0]), pa.array(ids.tolist(), types[1]), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+            best.clear()
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q_ids, ids = batch.column("q_ids")[row].as_py(), np.array(batch.column("ids")[row].as_py())
+                if q_ids[0] not in best and len(best) >= HELD_BLOCKS:
+                    yield from emit()
+                q = np.frombuffer(batch.column("q_matrix")[row].as_py()).reshape(len(q_ids), -1)
+                scores = np.round(q @ np.frombuffer(batch.column("matrix")[row].as_py()).reshape(len(ids), -1).T, 6)
+                if exclude_same:
+                    scores[np.array(q_ids)[:, None] == ids[None]] = -np.inf
+                edge = np.partition(scores, len(ids) - top_k, 1)[:, len(ids) - top_k, None] if len(ids) > top_k else np.float64(-np.inf)  # ties at the edge stay in
+                rows, cols = np.nonzero((scores >= edge) & (scores > -np.inf))
+                found = rows, ids[cols], scores[rows, cols]
+                if q_ids[0] in best:
+                    found = tuple(np.concatenate(x) for x in zip(best[q_ids[0]][1], found))
+                best[q_ids[0]] = q_ids, _best(*found, top_k)
+        yield from emit()
+
+    found = pairs.select("q_ids", "q_matrix", "ids", "matrix").mapInArrow(search, out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
