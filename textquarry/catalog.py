@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textquarry.functions import text as tx
 from textquarry.operators import analytics, bm25, chunking, cleaning, dataset, diagnostics, evidence, fusion, graph, metrics, parsing, query, ranks, vectors, verdicts
 from textquarry.operators.components import connected_components
-from textquarry.plans import retrieval
+from textquarry.plans import answers, retrieval
 from textquarry.session import exists, table
 from textquarry.streaming import ingest
 
@@ -174,8 +174,9 @@ def _holders(spark, sf) -> DataFrame:
     docs, items = table(spark, sf, "documents"), _items(spark, sf)
     needles = items.select(F.col("item_id").alias("case_id"), F.col("text").alias("needle"))
     longest = needles.select("case_id", "needle", F.array_max(F.transform(tx.terms(F.col("needle")), lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("w"))
-    candidates = docs.select("doc_id", "text", F.explode(tx.terms(F.col("text"))).alias("w"))
-    return candidates.join(F.broadcast(longest), "w").where(F.contains("text", F.col("needle"))).select("case_id", F.col("doc_id").alias("target_id")).distinct()
+    words = docs.select("doc_id", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("w"))  # texts are fetched for those that meet
+    met = words.join(longest, "w").select("doc_id", "case_id", "needle")
+    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("needle"))).select("case_id", F.col("doc_id").alias("target_id")).distinct()
 
 
 # --- answer metrics -------------------------------------------------------------------------------
@@ -472,9 +473,27 @@ def claim_verification(spark, sf):
     return evidence.verify_claims(answers, ev)
 
 
+_ANSWERABLE = f"""{_EVID}, sized AS (SELECT * FROM sel), pick AS (SELECT query_id, chunk_id, dm_ok, applicability FROM (SELECT *, applicability = 'explicit_match' AS dm_ok, sum(1) OVER (PARTITION BY query_id ORDER BY selection_order) AS place FROM sized) WHERE place <= 3)"""
+
+
+@_query(f"""WITH {_ANSWERABLE}, g AS (SELECT query_id, count(*) AS n, bool_or(dm_ok) AS dm, bool_or(applicability NOT IN ('inactive', 'reference_mismatch')) AS app FROM pick GROUP BY 1), h AS (SELECT query_id, count(*) AS hits FROM hits GROUP BY 1)
+SELECT item_id AS query_id, coalesce(hits, 0)::BIGINT AS hit_count, coalesce(n, 0)::BIGINT AS evidence_count,
+  concat_ws(',', CASE WHEN coalesce(n, 0) < 1 THEN 'minimum_evidence_count' END, CASE WHEN NOT coalesce(dm, false) THEN 'document_reference_match' END, CASE WHEN n > 0 AND NOT app THEN 'applicable_evidence' END) AS missing_aspects
+FROM benchmark LEFT JOIN g ON g.query_id = item_id LEFT JOIN h ON h.query_id = item_id""")
+def answer_grades(spark, sf):
+    """Every benchmark item with the grade of its evidence, items without hits among them; all wants a document reference."""
+    return _answers(spark, sf).select("query_id", "hit_count", "evidence_count", F.array_join("missing_aspects", ",").alias("missing_aspects"))
+
+
 @_query()
 def grounded_answers(spark, sf):
-    return retrieval.grounded_answers(_evidence_hits(spark, sf), 3, 6000)
+    """Every benchmark item's answer or abstention: evidence graded, claims and citations verified."""
+    return _answers(spark, sf)
+
+
+def _answers(spark, sf):
+    queries = _items(spark, sf).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(True).alias("wants_document"), F.lit(False).alias("wants_article"))
+    return answers.answer_questions(queries, _evidence_hits(spark, sf), max_evidence=3, max_tokens=1_000_000)
 
 
 # --- query understanding --------------------------------------------------------------------------

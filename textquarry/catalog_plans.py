@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.catalog import _MT, _PAIRS, _TERMS, _WORDS, _index, _items, _pairs, _query
+from textquarry.catalog import _BUILT, _MT, _PAIRS, _TERMS, _WORDS, _index, _items, _pairs, _query
 from textquarry.operators import census, dataset, gates, identity, metrics, query, vectors
 from textquarry.operators.ranks import ranked
 from textquarry.plans import agent, retrieval
-from textquarry.session import materialize, table
+from textquarry.session import exists, materialize, table
 
 DIM = 64
 
@@ -17,9 +17,13 @@ DIM = 64
 # --- search strategies ------------------------------------------------------------------------------
 
 def _corpus(spark: SparkSession, sf: str) -> retrieval.Corpus:
+    """The documents' lexical index, and their vectors, embedded once a session and folder and then read by every search."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     embed = lambda df, text: vectors.hashing_embedder(df, text, DIM)
-    return retrieval.Corpus(_index(spark, sf), materialize(embed(docs, "text").select("chunk_id", "embedding"), "vectors"), docs, embed)
+    key = "vectors", spark.sparkContext.applicationId, sf
+    if key not in _BUILT or not exists(_BUILT[key]):
+        _BUILT[key] = materialize(embed(docs, "text").select("chunk_id", "embedding"), "vectors")
+    return retrieval.Corpus(_index(spark, sf), _BUILT[key], docs, embed)
 
 
 def _asked(spark, sf) -> DataFrame:
@@ -439,11 +443,11 @@ def _resolved(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         "doc_id", F.when(k < 4, slug).alias("title"), F.when(k == 3, F.lit("nghi-dinh-9-ND-CP-x")).alias("url"), F.when(k.isin(0, 1), header).when(k == 4, F.lit("Thông tư")).otherwise(F.lit("chữ")).alias("passage")
     )
-    return dataset.resolve_identity(identity.identity_candidates(docs, "doc_id", "title", "url", "passage"))
+    return dataset.resolve_identity(identity.identity_candidates(docs, "doc_id", "title", "url", "passage"), docs.select(F.col("doc_id").alias("document_id")))
 
 
 @_query("""SELECT doc_id AS document_id, CASE doc_id % 6 WHEN 0 THEN 'strict' WHEN 1 THEN 'strict' WHEN 2 THEN 'provisional' WHEN 3 THEN CASE WHEN doc_id = 8 THEN 'provisional' ELSE 'ambiguous' END ELSE 'unresolved' END AS status,
-CASE WHEN doc_id % 6 < 3 THEN 'nghi-dinh::' || (doc_id + 1) || '-nd-cp' END AS value FROM documents WHERE doc_id % 6 < 5""")
+CASE WHEN doc_id % 6 < 3 THEN 'nghi-dinh::' || (doc_id + 1) || '-nd-cp' END AS value FROM documents""")
 def identity_resolution(spark, sf):
     return _resolved(spark, sf)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,9 +61,40 @@ def quarantine(groups: DataFrame, holdout: DataFrame) -> DataFrame:
 
 
 def _group_order(groups: DataFrame, seed: int) -> DataFrame:
-    """A row for each group: its size and hash, in which its ids are sorted and joined."""
-    g = groups.groupBy("group_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), "|").alias("ids"))
-    return g.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), "ids"), 256)).drop("ids")
+    """(group_id, n, h): a group's size, and the SHA-256 of the seed and its sorted ids, joined.
+
+    Ids come to their group's task sorted, and the digest is carried from one Arrow batch to the
+    next, so that a group of any size is never held.
+    """
+    kind = groups.schema["group_id"].dataType.simpleString()
+    rows = groups.select("group_id", F.col("id").cast("string").alias("id"))
+    rows = rows.repartition("group_id").sortWithinPartitions("group_id", F.asc_nulls_first("id"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        group, n, h, first = None, 0, None, True
+        for batch in batches:
+            done = []
+            for g, i in zip(batch.column(0), batch.column(1).to_pylist()):
+                if h is None or g != group:
+                    if h is not None:
+                        done.append((group, n, h.hexdigest()))
+                    group, n, h, first = g, 0, hashlib.sha256(f"{seed}:".encode()), True
+                n += 1
+                if i is not None:
+                    h.update(("" if first else "|").encode() + i.encode())
+                    first = False
+            if done:
+                yield emit(done, batch)
+        if h is not None:
+            yield emit([(group, n, h.hexdigest())], None)
+
+    def emit(done: list, batch) -> pa.RecordBatch:
+        groups, sizes, hashes = zip(*done)
+        return pa.RecordBatch.from_arrays([pa.array([g.as_py() for g in groups], groups[0].type), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())], names=["group_id", "n", "h"])
+
+    return rows.mapInArrow(digest, f"group_id {kind}, n long, h string")
 
 
 def _before(sizes: DataFrame, buckets: int = 256) -> DataFrame:
@@ -161,9 +195,14 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-def resolve_identity(candidates: DataFrame) -> DataFrame:
-    """candidates(document_id, source, value): strict if header and slug agree, ambiguous if values conflict, provisional with one source, else unresolved."""
+def resolve_identity(candidates: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """candidates(document_id, source, value): strict if header and slug agree, ambiguous if values conflict, provisional with one source, else unresolved.
+
+    documents(document_id): what the candidates are of; those without any are unresolved too.
+    """
     g = candidates.groupBy("document_id").agg(F.countDistinct("value").alias("values"), F.max(F.when(F.col("source") == "header", F.col("value"))).alias("header"), F.max(F.when(F.col("source") != "header", F.col("value"))).alias("slug"), F.max("value").alias("value"))
+    if documents is not None:
+        g = documents.select("document_id").distinct().join(g, "document_id", "left").na.fill(0, ["values"])
     status = F.when(F.col("values") > 1, F.lit("ambiguous")).when(F.col("values") == 0, F.lit("unresolved")).when(F.col("header").isNotNull() & F.col("slug").isNotNull(), F.lit("strict")).otherwise(F.lit("provisional"))
     return g.select("document_id", status.alias("status"), F.when(F.col("values") == 1, F.col("value")).alias("value"))
 

@@ -1,4 +1,4 @@
-"""Compositions: batch retrieval over all queries at once, graph expansion and grounded answers."""
+"""Compositions: batch retrieval over all queries at once, and graph expansion."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.operators import bm25, evidence, fusion, graph, query, vectors
+from textquarry.operators import bm25, fusion, graph, query, vectors
 from textquarry.session import materialize
 
 
@@ -126,11 +126,3 @@ def graph_expanded(hits: DataFrame, chunk_documents: DataFrame, edges: DataFrame
     once = both.groupBy("query_id", "chunk_id").agg(F.min(F.struct("part", "rank", "score")).alias("x")).select("query_id", "chunk_id", "x.*")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("part", "rank", "chunk_id"))
     return once.drop("rank").join(once.select("query_id", "chunk_id", F.col("rank").alias("prior")), ["query_id", "chunk_id"]).withColumn("rank", F.col("prior")).withColumn("rank", order).where(F.col("rank") <= top_k).select("query_id", "chunk_id", "score", "part", "rank")
-
-
-def grounded_answers(hits: DataFrame, max_evidence: int = 3, max_tokens: int = 400) -> DataFrame:
-    """Score, select within the budget, number the evidence, answer by extraction and check the claims: one row a query."""
-    scored = evidence.score_evidence(hits)
-    picked = evidence.select_within_budget(scored, max_evidence, max_tokens).where("reason = 'selected'")
-    ev = picked.join(hits.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "text"), ["query_id", "chunk_id"]).select(F.col("query_id").alias("question_id"), F.concat(F.lit("E"), F.col("selection_rank")).alias("evidence_id"), "text")
-    return evidence.extractive_answer(ev).join(ev.groupBy("question_id").agg(F.count("*").alias("n_evidence")), "question_id").select(F.col("question_id").alias("query_id"), "answer", "n_evidence", (F.col("n_evidence") > 0).alias("is_sufficient"))

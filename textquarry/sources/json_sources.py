@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Folder of a published table's manifest, which Spark's readers of the table pass over.
+MANIFEST = "_manifest"
 CONTEXT_SCHEMA = "context_id string, title string, source_url string, passage string"
 
 
@@ -123,13 +126,43 @@ def to_documents(contexts: DataFrame, dataset: str) -> DataFrame:
     return contexts.select(F.col("context_id").alias("document_id"), "title", "source_url", F.col("passage").alias("clean_text"), F.lit(dataset).alias("source_dataset"), *[F.lit(None).cast("string").alias(c) for c in nulls])
 
 
+def _store(spark: SparkSession, path: str):
+    """Hadoop's Path constructor and the file system of a path."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of, of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_artifact(df: DataFrame, path: str, fmt: str = "json") -> DataFrame:
-    """Write once, never over what exists, with a manifest (records, sha256 of the sorted row digests) beside it; gives the manifest."""
-    spark = df.sparkSession
-    df.write.mode("errorifexists").format(fmt).save(path)
-    manifest = artifact_manifest(spark.read.schema(df.schema).format(fmt).load(path))
-    manifest.coalesce(1).write.mode("errorifexists").json(f"{path.rstrip('/')}.manifest")
-    return manifest
+    """Publish a table once, never over what exists, with a manifest (records and a checksum of the row digests); gives the manifest.
+
+    Data and manifest are written to a staging folder beside the path, whose renaming is what
+    publishes: readers see all of it or nothing, and what a stopped writer left is in no reader's
+    and no later writer's way. Of two writers at once the first to rename wins.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    of, fs = _store(spark, path)
+    if fs.exists(of(path)):
+        raise InvalidSource(f"{path} exists already")
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    df.write.format(fmt).save(staging)
+    manifest = artifact_manifest(spark.read.schema(df.schema).format(fmt).load(staging))
+    manifest.coalesce(1).write.json(f"{staging}/{MANIFEST}")
+    if fs.exists(of(path)) or not fs.rename(of(staging), of(path)):
+        fs.delete(of(staging), True)
+        raise InvalidSource(f"{path} exists already")
+    if fs.exists(inside := of(path, of(staging).getName())):  # another one was first, and a folder moves into the one that is there
+        fs.delete(inside, True)
+        raise InvalidSource(f"{path} exists already")
+    return spark.read.schema("records long, checksum string").json(f"{path}/{MANIFEST}")
+
+
+def discard_staging(spark: SparkSession, path: str) -> int:
+    """Delete what stopped writers of `path` left; gives how many. Only while none is at work."""
+    of, fs = _store(spark, path)
+    left = fs.globStatus(of(f"{path.rstrip('/')}.staging-*")) or []
+    for x in left:
+        fs.delete(x.getPath(), True)
+    return len(left)
 
 
 def artifact_manifest(df: DataFrame) -> DataFrame:
@@ -141,7 +174,7 @@ def artifact_manifest(df: DataFrame) -> DataFrame:
 def read_artifact(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
     """Read with a fixed schema; refused if records or checksum differ from the manifest."""
     df = spark.read.schema(schema).format(fmt).load(path)
-    want = spark.read.schema("records long, checksum string").json(f"{path.rstrip('/')}.manifest").first()
+    want = spark.read.schema("records long, checksum string").json(f"{path.rstrip('/')}/{MANIFEST}").first()
     have = artifact_manifest(df).first()
     if (want.records, want.checksum) != (have.records, have.checksum):
         raise InvalidSource(f"{path}: {have.records} records, not as in its manifest")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,31 @@ from textquarry.operators.gates import prefix_problems, refuse
 
 
 def ingest_chunks(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, id_col: str, text_col: str, params: ChunkParams = ChunkParams()):
-    """Chunk all files of a folder that no run has taken yet, each document id once, and end; exactly once by the checkpoint."""
-    docs = spark.readStream.schema(schema).parquet(source).dropDuplicates([id_col])
-    chunks = chunk_documents(docs, id_col, text_col, None, params)
-    return chunks.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Chunk all files of a folder that no run has taken yet, each document id once, and end.
+
+    A batch is written as a whole to a folder of its number (column `batch`), over what a stopped
+    try of it left, and takes only documents that no other batch has chunks of. What is known lies in
+    the table alone, so that the stream holds no state, however many documents have passed. A
+    document without chunks is looked at again when it comes again.
+    """
+
+    def write(docs: DataFrame, number: int) -> None:
+        new = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        if (done := ingested(spark, out)) is not None:
+            new = new.join(done.where(F.col("batch") != number).select(F.col("document_id").alias(id_col)).distinct(), id_col, "left_anti")
+        chunk_documents(new, id_col, text_col, None, params).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingested(spark: SparkSession, out: str) -> DataFrame | None:
+    """The chunks that ingest_chunks has written, with the number of their batch; None before the first."""
+    try:
+        return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
 
 
 def resume_answers(questions: DataFrame, path: str, answer: Callable[[DataFrame], DataFrame], id_col: str = "question_id", pos_col: str | None = None) -> int:
