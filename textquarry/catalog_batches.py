@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.catalog import _query
-from textquarry.operators import batches
+from textquarry.catalog import _POSTINGS, _WORDS, _index, _items, _query
+from textquarry.operators import audits, batches, bm25, fusion
 from textquarry.session import table
 
 _TOOLS = ("bm25_search", "graph_search", "calculator")
@@ -99,3 +99,104 @@ UNION ALL SELECT '$.' || key, CASE json_type(props, '$.' || key) WHEN 'UBIGINT'
 def event_fields(spark, sf):
     """The fields of the events' nested properties with the kinds of their values."""
     return batches.field_census(table(spark, sf, "events"), "props", 4)
+
+
+# --- audits of corpora, pools and runs --------------------------------------------------------------
+
+_FOLDED = r"lower(trim(regexp_replace({0}, '[\s\x0B\x1C-\x1F\x85\xA0\p{{Z}}]+', ' ', 'g')))"
+_KEYS = f"""k AS (SELECT kind, key, id FROM (SELECT 'exact' AS kind, text AS key, doc_id AS id FROM documents UNION ALL SELECT 'folded', {_FOLDED.format('text')}, doc_id FROM documents UNION ALL SELECT 'first_line', split_part(text, chr(10), 1), doc_id FROM documents) WHERE trim(regexp_replace(key, '[\\s\\x0B\\x1C-\\x1F\\x85\\xA0\\p{{Z}}]+', '', 'g')) <> ''),
+c AS (SELECT kind, key, count(*) AS size, min(id) AS first FROM k GROUP BY 1, 2)"""
+
+
+def _keys():
+    return {"exact": F.col("text"), "folded": audits.folded(F.col("text")), "first_line": F.split_part("text", F.lit("\n"), F.lit(1))}
+
+
+@_query(f"WITH {_KEYS} SELECT kind, count_if(size > 1) AS clusters, coalesce(sum(size) FILTER (size > 1), 0)::BIGINT AS records, round(coalesce(sum(size) FILTER (size > 1), 0) * 100.0::DOUBLE / (SELECT count(*) FROM documents), 6) AS share FROM c GROUP BY kind")
+def duplicate_clusters(spark, sf):
+    """Copies of whole texts, folded texts and first lines."""
+    return audits.duplicate_clusters(table(spark, sf, "documents"), "doc_id", _keys()).withColumn("share", F.round("share", 6))
+
+
+@_query(f"""WITH {_KEYS}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY size DESC, first) AS place FROM c WHERE size > 1) WHERE place <= 5),
+m AS (SELECT t.kind, t.place, t.size, k.id, row_number() OVER (PARTITION BY t.kind, t.place ORDER BY k.id) AS r FROM t JOIN k ON k.kind = t.kind AND k.key = t.key)
+SELECT kind, place, size, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM m WHERE r <= 5 GROUP BY ALL""")
+def largest_clusters(spark, sf):
+    found = audits.largest_clusters(table(spark, sf, "documents"), "doc_id", _keys())
+    return found.select("kind", "place", "size", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@_query(r"""WITH t AS (SELECT contains(text, chr(13) || chr(10)) AS crlf, contains(replace(text, chr(13) || chr(10), ''), chr(10)) AS lf, contains(replace(text, chr(13) || chr(10), ''), chr(13)) AS cr, nfc_normalize(text) <> text AS odd FROM (SELECT coalesce(text, '') AS text FROM documents))
+SELECT count(*) AS texts, count_if(crlf AND NOT (lf OR cr)) AS crlf, count_if(lf AND NOT crlf) AS lf, count_if(cr AND NOT crlf AND NOT lf) AS cr, count_if(crlf AND (lf OR cr)) AS mixed, count_if(NOT crlf AND NOT lf AND NOT cr) AS none, count_if(odd) AS not_composed FROM t""")
+def text_styles(spark, sf):
+    return audits.style_profile(table(spark, sf, "documents"), "text")
+
+
+@_query(r"SELECT doc_id AS id, length(text) AS chars, len(list_filter(string_split_regex(text, '[\s\x0B\x1C-\x1F\x85\xA0\p{Z}]+'), lambda w: w <> '')) AS words FROM documents ORDER BY length(text) DESC, doc_id LIMIT 20")
+def largest_documents(spark, sf):
+    return audits.largest_documents(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_POOL = f"""{_POSTINGS.replace('{k}', '40')},
+p AS (SELECT h.query_id, h.chunk_id, d.source AS document_id, h.rank AS fused_rank, {_WORDS.format('b.text')} AS q, {_WORDS.format('d.text')} AS e FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.chunk_id),
+s AS (SELECT query_id, chunk_id, document_id, fused_rank, round(len(list_intersect(q, e))::DOUBLE / len(q), 8) AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank, chunk_id) AS deep, row_number() OVER (PARTITION BY query_id, fused_rank <= 20 ORDER BY score DESC, fused_rank, chunk_id) AS near FROM s),
+l AS (SELECT *, fused_rank <= 20 AND near <= 8 AS a, deep <= 8 AS b FROM r),
+audit AS (SELECT query_id, bool_and(a AND b AND near = deep) AS identical, count_if(a AND b) AS overlap, count_if(b AND NOT a) AS entrants, count_if(a AND NOT b) AS displaced, count_if(a AND b)::DOUBLE / count(*) AS jaccard, min(score) FILTER (a) AS shallow_cutoff, min(score) FILTER (b) AS deep_cutoff,
+  round(min(score) FILTER (b AND NOT a) - max(score) FILTER (a AND NOT b), 8) AS margin, len(list_distinct(list(document_id) FILTER (b))) - len(list_intersect(list_distinct(list(document_id) FILTER (b)), list_distinct(list(document_id) FILTER (a)))) AS new_documents FROM l WHERE a OR b GROUP BY query_id)"""
+
+
+def _pool(spark, sf):
+    index = _index(spark, sf)
+    hits = bm25.search(bm25.plan_queries(_items(spark, sf), index, "item_id", "text"), index, 40)
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("document_id"))
+    scored = hits.join(texts, "chunk_id").join(_items(spark, sf).select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    return audits.pool_audit(scored.select("query_id", "chunk_id", "document_id", F.col("rank").alias("fused_rank"), fusion.lexical_scorer(F.col("question"), F.col("text")).alias("score")))
+
+
+@_query(f"WITH {_POOL} SELECT query_id, identical, overlap, entrants, displaced, round(jaccard, 9) AS jaccard, round(shallow_cutoff, 8) AS shallow_cutoff, round(deep_cutoff, 8) AS deep_cutoff, margin, new_documents FROM audit")
+def pool_depth_audit(spark, sf):
+    """The best 8 by shared words from the first 20 and from the first 40 BM25 hits of every benchmark item."""
+    found = _pool(spark, sf)
+    return found.select("query_id", "identical", "overlap", "entrants", "displaced", F.round("jaccard", 9).alias("jaccard"), "shallow_cutoff", "deep_cutoff", "margin", F.col("new_documents").cast("long").alias("new_documents"))
+
+
+@_query(f"WITH {_POOL}, n AS (SELECT unnest(['21-25', '26-30', '31-35', '36-40']) AS bucket) SELECT bucket, (SELECT count(*) FROM l WHERE b AND NOT a AND bucket = (21 + 5 * ((fused_rank - 21) // 5))::VARCHAR || '-' || (25 + 5 * ((fused_rank - 21) // 5))::VARCHAR)::BIGINT AS entrants FROM n")
+def pool_entrant_buckets(spark, sf):
+    return audits.entrant_buckets(_pool(spark, sf))
+
+
+@_query(f"WITH {_POOL} SELECT count(*) AS cases, count_if(identical) AS identical_cases, count_if(NOT identical) AS changed_cases, sum(entrants)::BIGINT AS entrants, count_if(entrants > 0) AS cases_with_entrants, sum(new_documents)::BIGINT AS new_documents, round(avg(overlap), 4) AS overlap_mean, min(overlap) AS overlap_min, max(overlap) AS overlap_max, round(avg(shallow_cutoff), 6) AS shallow_cutoff_mean, round(avg(deep_cutoff), 6) AS deep_cutoff_mean, round(avg(margin), 6) AS margin_mean FROM audit")
+def pool_audit_summary(spark, sf):
+    names = ["cases", "identical_cases", "changed_cases", "entrants", "cases_with_entrants", "new_documents", "overlap_mean", "overlap_min", "overlap_max"]
+    return audits.pool_summary(_pool(spark, sf)).select(*names, *[F.round(c, 6).alias(c) for c in ("shallow_cutoff_mean", "deep_cutoff_mean", "margin_mean")])
+
+
+_RUNS = "r AS (SELECT doc_id, text AS reference, split_part(text, chr(10), 1) AS a, left(text, 700) AS b, length(text) > 1500 AS ha, length(text) > 2500 AS hb FROM documents)"
+
+
+def _runs(spark, sf):
+    """First lines as the base's answers, the first 700 characters as the treatment's, whole texts as references."""
+    d = table(spark, sf, "documents")
+    run = lambda answer, most: d.select(F.col("doc_id").alias("question_id"), answer.alias("answer"), F.lit("success").alias("status"), (F.length("text") > most).alias("hit_max"))
+    return audits.paired_runs(run(F.split_part("text", F.lit("\n"), F.lit(1)), 1500), run(F.left("text", F.lit(700)), 2500), d.select(F.col("doc_id").alias("question_id"), F.col("text").alias("reference")))
+
+
+@_query(f"""WITH {_RUNS}, s AS (SELECT 'exact' AS metric, (a = reference)::INT::DOUBLE AS x, (b = reference)::INT::DOUBLE AS y FROM r UNION ALL SELECT 'length', length(a) / length(reference)::DOUBLE, length(b) / length(reference)::DOUBLE FROM r WHERE length(reference) > 0)
+SELECT metric, count(*) AS cases, round(avg(x), 6) AS base_mean, round(avg(y), 6) AS treatment_mean, round(avg(y - x), 6) AS mean_delta, round(median(y - x), 6) AS median_delta, count_if(y - x > 1e-6) AS win, count_if(abs(y - x) <= 1e-6) AS tie, count_if(y - x < -1e-6) AS loss FROM s GROUP BY 1""")
+def paired_run_report(spark, sf):
+    runs = _runs(spark, sf)
+    scored = runs.where("length(reference) > 0")
+    for p in ("base", "treatment"):
+        a = F.col(f"{p}_answer")
+        scored = scored.withColumns({f"{p}_exact": (a == F.col("reference")).cast("int"), f"{p}_length": F.length(a) / F.length("reference")})
+    found = audits.paired_report(scored, ["exact", "length"])
+    return found.select("metric", "cases", *[F.round(c, 6).alias(c) for c in ("base_mean", "treatment_mean", "mean_delta", "median_delta")], "win", "tie", "loss")
+
+
+@_query(f"""WITH {_RUNS}, n AS (SELECT count(*) AS cases, avg(length(a)) AS base_chars, avg(length(b)) AS treatment_chars, avg(length(reference)) AS reference_chars, count_if(ha) AS base_hits, count_if(hb) AS treatment_hits FROM r)
+SELECT cases, round(base_chars, 6) AS base_chars, round(treatment_chars, 6) AS treatment_chars, round(reference_chars, 6) AS reference_chars, base_hits, treatment_hits,
+  concat_ws(',', CASE WHEN base_hits > 0 THEN 'base_generations_hit_max_tokens_count_' || base_hits END, CASE WHEN treatment_hits > 0 THEN 'treatment_generations_hit_max_tokens_count_' || treatment_hits END, CASE WHEN base_hits > 0.02 * cases OR treatment_hits > 0.02 * cases THEN 'screening_potentially_censored' END) AS warnings FROM n""")
+def paired_run_lengths(spark, sf):
+    found = audits.length_report(_runs(spark, sf))
+    return found.select("cases", *[F.round(c, 6).alias(c) for c in ("base_chars", "treatment_chars", "reference_chars")], "base_hits", "treatment_hits", F.array_join("warnings", ",").alias("warnings"))
