@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.catalog import _POSTINGS, _WORDS, _index, _items, _query
-from textquarry.operators import audits, batches, bm25, fusion
-from textquarry.session import table
+from textquarry.operators import audits, batches, bm25, chunking, fusion, parsing
+from textquarry.session import materialize, table
 
 _TOOLS = ("bm25_search", "graph_search", "calculator")
 
@@ -101,6 +101,14 @@ def event_fields(spark, sf):
     return batches.field_census(table(spark, sf, "events"), "props", 4)
 
 
+@_query()
+def chunks_of_stored_blocks(spark, sf):
+    """The documents' chunks from their written blocks and titles, merged document by document; a test holds them against one pass over the texts."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text", F.col("source").alias("title"))
+    blocks = materialize(parsing.parse_documents(d, "document_id", "text"), "blocks")
+    return chunking.chunk_blocks(blocks, d)
+
+
 # --- audits of corpora, pools and runs --------------------------------------------------------------
 
 _FOLDED = r"lower(trim(regexp_replace({0}, '[\s\x0B\x1C-\x1F\x85\xA0\p{{Z}}]+', ' ', 'g')))"

@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from textquarry.operators.parsing import STRUCTURE, document_blocks
 
@@ -99,74 +101,91 @@ def search_text(title: str | None, structure: dict, text: str, most: int, count:
     return "\n".join([*reversed(kept), body])
 
 
-def chunk_document(document_id: str, title: str | None, blocks: list[dict], p: ChunkParams = ChunkParams(), count: Callable[[str], int] = count_tokens) -> list[dict]:
-    """An article with all below it is one chunk if it fits, else its parts are packed in order; headings wait for the unit that follows them."""
-    below: dict[str | None, list[dict]] = {}
+HEADS = ("part", "chapter", "section", "subsection")
+
+
+def _units(blocks: Iterable[dict]) -> Iterator[list[dict]]:
+    """A block with all below it if it is an article, else alone, as they come: what lies below an article follows it."""
+    unit: list[dict] = []
+    held: set[str] = set()
     for b in blocks:
-        below.setdefault(b["parent_block_id"], []).append(b)
+        if unit and unit[0]["block_type"] == "article" and b["parent_block_id"] in held:
+            unit.append(b)
+            held.add(b["block_id"])
+            continue
+        if unit:
+            yield unit
+        unit, held = [b], {b["block_id"]}
+    if unit:
+        yield unit
+
+
+def _article_parts(unit: list[dict], heads: list[dict]) -> list[list[dict]]:
+    """The article's own block behind its headings, with its first child; then each other child with all below it."""
+    parts: list[list[dict]] = [[*heads, unit[0]]]
+    for b in unit[1:]:
+        if b["parent_block_id"] == unit[0]["block_id"]:
+            parts.append([])
+        parts[-1].append(b)
+    return [parts[0] + parts[1], *parts[2:]] if len(parts) > 1 else parts
 
-    def tree(b):
-        return [b, *(x for c in below.get(b["block_id"], []) for x in tree(c))]
 
-    drafts: list[tuple[str, list[dict], str, int, int]] = []
+def chunk_stream(document_id: str, title: str | None, blocks: Iterable[dict], p: ChunkParams = ChunkParams(), count: Callable[[str], int] = count_tokens) -> Iterator[dict]:
+    """The chunks of a document whose blocks come in order: no more than an article and the headings before it is held.
+
+    An article with all below it is one chunk if it fits, else its parts are packed in order; headings
+    wait for the unit that follows them.
+    """
 
     def windows(unit):
         pieces = split_tokens(_joined(unit), p.max_tokens, p.overlap)
-        drafts.extend(("token_fallback", unit, t, k, len(pieces)) for k, t in enumerate(pieces))
-
-    def whole(strategy, unit):
-        drafts.append((strategy, unit, _joined(unit), 0, 1))
-
-    def article(b, heads):
-        unit = [*heads, *tree(b)]
-        if count(_joined(unit)) <= p.max_tokens:
-            return whole("article", unit)
-        units = [[*heads, b], *(tree(c) for c in below.get(b["block_id"], []))]
-        if len(units) > 1:
-            units[:2] = [units[0] + units[1]]
+        return [("token_fallback", unit, t, k, len(pieces)) for k, t in enumerate(pieces)]
+
+    fits = lambda unit: count(_joined(unit)) <= p.max_tokens
+    whole = lambda strategy, unit: [(strategy, unit, _joined(unit), 0, 1)]
+
+    def article(unit, heads):
+        if fits([*heads, *unit]):
+            yield from whole("article", [*heads, *unit])
+            return
         pack: list[dict] = []
-        for u in units:
-            if count(_joined(u)) > p.max_tokens:
-                if pack:
-                    whole("clause_group", pack)
-                pack = []
-                windows(u)
-            elif pack and count(_joined(pack + u)) > p.max_tokens:
-                whole("clause_group", pack)
-                pack = [*u]
-            else:
-                pack = pack + u
+        for part in _article_parts(unit, heads):
+            if fits(part) and (not pack or fits(pack + part)):
+                pack = pack + part
+                continue
+            if pack:
+                yield from whole("clause_group", pack)
+            pack = part if fits(part) else []
+            if not pack:
+                yield from windows(part)
         if pack:
-            whole("clause_group", pack)
+            yield from whole("clause_group", pack)
+
+    def drafts():
+        heads: list[dict] = []
+        for unit in _units(blocks):
+            if unit[0]["block_type"] in HEADS:
+                heads = [*heads, *unit]
+                continue
+            if unit[0]["block_type"] == "article":
+                yield from article(unit, heads)
+            else:
+                yield from whole("standalone_block", [*heads, *unit]) if fits([*heads, *unit]) else windows([*heads, *unit])
+            heads = []
+        if heads:
+            yield from whole("standalone_block", heads) if fits(heads) else windows(heads)
 
-    heads: list[dict] = []
-    done: set[str] = set()
-    for b in blocks:
-        if b["block_id"] in done:
-            continue
-        if b["block_type"] in ("part", "chapter", "section", "subsection"):
-            heads.append(b)
-            continue
-        unit = tree(b) if b["block_type"] == "article" else [b]
-        done.update(x["block_id"] for x in unit)
-        if b["block_type"] == "article":
-            article(b, heads)
-        elif count(_joined([*heads, *unit])) <= p.max_tokens:
-            whole("standalone_block", [*heads, *unit])
-        else:
-            windows([*heads, *unit])
-        heads = []
-    if heads:
-        whole("standalone_block", heads) if count(_joined(heads)) <= p.max_tokens else windows(heads)
-    out = []
-    for k, (strategy, unit, text, split, splits) in enumerate(drafts):
+    for k, (strategy, unit, text, split, splits) in enumerate(drafts()):
         structure = merged_structure(unit)
         ids = [b["block_id"] for b in unit]
-        out.append({
+        yield {
             "chunk_id": chunk_id(document_id, strategy, ids, split, text), "document_id": document_id, "chunk_index": k, "text": text, "search_text": search_text(title, structure, text, p.max_search_tokens, count),
             "token_count": count(text), "strategy": strategy, "split_index": split, "split_count": splits, "source_block_ids": ids, "structure": structure,
-        })
-    return out
+        }
+
+
+def chunk_document(document_id: str, title: str | None, blocks: list[dict], p: ChunkParams = ChunkParams(), count: Callable[[str], int] = count_tokens) -> list[dict]:
+    return [*chunk_stream(document_id, title, blocks, p, count)]
 
 
 CHUNK_SCHEMA = f"chunk_id string, document_id string, chunk_index int, text string, search_text string, token_count int, strategy string, split_index int, split_count int, source_block_ids array<string>, structure struct<{STRUCTURE.replace(' string', ':string').replace(' array', ':array')}>"
@@ -187,6 +206,36 @@ def chunk_documents(df: DataFrame, id_col: str, text_col: str, title_col: str |
     return df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), title.alias("title")).mapInPandas(run, CHUNK_SCHEMA)
 
 
+def chunk_blocks(blocks: DataFrame, documents: DataFrame, params: ChunkParams = ChunkParams(), most: int = 512) -> DataFrame:
+    """The chunks of stored blocks and their documents(document_id, title): the same as of one pass over the texts.
+
+    Both sides come to a document's task sorted, the title before the blocks, and are merged as Arrow
+    batches pass by: of a document of any size an article is held, and `most` chunks. Blocks of
+    unknown documents are chunked without a title; documents without blocks have no chunk; of
+    several titles of a document the first by order counts.
+    """
+    columns = [f.name for f in blocks.schema.fields]
+    titles = documents.select(F.col("document_id").cast("string").alias("document_id"), F.lit(-1).alias("order_index"), F.col("title").cast("string").alias("title"))
+    both = blocks.withColumn("document_id", F.col("document_id").cast("string")).withColumn("__block", F.lit(True)).unionByName(titles.withColumnRenamed("title", "__title"), allowMissingColumns=True)
+    both = both.where("document_id is not null").repartition("document_id").sortWithinPartitions("document_id", "order_index", F.asc_nulls_last("__title"))
+
+    schema = to_arrow_schema(T._parse_datatype_string(CHUNK_SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import groupby, islice
+
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for document, found in groupby(rows, lambda r: r["document_id"]):
+            first = next(found)
+            title = None if first["__block"] else first["__title"]
+            own = ({c: r[c] for c in columns} for part in ([first], found) for r in part if r["__block"])
+            made = chunk_stream(document, title, own, params)
+            while some := [*islice(made, most)]:
+                yield pa.RecordBatch.from_pylist(some, schema)
+
+    return both.mapInArrow(run, CHUNK_SCHEMA)
+
+
 def chunk_problems(documents: DataFrame, blocks: DataFrame, chunks: DataFrame, params: ChunkParams = ChunkParams(), min_tokens: int = 1, inherited: tuple[str, ...] = ()) -> DataFrame:
     """(document_id, problem, ref) over documents(document_id), blocks and chunks: ids, budgets, texts, sources, order, coverage.
 
