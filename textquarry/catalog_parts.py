@@ -18,17 +18,6 @@ def metadata_filter(spark, sf):
     return vectors.metadata_filter(table(spark, sf, "part"), {"p_brand": ["Brand#1", "Brand#2"], "p_type": ["ECONOMY"], "p_size": []}).select("p_partkey")
 
 
-@_query(f"""WITH w AS (SELECT DISTINCT unnest({_TERMS.format('text')}) AS term FROM documents), q AS (SELECT item_id, list_distinct({_TERMS.format("CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN '?!' ELSE 'zzqx' END")}) AS ts FROM benchmark)
-SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN CASE WHEN len(ts) > 8 OR len(ts) > (SELECT count(*) FROM w WHERE list_contains(ts, w.term)) THEN 'bm25_query_terms_limited' ELSE '' END WHEN 1 THEN 'query_has_no_indexable_terms' ELSE 'no_bm25_matches' END AS warnings FROM q""")
-def bm25_warnings(spark, sf):
-    """Items as they are, without terms, and with an unknown term."""
-    k = F.col("item_id") % 3
-    q = _items(spark, sf).select("item_id", F.when(k == 0, F.col("text")).when(k == 1, F.lit("?!")).otherwise(F.lit("zzqx")).alias("text"))
-    index = _index(spark, sf)
-    planned = bm25.plan_queries(q, index, "item_id", "text")
-    return bm25.warnings(q, planned, bm25.search(planned, index), "item_id", "text").select("query_id", F.array_join("warnings", ",").alias("warnings"))
-
-
 @_query("SELECT doc_id AS query_id, CASE doc_id % 3 WHEN 0 THEN 'b' || doc_id WHEN 1 THEN 'c' || doc_id END AS text FROM documents WHERE doc_id % 3 < 2")
 def next_rewrite(spark, sf):
     """Three forms of each question, of which one, two or all are used."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.catalog import _BUILT, _MT, _PAIRS, _TERMS, _WORDS, _index, _items, _pairs, _query
-from textquarry.operators import census, dataset, gates, identity, metrics, query, vectors
+from textquarry.operators import bm25, census, dataset, gates, identity, metrics, query, vectors
 from textquarry.operators.ranks import ranked
 from textquarry.plans import agent, retrieval
 from textquarry.session import exists, materialize, table
@@ -102,20 +102,33 @@ def strategy_comparison(spark, sf):
     return retrieval.search(_asked(spark, sf), _corpus(spark, sf), ("bm25", "dense", "hybrid", "hybrid_rerank"), LIMITS)
 
 
-@_query(f"""WITH asks AS (SELECT doc_id AS query_id, 'qv-active' AS variant_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'zzqx' ELSE text END AS text FROM documents), t AS (SELECT query_id, {_TERMS.format('text')} AS ts FROM asks),
+@_query(f"""WITH asks AS (SELECT doc_id * 3 + i AS query_id, 'qv-active' AS variant_id, CASE i WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '[\\p{{L}}\\p{{N}}]+', '', 'g') ELSE reverse(text) END AS text FROM documents, (SELECT unnest([0, 1, 2]) AS i)), t AS (SELECT query_id, {_TERMS.format('text')} AS ts FROM asks),
 v AS (SELECT unnest(ts) AS term, query_id FROM t), w AS (SELECT DISTINCT unnest({_TERMS.format('text')}) AS term FROM documents), l AS (SELECT query_id, bool_or(w.term IS NOT NULL) AS hit FROM v LEFT JOIN w USING (term) GROUP BY 1),
 s AS (SELECT query_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % {DIM}) AS slot, sum(CASE WHEN ('0x' || substr(md5(term), 9, 1))::BIGINT % 2 = 1 THEN -1 ELSE 1 END) AS x FROM v GROUP BY ALL), n AS (SELECT query_id, sum(x * x) > 0 AS any_vector FROM s GROUP BY 1),
 m AS (SELECT t.query_id, coalesce(l.hit, false) AS hit, coalesce(n.any_vector, false) AS vec FROM t LEFT JOIN l USING (query_id) LEFT JOIN n USING (query_id))
 SELECT query_id, concat_ws(',', CASE WHEN NOT hit THEN 'bm25:no_bm25_matches' END, CASE WHEN NOT vec THEN 'dense:no_dense_matches' END, CASE WHEN NOT hit AND NOT vec THEN 'no_hybrid_matches' END) AS warnings FROM m WHERE NOT hit OR NOT vec""")
 def hybrid_warnings(spark, sf):
-    """Every document as a question, of which some are empty and some of an unknown word."""
-    k = F.col("doc_id") % 4
-    q = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.when(k == 0, F.lit("")).when(k == 1, F.lit("zzqx")).otherwise(F.col("text")).alias("question"), F.lit(None).cast("string").alias("rewritten"))
+    """Every document as three questions: as it is, without its words, and read backwards."""
+    said = F.array("text", F.regexp_replace("text", r"[\p{L}\p{N}]+", ""), F.reverse("text"))
+    q = table(spark, sf, "documents").select("doc_id", F.posexplode(said).alias("i", "question"))
+    q = q.select((F.col("doc_id") * 3 + F.col("i")).alias("query_id"), "question", F.lit(None).cast("string").alias("rewritten"))
     variants = retrieval.active_variants(q)
     found = retrieval.branches(variants, _corpus(spark, sf), 1)
     return retrieval.hybrid_warnings(variants, found, False).select("query_id", F.array_join("warnings", ",").alias("warnings"))
 
 
+@_query(f"""WITH asks AS (SELECT item_id * 3 + i AS query_id, 'qv-active' AS variant_id, CASE i WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '[\\p{{L}}\\p{{N}}]+', '', 'g') ELSE reverse(text) END AS text FROM benchmark, (SELECT unnest([0, 1, 2]) AS i)), {_BRANCHES},
+t AS (SELECT query_id, len(list_distinct({_TERMS.format('text')})) AS n FROM asks), k AS (SELECT query_id, count(*) AS taken FROM plan WHERE r <= 8 GROUP BY 1), h AS (SELECT DISTINCT query_id FROM lex)
+SELECT t.query_id, concat_ws(',', CASE WHEN n = 0 THEN 'query_has_no_indexable_terms' END, CASE WHEN n > 0 AND coalesce(taken, 0) < n THEN 'bm25_query_terms_limited' END, CASE WHEN n > 0 AND h.query_id IS NULL THEN 'no_bm25_matches' END) AS warnings FROM t LEFT JOIN k USING (query_id) LEFT JOIN h ON h.query_id = t.query_id""")
+def bm25_warnings(spark, sf):
+    """Every item as three questions: as it is, without its words, and read backwards."""
+    said = F.array("text", F.regexp_replace("text", r"[\p{L}\p{N}]+", ""), F.reverse("text"))
+    q = _items(spark, sf).select("item_id", F.posexplode(said).alias("i", "text")).select((F.col("item_id") * 3 + F.col("i")).alias("item_id"), "text")
+    index = _index(spark, sf)
+    planned = bm25.plan_queries(q, index, "item_id", "text")
+    return bm25.warnings(q, planned, bm25.search(planned, index), "item_id", "text").select("query_id", F.array_join("warnings", ",").alias("warnings"))
+
+
 # --- question understanding --------------------------------------------------------------------------
 
 # Questions with what is to be found in them: intent, counts of documents, articles, clauses, points and years, cues, and the planned variants.
@@ -159,11 +172,14 @@ def question_routes(spark, sf):
     return r.select("doc_id", F.array_join("routes", ",").alias("routes"))
 
 
-@_query(r"""SELECT doc_id AS query_id, trim(text) AS original, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS normalized FROM documents WHERE text IS NOT NULL AND length(trim(text)) <= 1000 AND regexp_matches(text, '\S')""")
+@_query(r"""SELECT doc_id AS query_id, trim(text) AS original, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS normalized, NULL AS problem FROM documents WHERE text IS NOT NULL AND length(trim(text)) <= 1000 AND regexp_matches(text, '\S')
+UNION ALL SELECT doc_id, NULL, NULL, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 'question_too_long' ELSE 'blank_question' END FROM documents WHERE NOT (text IS NOT NULL AND length(trim(text)) <= 1000 AND regexp_matches(text, '\S'))""")
 def question_normalisation(spark, sf):
-    """Questions within the serving limit; longer and blank ones are refused."""
-    made, _ = query.create_queries(table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")), max_chars=1000)
-    return made.select("query_id", F.col("original_question").alias("original"), F.col("normalized_question").alias("normalized"))
+    """Questions within the serving limit, and longer and blank ones with what they are refused for."""
+    made, refused = query.create_queries(table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")), max_chars=1000)
+    none = F.lit(None).cast("string")
+    made = made.select("query_id", F.col("original_question").alias("original"), F.col("normalized_question").alias("normalized"), none.alias("problem"))
+    return made.unionByName(refused.select("query_id", none.alias("original"), none.alias("normalized"), "problem"))
 
 
 # --- the answer loop ---------------------------------------------------------------------------------
