@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as tx
-from textquarry.operators import analytics, bm25, chunking, cleaning, dataset, diagnostics, evidence, fusion, graph, metrics, parsing, query, ranks, vectors, verdicts
+from textquarry.operators import analytics, bm25, chunking, cleaning, dataset, diagnostics, evidence, fusion, graph, metrics, parsing, ranks, vectors, verdicts
 from textquarry.operators.components import connected_components
-from textquarry.plans import answers, retrieval
-from textquarry.session import exists, table
+from textquarry.plans import answers
+from textquarry.session import exists, materialize, table
 from textquarry.streaming import ingest
 
 _QUERIES: dict = {}
@@ -117,14 +117,36 @@ def vector_norms(spark, sf):
 
 # --- fusion ---------------------------------------------------------------------------------------
 
+#: Components of the documents' stored vectors.
+DIM = 64
+
+
+def _embed(df, text):
+    return vectors.hashing_embedder(df, text, DIM)
+
+
+def _vectors(spark, sf):
+    """The documents' vectors: embedded once a session and folder, then read by every search."""
+    key = "vectors", spark.sparkContext.applicationId, sf
+    if key not in _BUILT or not exists(_BUILT[key]):
+        docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+        _BUILT[key] = materialize(_embed(docs, "text").select("chunk_id", "embedding"), "vectors")
+    return _BUILT[key]
+
+
 def _two_lists(spark, sf):
-    """BM25 hits of the benchmark items, and the same items ranked by shared rare length and id: two lists over one space."""
-    lexical = bm25_search(spark, sf)
-    ranked = lexical.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("chunk_id"))).alias("rank"), F.lit(0.0).alias("score"))
-    return lexical, ranked.where("rank <= 7")
+    """The benchmark items' hits by BM25, ten each, and by their vectors, seven each."""
+    asked = _embed(_items(spark, sf).select(F.col("item_id").alias("query_id"), "text"), "text")
+    return bm25_search(spark, sf), vectors.cosine_top_k(asked, _vectors(spark, sf), 7, "query_id", "chunk_id", "embedding")
 
 
-_LISTS = f"{_HITS}, other AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id DESC) AS rank FROM hits) WHERE rank <= 7)"
+_SLOT = f"('0x' || substr(md5(t), 1, 8))::BIGINT % {DIM} AS slot, CASE WHEN ('0x' || substr(md5(t), 9, 1))::BIGINT % 2 = 1 THEN -1 ELSE 1 END AS s"
+_LISTS = f"""{_HITS},
+zdw AS (SELECT chunk_id, {_SLOT} FROM (SELECT chunk_id, unnest(ts) AS t FROM toks)), zdv AS (SELECT chunk_id, slot, sum(s)::DOUBLE AS x FROM zdw GROUP BY ALL), zdn AS (SELECT chunk_id, sqrt(sum(x * x)) AS n FROM zdv GROUP BY 1 HAVING sum(x * x) > 0),
+zqw AS (SELECT query_id, {_SLOT} FROM (SELECT item_id AS query_id, unnest({_TERMS.format('text')}) AS t FROM benchmark)), zqv AS (SELECT query_id, slot, sum(s)::DOUBLE AS x FROM zqw GROUP BY ALL), zqn AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM zqv GROUP BY 1 HAVING sum(x * x) > 0),
+zdot AS (SELECT query_id, chunk_id, sum(zqv.x * zdv.x) AS d FROM zqv JOIN zdv USING (slot) GROUP BY ALL),
+zall AS (SELECT zqn.query_id, zdn.chunk_id, round(coalesce(d, 0) / (zqn.n * zdn.n), 6) AS score FROM zqn CROSS JOIN zdn LEFT JOIN zdot ON zdot.query_id = zqn.query_id AND zdot.chunk_id = zdn.chunk_id),
+other AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM zall) WHERE rank <= 7)"""
 
 
 @_query(f"""WITH {_LISTS}, f AS (SELECT coalesce(h.query_id, o.query_id) AS query_id, coalesce(h.chunk_id, o.chunk_id) AS chunk_id, round(coalesce(1.0::DOUBLE / (60 + h.rank), 0) + coalesce(1.0::DOUBLE / (60 + o.rank), 0), 12) AS score, h.rank AS bm25_rank, o.rank AS dense_rank FROM hits h FULL JOIN other o ON h.query_id = o.query_id AND h.chunk_id = o.chunk_id)
@@ -551,7 +573,7 @@ def retrieval_diagnostics(spark, sf):
     return _diagnosed(spark, sf).select("query_id", "overlap", "jaccard", "diversity", "coverage")
 
 
-@_query(f"""WITH {_DIAG}, s AS (SELECT unnest(['no_bm25_hits', 'no_dense_hits', 'no_hybrid_hits']) AS signal FROM dg WHERE n = 0 UNION ALL SELECT 'low_document_diversity' FROM dg WHERE n > 0 AND diversity < 0.8 UNION ALL SELECT 'low_answer_term_coverage' FROM dg WHERE coverage < 0.9 UNION ALL SELECT 'zero_branch_overlap' FROM dg WHERE n > 0 AND overlap = 0) SELECT signal, count(*) AS n FROM s GROUP BY signal""")
+@_query(f"""WITH {_DIAG}, s AS (SELECT unnest(['no_bm25_hits', 'no_hybrid_hits']) AS signal FROM dg WHERE n = 0 UNION ALL SELECT 'no_dense_hits' FROM dg WHERE query_id NOT IN (SELECT query_id FROM other) UNION ALL SELECT 'low_document_diversity' FROM dg WHERE n > 0 AND diversity < 0.8 UNION ALL SELECT 'low_answer_term_coverage' FROM dg WHERE coverage < 0.9 UNION ALL SELECT 'zero_branch_overlap' FROM dg WHERE n > 0 AND query_id IN (SELECT query_id FROM other) AND overlap = 0) SELECT signal, count(*) AS n FROM s GROUP BY signal""")
 def diagnostic_signals(spark, sf):
     return diagnostics.signal_report(_diagnosed(spark, sf))
 

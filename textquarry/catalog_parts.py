@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textquarry.catalog import _HITS, _TERMS, _edges, _index, _items, _query, bm25_search
-from textquarry.operators import analytics, bm25, dataset, diagnostics, evidence, fusion, graph, metrics, query, ranks, vectors
+from textquarry.catalog import _HITS, _edges, _query, bm25_search
+from textquarry.operators import analytics, dataset, diagnostics, evidence, fusion, graph, metrics, query, ranks, vectors
 from textquarry.plans import retrieval
 from textquarry.session import table
 

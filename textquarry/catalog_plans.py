@@ -5,25 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.catalog import _BUILT, _MT, _PAIRS, _TERMS, _WORDS, _index, _items, _pairs, _query
-from textquarry.operators import bm25, census, dataset, gates, identity, metrics, query, vectors
+from textquarry.catalog import _MT, _PAIRS, _TERMS, _WORDS, DIM, _embed, _index, _items, _pairs, _query, _vectors
+from textquarry.operators import bm25, census, dataset, gates, identity, metrics, query
 from textquarry.operators.ranks import ranked
 from textquarry.plans import agent, retrieval
-from textquarry.session import exists, materialize, table
-
-DIM = 64
-
+from textquarry.session import table
 
 # --- search strategies ------------------------------------------------------------------------------
 
 def _corpus(spark: SparkSession, sf: str) -> retrieval.Corpus:
     """The documents' lexical index, and their vectors, embedded once a session and folder and then read by every search."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    embed = lambda df, text: vectors.hashing_embedder(df, text, DIM)
-    key = "vectors", spark.sparkContext.applicationId, sf
-    if key not in _BUILT or not exists(_BUILT[key]):
-        _BUILT[key] = materialize(embed(docs, "text").select("chunk_id", "embedding"), "vectors")
-    return retrieval.Corpus(_index(spark, sf), _BUILT[key], docs, embed)
+    return retrieval.Corpus(_index(spark, sf), _vectors(spark, sf), docs, _embed)
 
 
 def _asked(spark, sf) -> DataFrame:
