@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.operators import audits
+from textquarry.operators import audits, diagnostics
 
 
 def test_clusters_of_copies(spark):
@@ -71,3 +71,22 @@ def test_paired_runs(spark):
     for bad, message in ((run([(1, "ab", "success", True)]), "no answer to 2"), (run([(1, "ab", "error", True), (2, "x", "success", None)]), "failed generation for 1"), (run([(1, "GENERATION_ERROR: x", "success", True), (2, "x", "success", None)]), "failed generation for 1")):
         with pytest.raises(Exception, match=message):
             audits.length_report(audits.paired_runs(bad, b, refs)).collect()
+
+
+def test_every_signal_of_a_search(spark):
+    hits = lambda rows: spark.createDataFrame(rows, "query_id int, chunk_id int, rank int, document_id string, text string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "query_id int")
+    a = hits([(q, 1, 1, "d", "alpha beta") for q in (1, 2, 3, 4)] + [(1, 2, 2, "e", "gamma")])
+    b = hits([(1, 1, 1, "d", "alpha beta"), (2, 9, 1, "d", "x"), (3, 1, 1, "d", "alpha beta"), (4, 1, 1, "d", "alpha beta")])
+    hybrid = hits([(1, 1, 1, "d", "alpha beta"), (1, 2, 2, "e", "gamma")] + [(2, k, k, "d", "zeta") for k in range(1, 6)] + [(3, 1, 1, "d", "alpha beta"), (4, 1, 1, "d", "alpha beta")])
+    answers = spark.createDataFrame([(1, "alpha gamma"), (2, "alpha beta gamma"), (3, "alpha"), (4, "alpha"), (5, None)], "query_id int, answer string")
+    refs = spark.createDataFrame([(1, True), (3, False), (5, None)], "query_id int, matched boolean")
+    reranked = hits([(1, 2, 1, "e", "gamma"), (3, 1, 1, "d", "alpha beta")])
+    got = {r.query_id: r for r in diagnostics.diagnose(ids(1, 2, 3, 4, 5), a, b, hybrid, answers, references=refs, warned=ids(3, 3), failed=ids(4), reranked=reranked).collect()}
+    assert {q: r.signals for q, r in got.items()} == {
+        1: [], 2: ["zero_branch_overlap", "low_document_diversity", "low_answer_term_coverage"], 3: ["explicit_reference_not_retrieved", "retrieval_warning"], 4: ["retrieval_error"],
+        5: ["no_bm25_hits", "no_dense_hits", "no_hybrid_hits"],
+    }
+    assert (got[1].reranked_overlap, got[1].reranked_jaccard, got[1].reranked_diversity, got[1].coverage_gain) == (1, 0.5, 1.0, -0.5) and got[2].reranked_overlap == 0 and got[3].coverage_gain == 0.0 and got[5].coverage is None
+    plain = diagnostics.diagnose(ids(1), a, b, hybrid, answers).first()
+    assert plain.signals == [] and plain.explicit_match is None

@@ -22,11 +22,12 @@ def document_diversity(hits: DataFrame) -> DataFrame:
 
 
 def answer_term_coverage(hits: DataFrame, answers: DataFrame) -> DataFrame:
-    """(query_id, coverage): share of an answer's distinct terms that its hits' texts hold; 0 without terms. hits(query_id, text), answers(query_id, answer)."""
+    """(query_id, coverage): share of an answer's distinct terms that its hits' texts hold; 0 without terms, null for a null answer. hits(query_id, text), answers(query_id, answer)."""
     want = answers.select("query_id", F.explode(F.array_distinct(terms(F.coalesce("answer", F.lit(""))))).alias("t"))
     have = hits.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("t")).distinct().withColumn("hit", F.lit(1))
     per = want.join(have, ["query_id", "t"], "left").groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("coverage"))
-    return answers.select("query_id").join(per, "query_id", "left").na.fill(0.0)
+    known = answers.select("query_id", F.col("answer").isNotNull().alias("known")).join(per, "query_id", "left")
+    return known.select("query_id", F.when(F.col("known"), F.coalesce("coverage", F.lit(0.0))).alias("coverage"))
 
 
 def rank_change(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -34,19 +35,39 @@ def rank_change(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("query_id", "chunk_id", F.col("rank").alias("x")).join(b.select("query_id", "chunk_id", F.col("rank").alias("y")), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_change"))
 
 
-def diagnose(queries: DataFrame, bm25: DataFrame, dense: DataFrame, hybrid: DataFrame, answers: DataFrame, low_diversity: float = 0.25, low_coverage: float = 0.2) -> DataFrame:
-    """One row a query with overlap, diversity, coverage and the names of the signals that hold; queries without hits stay."""
+def diagnose(
+    queries: DataFrame, bm25: DataFrame, dense: DataFrame, hybrid: DataFrame, answers: DataFrame, low_diversity: float = 0.25, low_coverage: float = 0.2,
+    references: DataFrame | None = None, warned: DataFrame | None = None, failed: DataFrame | None = None, reranked: DataFrame | None = None,
+) -> DataFrame:
+    """One row a query with overlap, diversity, coverage and the names of the signals that hold; queries without hits stay.
+
+    references(query_id, matched): whether the hybrid hits hold what the question names; null where it
+    names nothing. warned and failed (query_id): searches that gave warnings, or no result; a failed
+    query has the signal retrieval_error and no other. reranked (as hybrid): adds its overlap and
+    Jaccard with the hybrid hits, its diversity and its gain in coverage.
+    """
     n = lambda d, name: d.groupBy("query_id").agg(F.count("*").alias(name))
     df = queries.select("query_id")
     for part in (n(bm25, "n_bm25"), n(dense, "n_dense"), n(hybrid, "n_hybrid"), branch_overlap(bm25, dense), document_diversity(hybrid), answer_term_coverage(hybrid, answers)):
         df = df.join(part, "query_id", "left")
+    mark = lambda d, name: d.select("query_id", F.lit(True).alias(name)).distinct()
+    df = df.join(references.select("query_id", "matched"), "query_id", "left") if references is not None else df.withColumn("matched", F.lit(None).cast("boolean"))
+    for d, name in ((warned, "warned"), (failed, "failed")):
+        df = df.join(mark(d, name), "query_id", "left") if d is not None else df.withColumn(name, F.lit(None).cast("boolean"))
     df = df.na.fill(0, ["n_bm25", "n_dense", "n_hybrid", "overlap"]).na.fill(0.0, ["jaccard", "diversity"])
     signals = F.array_compact(F.array(
         F.when(F.col("n_bm25") == 0, F.lit("no_bm25_hits")), F.when(F.col("n_dense") == 0, F.lit("no_dense_hits")), F.when(F.col("n_hybrid") == 0, F.lit("no_hybrid_hits")),
         F.when((F.col("n_bm25") > 0) & (F.col("n_dense") > 0) & (F.col("overlap") == 0), F.lit("zero_branch_overlap")),
-        F.when((F.col("n_hybrid") > 0) & (F.col("diversity") < low_diversity), F.lit("low_document_diversity")), F.when(F.col("coverage") < low_coverage, F.lit("low_answer_term_coverage")),
+        F.when((F.col("n_hybrid") > 0) & (F.col("diversity") < low_diversity), F.lit("low_document_diversity")), F.when(~F.col("matched"), F.lit("explicit_reference_not_retrieved")),
+        F.when(F.col("coverage") < low_coverage, F.lit("low_answer_term_coverage")), F.when(F.col("warned"), F.lit("retrieval_warning")),
     ))
-    return df.withColumn("signals", signals)
+    df = df.withColumn("signals", F.when(F.col("failed"), F.array(F.lit("retrieval_error"))).otherwise(signals)).withColumnRenamed("matched", "explicit_match").drop("warned", "failed")
+    if reranked is None:
+        return df
+    again = branch_overlap(hybrid, reranked).withColumnsRenamed({"overlap": "reranked_overlap", "jaccard": "reranked_jaccard"})
+    again = again.join(document_diversity(reranked).withColumnRenamed("diversity", "reranked_diversity"), "query_id", "left").join(answer_term_coverage(reranked, answers).withColumnRenamed("coverage", "reranked_coverage"), "query_id", "full")
+    df = df.join(again, "query_id", "left").na.fill(0, ["reranked_overlap"]).na.fill(0.0, ["reranked_jaccard", "reranked_diversity"])
+    return df.withColumn("coverage_gain", F.col("reranked_coverage") - F.col("coverage"))
 
 
 def signal_report(diagnosed: DataFrame) -> DataFrame:
