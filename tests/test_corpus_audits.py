@@ -90,3 +90,14 @@ def test_every_signal_of_a_search(spark):
     assert (got[1].reranked_overlap, got[1].reranked_jaccard, got[1].reranked_diversity, got[1].coverage_gain) == (1, 0.5, 1.0, -0.5) and got[2].reranked_overlap == 0 and got[3].coverage_gain == 0.0 and got[5].coverage is None
     plain = diagnostics.diagnose(ids(1), a, b, hybrid, answers).first()
     assert plain.signals == [] and plain.explicit_match is None
+
+
+def test_labels_are_bound_to_their_texts(spark):
+    packets = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "e"), (5, "e")], "id int, t string")
+    good = packets.where("id < 5").select("id", F.lit("yes").alias("label"), F.sha2(F.coalesce("t", F.lit("")), 256).alias("text_sha256"))
+    assert audits.freeze_problems(packets.where("id < 5"), good, ["id"], "t", ["yes", "no"]).count() == 0
+    bad = good.where("id <> 3").withColumn("text_sha256", F.when(F.col("id") != 2, F.col("text_sha256"))).withColumn("label", F.when(F.col("id") == 1, F.lit("maybe")).otherwise(F.col("label")))
+    bad = bad.union(spark.createDataFrame([(9, None, "x"), (9, "no", "x")], "id int, label string, text_sha256 string"))
+    got = sorted((r.id, r.problem) for r in audits.freeze_problems(packets, bad, ["id"], "t", ["yes", "no"]).collect())
+    assert got == sorted([(3, "unreviewed_packet"), (5, "unreviewed_packet"), (5, "unreviewed_packet"), (9, "review_without_packet"), (9, "review_without_packet"), (5, "repeated_packet"), (9, "repeated_review"), (2, "text_changed"), (1, "unknown_label"), (9, "unknown_label")])
+    assert {r.label: r.n for r in audits.frozen_classes(bad, ["yes", "no", "other"]).collect()} == {"yes": 2, "no": 1, "other": 0}

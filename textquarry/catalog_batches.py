@@ -208,3 +208,25 @@ SELECT cases, round(base_chars, 6) AS base_chars, round(treatment_chars, 6) AS t
 def paired_run_lengths(spark, sf):
     found = audits.length_report(_runs(spark, sf))
     return found.select("cases", *[F.round(c, 6).alias(c) for c in ("base_chars", "treatment_chars", "reference_chars")], "base_hits", "treatment_hits", F.array_join("warnings", ",").alias("warnings"))
+
+
+_REVIEWS = r"""r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END AS label, sha256(regexp_replace(text, '^[ \t\n]+|[ \t\n]+$', '', 'g')) AS text_sha256 FROM labels JOIN documents USING (doc_id))"""
+
+
+def _reviews(spark, sf):
+    """The labels as reviews of the documents' texts without white space around them."""
+    lab = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return lab.select("doc_id", label.alias("label"), F.sha2(F.regexp_replace("text", r"^[ \t\n]+|[ \t\n]+$", ""), 256).alias("text_sha256"))
+
+
+@_query(f"""WITH {_REVIEWS} SELECT doc_id, 'unreviewed_packet' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r) UNION ALL SELECT doc_id, 'text_changed' FROM r JOIN documents d USING (doc_id) WHERE r.text_sha256 <> sha256(coalesce(d.text, ''))
+UNION ALL SELECT doc_id, 'unknown_label' FROM r WHERE label IS NULL OR label NOT IN ('good', 'poor')""")
+def label_freeze_problems(spark, sf):
+    """Documents as packets, of which most are unreviewed; a toxic label is none of the allowed ones."""
+    return audits.freeze_problems(table(spark, sf, "documents").select("doc_id", "text"), _reviews(spark, sf), ["doc_id"], "text", ["good", "poor"])
+
+
+@_query(f"WITH {_REVIEWS}, n AS (SELECT unnest(['good', 'poor', 'toxic', 'unclear']) AS label) SELECT n.label, count(r.doc_id) AS n FROM n LEFT JOIN r ON r.label = n.label GROUP BY 1")
+def frozen_classes(spark, sf):
+    return audits.frozen_classes(_reviews(spark, sf), ["good", "poor", "toxic", "unclear"])

@@ -137,3 +137,27 @@ def length_report(runs: DataFrame, most_censored: float = 0.02) -> DataFrame:
     said = [F.when(F.col(f"{p}_hits") > 0, F.concat(F.lit(f"{p}_generations_hit_max_tokens_count_"), F.col(f"{p}_hits").cast("string"))) for p in ("base", "treatment")]
     censored = reduce(lambda a, b: a | b, [F.col(f"{p}_hits") / F.col("cases") > most_censored for p in ("base", "treatment")])
     return row.withColumn("warnings", F.array_compact(F.array(*said, F.when(censored, F.lit("screening_potentially_censored")))))
+
+
+# --- frozen labels ----------------------------------------------------------------------------------
+
+def freeze_problems(packets: DataFrame, reviews: DataFrame, keys: list[str], text_col: str, labels: list[str]) -> DataFrame:
+    """(keys, problem): what keeps reviews from being frozen as the labels of packets.
+
+    packets(keys, text); reviews(keys, label, text_sha256). Both must have the same keys, each once;
+    a review is bound to the text that it was made of by its SHA-256, and its label is one of `labels`.
+    """
+    say = lambda d, problem: d.select(*keys, F.lit(problem).alias("problem"))
+    twice = lambda d: d.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1")
+    bound = reviews.join(packets.select(*keys, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("__sha")), keys)
+    out = [
+        say(packets.join(reviews, keys, "left_anti"), "unreviewed_packet"), say(reviews.join(packets, keys, "left_anti"), "review_without_packet"), say(twice(packets), "repeated_packet"), say(twice(reviews), "repeated_review"),
+        say(bound.where(~F.col("text_sha256").eqNullSafe(F.col("__sha"))), "text_changed"), say(reviews.where(~F.coalesce(F.col("label").isin(*labels), F.lit(False))), "unknown_label"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def frozen_classes(reviews: DataFrame, labels: list[str]) -> DataFrame:
+    """(label, n) for each of `labels`, with 0 for those that no review has."""
+    row = reviews.agg(*[F.count_if(F.col("label") == x).alias(f"n{i}") for i, x in enumerate(labels)])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"n{i}").alias("n")) for i, x in enumerate(labels)])))
