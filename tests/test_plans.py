@@ -173,3 +173,37 @@ def test_pareto_as_brute_force(spark, goals):
     df = spark.createDataFrame(rows, "id int, a int, b double, c int")
     assert {r.id: r.dominated for r in analytics.pareto(df, "id", goals).collect()} == want and not all(want.values())
     assert analytics.pareto(df.limit(0), "id", goals).count() == 0
+
+
+def test_warnings_ask_only_whether_a_search_has_hits(spark, corpus, monkeypatch):
+    q = spark.createDataFrame([(1, "thuê đất xyz"), (2, "xyz abc"), (3, "?!"), (4, None), (5, "Luật")], "query_id int, question string").withColumn("rewritten", F.lit(None).cast("string"))
+    variants = retrieval.active_variants(q)
+    key = lambda df: {tuple(r) for r in df.select("query_id", "variant_id", "branch").collect()}
+    want = key(retrieval.branches(variants, corpus, 1))
+    monkeypatch.setattr(bm25, "HEAD_TERMS", 2)  # most terms are beyond the head
+    assert key(retrieval.matched_branches(variants, corpus)) == want and len(want) == 5
+    none = retrieval.Corpus(corpus.index, corpus.vectors.limit(0), corpus.texts, embed)
+    assert {b for *_, b in key(retrieval.matched_branches(variants, none))} == {"bm25"}
+
+
+def test_index_counts_terms_within_rows(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b a a"), (2, "A"), (3, ""), (4, None)], "id int, t string")
+    index = bm25.build_index(docs, "id", "t")
+    assert sorted(map(tuple, index.postings.select("chunk_id", "term", "tf", "doc_len").collect())) == [(1, "a", 4, 3), (1, "b", 2, 3), (2, "a", 1, 1)]
+    assert {r.term: r.df for r in index.frequencies.collect()} == {"a": 2, "b": 1} and tuple(index.stats.first()) == (5, 7 / 5)
+    plan = index.postings  # a text's counts need no shuffle of their own
+    counted = docs.select("id", F.inline_outer(bm25._counted(F.split("t", " "))))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString() and plan.count() == 3
+
+
+def test_references_out_of_force_dont_count(spark):
+    from textquarry.plans import answers
+
+    rows = [(1, 1, 1, "luật đất", "luật đất", "n1", "expired"), (2, 2, 1, "luật đất", "luật đất", "n1", "current")]
+    hits = spark.createDataFrame(rows, "query_id int, chunk_id int, rank int, text string, question string, document_number string, effect_status string")
+    none = F.array().cast("array<string>")
+    hits = hits.withColumns({"document_numbers": F.array(F.lit("n1")), "article_numbers": none, "article_number": F.lit(None).cast("string"), "document_id": F.col("document_number"), "token_count": F.lit(2)})
+    q = hits.select("query_id", "question", F.lit(True).alias("wants_document"), F.lit(False).alias("wants_article"))
+    got = lambda **k: {r.query_id: r.missing_aspects for r in answers.answer_questions(q, hits, **k).collect()}
+    assert got() == {1: ["applicable_evidence"], 2: []}
+    assert got(in_force=True) == {1: ["document_reference_match", "applicable_evidence"], 2: []}

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import terms
+from textquarry.functions.text import let, terms
 from textquarry.session import materialize
 
 K1, B = 1.2, 0.75
@@ -25,16 +25,34 @@ class Bm25Index:
     stats: DataFrame
 
 
+def _counted(ts: Column) -> Column:
+    """array<struct<doc_len, term, tf>> of a text's terms: sorted, then the length of each run of equal ones. Null without terms."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        ends = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(s))
+        return let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.size(s).alias("doc_len"), F.get(s, i).alias("term"), (ends(at, j) - i).cast("long").alias("tf"))))
+
+    return let(F.sort_array(ts), lambda s: F.when(F.size(s) > 0, runs(s)))
+
+
+#: Parts that the postings of one term are dealt to, so that no task writes all of a frequent term's.
+TERM_PARTS = 16
+
+
 def build_index(chunks: DataFrame, id_col: str, text_col: str) -> Bm25Index:
     """Postings with the chunk's length beside each, so that scoring needs no second join by chunk.
 
-    Texts are split once. The postings are written sorted by term, so that a search reads only the
-    row groups of its terms, and every search of the index reads the same tables. Chunks without
-    terms have no posting, and count in the statistics.
+    Texts are split once, and a text's terms are counted within its row, so that no task holds the
+    counts of many texts and each posting is shuffled once, to be written; rows of one id are added
+    up where they meet. Files are sorted by term, so that a search reads only the row groups of its
+    terms, and every search of the index reads the same tables. Chunks without terms have no posting,
+    and count in the statistics.
     """
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.coalesce(text_col, F.lit(""))).alias("ts"))
-    tall = tokens.select("chunk_id", F.size("ts").alias("doc_len"), F.explode("ts").alias("term")).groupBy("chunk_id", "doc_len", "term").agg(F.count("*").alias("tf"))
-    postings = materialize(tall.repartitionByRange("term", "chunk_id").sortWithinPartitions("term"), "postings")
+    counted = _counted(terms(F.coalesce(text_col, F.lit(""))))
+    tall = chunks.select(F.col(id_col).alias("chunk_id"), F.inline_outer(counted)).where("term is not null").withColumn("part", F.pmod(F.hash("chunk_id"), F.lit(TERM_PARTS)))
+    once = tall.repartition("term", "part").groupBy("term", "part", "chunk_id", "doc_len").agg(F.sum("tf").alias("tf"))
+    postings = materialize(once.select("chunk_id", "doc_len", "term", "tf").sortWithinPartitions("term"), "postings")
     frequencies = materialize(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
     per_chunk = chunks.select(F.count("*").alias("n"))
     length = postings.agg(F.sum("tf").alias("total"))
@@ -70,10 +88,12 @@ def idf(n: Column, df: Column) -> Column:
 def search(planned: DataFrame, index: Bm25Index, top_k: int = 10, match_all: bool = False, only: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): all queries in one job; ties by chunk_id.
 
-    The planned terms (a few a query) meet the postings in an equi-join on the term; scores are
-    summed with map-side combine and the top k cut by a ranked window, which Spark limits before the
-    shuffle. `only` (chunk_id) restricts the chunks.
+    The planned terms (a few a query) are written first, so that Spark knows their size: few are
+    broadcast and the postings stay where they are, many meet them in an equi-join on the term. Scores
+    are summed with map-side combine and the top k cut by a ranked window, which Spark limits before
+    the shuffle. `only` (chunk_id) restricts the chunks.
     """
+    planned = materialize(planned, "planned")
     postings = index.postings if only is None else index.postings.join(only, "chunk_id", "left_semi")
     hits = planned.join(postings, "term").crossJoin(F.broadcast(index.stats))  # one row
     tf = F.col("tf").cast("double")
@@ -86,6 +106,26 @@ def search(planned: DataFrame, index: Bm25Index, top_k: int = 10, match_all: boo
     return scored.select("query_id", "chunk_id", "score", rank.alias("rank")).where(F.col("rank") <= top_k)
 
 
+#: Most frequent terms that matched() looks for before it shuffles anything.
+HEAD_TERMS = 10_000
+
+
+def matched(queries: DataFrame, index: Bm25Index, query_col: str, text_col: str) -> DataFrame:
+    """(query_id): the queries that search() has any hit for, by terms alone: no posting is read and nothing scored.
+
+    The planner leaves unknown terms out if a query has a known one, so that a query has a hit just if
+    a chunk holds one of its terms. A head of frequent terms is broadcast and answers most queries
+    where they are; only what is left sends its terms to the whole vocabulary.
+    """
+    asked = queries.select(F.col(query_col).alias("query_id"), F.col(text_col).alias("text"))
+    tall = lambda q: q.select("query_id", F.explode_outer(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term")).where("term is not null")
+    known = index.frequencies.select("term")
+    head = index.frequencies.orderBy(F.desc("df"), "term").limit(HEAD_TERMS).select("term")
+    by_head = materialize(tall(asked).join(F.broadcast(head), "term", "left_semi").select("query_id").distinct(), "matched")  # a fixed number of rows
+    left = asked.join(by_head, "query_id", "left_anti")
+    return by_head.union(tall(left).join(known, "term", "left_semi").select("query_id").distinct())
+
+
 def warnings(queries: DataFrame, planned: DataFrame, hits: DataFrame, query_col: str, text_col: str) -> DataFrame:
     """(query_id, warnings): no indexable terms, terms limited, no matches."""
     asked = queries.select(F.col(query_col).alias("query_id"), F.size(F.array_distinct(terms(F.coalesce(text_col, F.lit(""))))).alias("n_terms"))
