@@ -42,9 +42,13 @@ def active_variants(queries: DataFrame, multi_query: bool = False, max_variants:
     return rewritten.union(planned.select("query_id", "variant_id", "text"))
 
 
+def _searches(variants: DataFrame) -> DataFrame:
+    return materialize(variants.withColumn("search_id", F.concat_ws(":", "variant_id", F.col("query_id").cast("string"))), "variants")
+
+
 def branches(variants: DataFrame, corpus: Corpus, k: int) -> DataFrame:
     """(query_id, variant_id, branch, chunk_id, rank, score): both searches of every variant of every query, in one plan each, written once for all that reads them."""
-    asked = materialize(variants.withColumn("search_id", F.concat_ws(":", "variant_id", F.col("query_id").cast("string"))), "variants")
+    asked = _searches(variants)
     lexical = bm25.search(bm25.plan_queries(asked, corpus.index, "search_id", "text"), corpus.index, k).withColumn("branch", F.lit("bm25"))
     embedded = corpus.embed(asked.select("search_id", "text"), "text")
     dense = vectors.cosine_top_k(embedded, corpus.vectors, k, "search_id", "chunk_id", "embedding").withColumn("branch", F.lit("dense"))
@@ -52,6 +56,20 @@ def branches(variants: DataFrame, corpus: Corpus, k: int) -> DataFrame:
     return materialize(both.select("query_id", "variant_id", "branch", "chunk_id", "rank", "score"), "branches")
 
 
+def matched_branches(variants: DataFrame, corpus: Corpus) -> DataFrame:
+    """(query_id, variant_id, branch): the searches of branches() that have any hit, found without ranking.
+
+    A lexical search has one if a chunk holds a term of it; a dense one if its vector is valid and the
+    corpus has a valid one.
+    """
+    asked = _searches(variants)
+    lexical = bm25.matched(asked, corpus.index, "search_id", "text").select(F.col("query_id").alias("search_id"), F.lit("bm25").alias("branch"))
+    any_vector = corpus.vectors.where(vectors.is_valid(F.col("embedding"))).select(F.lit(True).alias("any")).limit(1)
+    embedded = corpus.embed(asked.select("search_id", "text"), "text")
+    dense = embedded.where(vectors.is_valid(F.col("embedding"))).crossJoin(F.broadcast(any_vector)).select("search_id", F.lit("dense").alias("branch"))  # one row
+    return materialize(lexical.union(dense).join(asked.select("search_id", "query_id", "variant_id"), "search_id").select("query_id", "variant_id", "branch"), "matched")
+
+
 def hybrid(found: DataFrame, top_k: int, limits: Limits = Limits()) -> DataFrame:
     """Reciprocal rank fusion over all variants and branches of each query; with one variant this is the plain fusion of its two lists."""
     return fusion.multi_query_fusion(found, limits.rrf_constant, top_k)
