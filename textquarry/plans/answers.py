@@ -21,13 +21,14 @@ def extract(questions: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def answer_questions(
-    queries: DataFrame, hits: DataFrame, generate: Callable[[DataFrame, DataFrame], DataFrame] = extract, max_evidence: int = 8, max_tokens: int = 2000, minimum: int = 1, min_support: float = 0.25,
+    queries: DataFrame, hits: DataFrame, generate: Callable[[DataFrame, DataFrame], DataFrame] = extract, max_evidence: int = 8, max_tokens: int = 2000, minimum: int = 1, min_support: float = 0.25, in_force: bool = False,
 ) -> DataFrame:
     """One row for each query: query_id, answer, citation_ids, insufficient_evidence, warnings, evidence_count, hit_count, score, missing_aspects, claims, supported_claims.
 
     queries(query_id, question, wants_document, wants_article), ids unique; hits as
     evidence.score_evidence takes them, with document_id and token_count. Evidence is scored, taken
-    within the budget, numbered, and graded against what the question wants. Only sufficient
+    within the budget, numbered, and graded against what the question wants; with `in_force`, evidence
+    that is out of force doesn't count as a reference it wants. Only sufficient
     questions reach `generate`, which gets (question_id, question) and their (question_id,
     evidence_id, text) and gives (question_id, answer, citation_ids). An answer stands if it has
     claims, every one of them is supported by evidence that it marks and cites, and every citation is
@@ -37,6 +38,9 @@ def answer_questions(
     scored = materialize(evidence.score_evidence(hits), "scored")
     picked = evidence.select_within_budget(scored, max_evidence, max_tokens).where("reason = 'selected'").select("query_id", "chunk_id", "selection_rank")
     signals = scored.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "text", "document_match", "article_match", "applicability", "overlap")
+    if in_force:
+        for match in ("document_match", "article_match"):
+            signals = signals.withColumn(match, F.col(match) & (F.col("applicability") != "inactive"))
     found = materialize(picked.join(signals, ["query_id", "chunk_id"]).withColumn("evidence_id", F.concat(F.lit("E"), "selection_rank")), "evidence")
     graded = evidence.grade_context(queries.select("query_id", "wants_document", "wants_article"), found, minimum)
     graded = materialize(graded.select("query_id", "evidence_count", "score", "missing_aspects", "is_sufficient"), "graded")
