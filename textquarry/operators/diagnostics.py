@@ -108,17 +108,17 @@ def containment_links(needles: DataFrame, titles: DataFrame, least: int = 4) ->
     An inverted index of the titles' grams of `least` characters; each distinct needle meets the
     titles of its rarest gram alone, and these are looked at as a whole. A needle with a gram that no
     title has is in none. So a needle has one row in the join, whatever its length, and no title is
-    met by a needle that has nothing of it. Null slugs are in no link.
+    met by a needle that has nothing of it. Titles come with their grams, and neither they nor the
+    links are ever a broadcast, however well they compress. Null slugs are in no link.
     """
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("slug") - (least - 1)), lambda i: F.substring(F.col("slug"), i, F.lit(least))))
-    held = titles.where(F.length("slug") >= least).select("title_id", F.explode(grams).alias("gram"))
+    parts = needles.where(F.length("slug") >= least).select("slug").distinct().select("slug", F.explode(grams).alias("gram"))
+    held = titles.where(F.length("slug") >= least).select("title_id", F.col("slug").alias("title"), F.explode(grams).alias("gram")).join(parts.select("gram").distinct(), "gram", "left_semi")
     common = held.groupBy("gram").agg(F.count("*").alias("titles"))
-    wanted = needles.where(F.length("slug") >= least).select("slug").distinct()
-    parts = wanted.select("slug", F.explode(grams).alias("gram")).join(common, "gram", "left")
-    rarest = parts.groupBy("slug").agg(F.min(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "gram")).alias("r")).where("r.titles > 0").select("slug", F.col("r.gram").alias("gram"))
-    met = rarest.join(held, "gram").select("slug", "title_id")
-    whole = met.join(titles.select("title_id", F.col("slug").alias("title")).distinct(), "title_id").where(F.contains("title", F.col("slug"))).select("slug", "title_id").distinct()
-    return needles.select("needle_id", "slug").join(whole, "slug").select("needle_id", "title_id").distinct()
+    counted = parts.join(common, "gram", "left")
+    rarest = counted.groupBy("slug").agg(F.min(F.struct(F.coalesce("titles", F.lit(0)).alias("titles"), "gram")).alias("r")).where("r.titles > 0").select("slug", F.col("r.gram").alias("gram"))
+    whole = held.hint("merge").join(rarest, "gram").where(F.contains("title", F.col("slug"))).select("slug", "title_id").distinct()
+    return whole.hint("merge").join(needles.select("needle_id", "slug"), "slug").select("needle_id", "title_id").distinct()
 
 
 def linkability(links: DataFrame, needles: DataFrame) -> DataFrame:
