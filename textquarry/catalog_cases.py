@@ -88,8 +88,11 @@ def token_windows(spark, sf):
     """Sliding windows of 100 tokens, ten shared: how many each text gives."""
     @F.pandas_udf("tokens long, windows long, first_window long")
     def cut(s: pd.Series) -> pd.DataFrame:
-        rows = [(chunking.count_tokens(t), chunking.split_tokens(t, 100, 10)) for t in s]
-        return pd.DataFrame([(n, len(w), chunking.count_tokens(w[0]) if w else 0) for n, w in rows], columns=["tokens", "windows", "first_window"])
+        def sizes(t: str) -> tuple[int, int, int]:  # a text's windows go before the next one's are cut
+            w = chunking.split_tokens(t, 100, 10)
+            return chunking.count_tokens(t), len(w), chunking.count_tokens(w[0]) if w else 0
+
+        return pd.DataFrame([sizes(t) for t in s], columns=["tokens", "windows", "first_window"])
 
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.select("doc_id", cut("text").alias("w")).select("doc_id", "w.*")
