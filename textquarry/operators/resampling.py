@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Words of the stream that a task looks at in one go; 8 MB.
 STRETCH = 1 << 21
+#: Tasks that the resamples of one group are dealt to; each is sent the group's values once.
+DEALT = 16
 
 
 def accepted(seed: int, at: int, words: int, n: int) -> np.ndarray:
@@ -31,7 +33,8 @@ def accepted(seed: int, at: int, words: int, n: int) -> np.ndarray:
 def resampled_means(packed: DataFrame, group: str, values: str, resamples: int, seed: int) -> DataFrame:
     """(group, r, mean) of the resamples r of each group's array of values, as numpy draws them: integers(0, n, (resamples, n)).
 
-    A group has at most 2**32 - 1 values. Resamples are dealt out in runs of about a stretch's words.
+    A group has at most 2**32 - 1 values. Resamples are dealt out in runs of about a stretch's words, to `DEALT` tasks a group,
+    so that what is shuffled grows with the values alone, not with values and resamples.
     """
     kind = packed.schema[group].dataType
     n = F.size(values).cast("long")
@@ -48,22 +51,24 @@ def resampled_means(packed: DataFrame, group: str, values: str, resamples: int,
     per = counted.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("stretch", "accepted"))).alias("counts"))  # a number for two million draws
     each = F.greatest(F.lit(1), F.floor(F.lit(STRETCH) / n)).cast("int")
     runs = packed.select(F.col(group).alias("g"), F.col(values).alias("d"), n.alias("n"), each.alias("each")).join(per.select("group", F.transform("counts", lambda x: x["accepted"]).alias("counts")), F.col("g").eqNullSafe(F.col("group")), "left")
-    runs = runs.select("g", "d", "n", "each", "counts", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.col("each"))).alias("first")).repartition("g", "first")
+    runs = runs.select("g", "d", "n", "each", "counts", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("dealt")).repartition("g", "dealt")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for g, d, k, each, counts, first in zip(pdf["g"], pdf["d"], pdf["n"].tolist(), pdf["each"].tolist(), pdf["counts"], pdf["first"].tolist()):
-                d, last = np.asarray(d, np.float64), min(first + each, resamples)
-                if k == 1:
-                    means = np.repeat(d[0], last - first)
-                else:
-                    before = np.r_[0, np.cumsum(counts)]
-                    s = int(np.searchsorted(before, first * k, "right")) - 1
-                    skip, got = first * k - int(before[s]), []
-                    while sum(map(len, got)) < (last - first) * k + skip:
-                        got.append(accepted(seed, s * STRETCH, STRETCH, k))
-                        s += 1
-                    means = d[np.concatenate(got)[skip : skip + (last - first) * k].reshape(last - first, k)].mean(1)
-                yield pd.DataFrame({"g": pd.Series([g] * len(means), dtype=pdf["g"].dtype), "r": np.arange(first, last), "mean": means})
+            for g, d, k, each, counts, dealt in zip(pdf["g"], pdf["d"], pdf["n"].tolist(), pdf["each"].tolist(), pdf["counts"], pdf["dealt"].tolist()):
+                d = np.asarray(d, np.float64)
+                before = None if k == 1 else np.r_[0, np.cumsum(counts)]
+                for first in range(dealt * each, resamples, DEALT * each):
+                    last = min(first + each, resamples)
+                    means = np.repeat(d[0], last - first) if k == 1 else drawn(d, k, before, first, last)
+                    yield pd.DataFrame({"g": pd.Series([g] * len(means), dtype=pdf["g"].dtype), "r": np.arange(first, last), "mean": means})
+
+    def drawn(d: np.ndarray, k: int, before: np.ndarray, first: int, last: int) -> np.ndarray:
+        s = int(np.searchsorted(before, first * k, "right")) - 1
+        skip, got = first * k - int(before[s]), []
+        while sum(map(len, got)) < (last - first) * k + skip:
+            got.append(accepted(seed, s * STRETCH, STRETCH, k))
+            s += 1
+        return d[np.concatenate(got)[skip : skip + (last - first) * k].reshape(last - first, k)].mean(1)
 
     return runs.mapInPandas(draw, T.StructType([T.StructField("g", kind), T.StructField("r", T.LongType()), T.StructField("mean", T.DoubleType())])).withColumnRenamed("g", group)
