@@ -53,13 +53,38 @@ def build_index(chunks: DataFrame, id_col: str, text_col: str) -> Bm25Index:
     tall = chunks.select(F.col(id_col).alias("chunk_id"), F.inline_outer(counted)).where("term is not null").withColumn("part", F.pmod(F.hash("chunk_id"), F.lit(TERM_PARTS)))
     once = tall.repartition("term", "part").groupBy("term", "part", "chunk_id", "doc_len").agg(F.sum("tf").alias("tf"))
     postings = materialize(once.select("chunk_id", "doc_len", "term", "tf").sortWithinPartitions("term"), "postings")
+    return _index_of(chunks, postings, postings.agg(F.sum("tf").alias("total")))
+
+
+def _index_of(chunks: DataFrame, postings: DataFrame, length: DataFrame) -> Bm25Index:
+    """Postings with their frequencies and the statistics; length(total) is one row, the number of terms of all chunks."""
     frequencies = materialize(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
     per_chunk = chunks.select(F.count("*").alias("n"))
-    length = postings.agg(F.sum("tf").alias("total"))
     stats = materialize(per_chunk.crossJoin(F.broadcast(length)).select("n", (F.coalesce("total", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl")), "stats")  # one row each
     return Bm25Index(postings, frequencies, stats)
 
 
+#: Asked terms beyond which a search builds the whole index.
+MOST_ASKED = 200_000
+
+
+def index_for(queries: DataFrame, text_col: str, chunks: DataFrame, id_col: str, chunk_text_col: str, most: int = MOST_ASKED) -> Bm25Index:
+    """The index of all chunks as these queries see it: every posting of their terms, and the statistics of all chunks.
+
+    Searches give the same as over the whole index. All texts are read and split in one pass that
+    leaves them where they are: the asked terms are a broadcast, and of a chunk its length and its
+    counts of asked terms are shuffled and written. Beyond `most` asked terms the whole index is built.
+    """
+    asked = materialize(queries.select(F.explode(F.array_distinct(terms(F.coalesce(text_col, F.lit(""))))).alias("term")).distinct(), "asked")
+    if asked.count() > most:
+        return build_index(chunks, id_col, chunk_text_col)
+    split = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.coalesce(chunk_text_col, F.lit(""))).alias("ts")).select("chunk_id", F.size("ts").alias("doc_len"), "ts")
+    wanted = asked.union(asked.sparkSession.range(1).select(F.lit("")))  # no text has this term; each chunk gets it once, for its length
+    tall = split.select("chunk_id", "doc_len", F.explode(F.concat("ts", F.array(F.lit("")))).alias("term")).join(F.broadcast(wanted), "term", "left_semi")  # at most `most` rows
+    counted = materialize(tall.groupBy("chunk_id", "doc_len", "term").agg(F.count("*").alias("tf")), "asked_postings")
+    return _index_of(chunks, counted.where("term <> ''"), counted.where("term = ''").agg(F.sum(F.col("doc_len") * F.col("tf")).alias("total")))
+
+
 def plan_queries(queries: DataFrame, index: Bm25Index, query_col: str, text_col: str, max_terms: int = 8, max_df_ratio: float = 0.25) -> DataFrame:
     """(query_id, term, pos, df): the terms each query searches for, at most `max_terms`.
 

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,20 +41,37 @@ def invalid(df: DataFrame, vec_col: str) -> DataFrame:
     return df.where(~is_valid(F.col(vec_col)))
 
 
+def _units(ids: pa.Array, vectors: pa.Array) -> tuple[pa.Array, list[np.ndarray]]:
+    """The valid vectors of a batch as doubles of length one, with their ids: what normalise() gives, squares summed in the same order."""
+    sizes = np.diff(np.r_[0, np.cumsum(vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    at = np.flatnonzero(sizes)
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is no number
+    ends, units = np.cumsum(sizes), {}
+    with np.errstate(all="ignore"):
+        for d in np.unique(sizes[at]):
+            own = at[sizes[at] == d]
+            m = values[(ends[own] - d)[:, None] + np.arange(d)]
+            n = np.sqrt(np.add.accumulate(m * m, 1)[:, -1])
+            good = np.isfinite(m).all(1) & (n > 0)
+            units.update(zip(own[good].tolist(), m[good] / n[good, None]))
+    kept = sorted(units)
+    return ids.take(pa.array(kept, pa.int64())), [units[k] for k in kept]
+
+
 def blocks(df: DataFrame, id_col: str, vec_col: str, size: int = BLOCK) -> DataFrame:
     """(ids, n, matrix) of the valid vectors, scaled to length one, `size` in a block: ids as an array, the matrix as bytes of doubles, row by row."""
-    unit = normalise(df, vec_col).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    kind = unit.schema["id"].dataType.simpleString()
+    raw = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    kind = raw.schema["id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import itertools
 
-        rows = ((i, v) for b in batches for i, v in zip(b.column(0), b.column(1)))
+        rows = ((i, v) for b in batches for i, v in zip(*_units(b.column(0), b.column(1))))
         while part := [*itertools.islice(rows, size)]:
-            matrix = np.stack([v.values.to_numpy(zero_copy_only=False) for _, v in part]).astype(np.float64)
+            matrix = np.stack([v for _, v in part])
             yield pa.RecordBatch.from_arrays([pa.array([[i.as_py() for i, _ in part]], pa.list_(part[0][0].type)), pa.array([len(part)]), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "n", "matrix"])
 
-    return unit.mapInArrow(pack, f"ids array<{kind}>, n long, matrix binary")
+    return raw.mapInArrow(pack, f"ids array<{kind}>, n long, matrix binary")
 
 
 def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,8 +139,8 @@ def metadata_filter(df: DataFrame, wanted: dict[str, list]) -> DataFrame:
 
 
 def late_materialise(hits: DataFrame, payload: DataFrame, payload_id: str) -> DataFrame:
-    """Payload columns for the final hits only."""
-    return hits.join(payload.withColumnRenamed(payload_id, "chunk_id"), "chunk_id")
+    """Payload columns for the final hits only. These are written first, so that Spark knows whether they are few enough to leave the payload where it is."""
+    return materialize(hits, "hits").join(payload.withColumnRenamed(payload_id, "chunk_id"), "chunk_id")
 
 
 def hashing_embedder(df: DataFrame, text_col: str, dim: int = 384, out_col: str = "embedding") -> DataFrame:
@@ -135,19 +151,18 @@ def hashing_embedder(df: DataFrame, text_col: str, dim: int = 384, out_col: str
     """
     from textquarry.functions.text import terms
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(words: pd.Series) -> pd.Series:
-        places: dict[str, tuple[int, float]] = {}
-        out = []
-        for ws in words:
-            v = np.zeros(dim, np.float32)
-            for w in ws if ws is not None else ():
-                if (x := places.get(w)) is None:
-                    h = hashlib.md5(w.encode()).hexdigest()
-                    x = places[w] = (int(h[:8], 16) % dim, -1.0 if int(h[8], 16) % 2 else 1.0)
-                v[x[0]] += x[1]
-            out.append(v if ws is not None and len(ws) else None)
-        return pd.Series(out)
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(words: pa.Array) -> pa.Array:
+        sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()  # a batch's distinct terms are hashed once
+        digests = [hashlib.md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
+        slots = np.array([int(h[:8], 16) % dim for h in digests], np.int64)
+        signs = np.array([-1.0 if int(h[8], 16) % 2 else 1.0 for h in digests])
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        cells = np.repeat(np.arange(len(sizes)), sizes) * dim + slots[code]
+        sums = np.bincount(cells, signs[code], len(sizes) * dim).astype(np.float32)
+        full = np.repeat(sizes > 0, dim)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(sizes > 0, dim, 0))], pa.int32()), pa.array(sums[full], pa.float32()), mask=pa.array(sizes == 0))
 
     return df.withColumn(out_col, embed(terms(F.coalesce(F.col(text_col), F.lit("")))))
 

@@ -24,9 +24,9 @@ class Limits:
 
 @dataclass(frozen=True)
 class Corpus:
-    """What searches run over: a lexical index, vectors (chunk_id, embedding), texts (chunk_id, text) and the embedder of the vectors."""
+    """What searches run over: a lexical index, vectors (chunk_id, embedding), texts (chunk_id, text) and the embedder of the vectors. Without a stored index the texts are read for the asked terms, once for all queries."""
 
-    index: bm25.Bm25Index
+    index: bm25.Bm25Index | None
     vectors: DataFrame
     texts: DataFrame
     embed: Callable[[DataFrame, str], DataFrame]
@@ -49,7 +49,8 @@ def _searches(variants: DataFrame) -> DataFrame:
 def branches(variants: DataFrame, corpus: Corpus, k: int) -> DataFrame:
     """(query_id, variant_id, branch, chunk_id, rank, score): both searches of every variant of every query, in one plan each, written once for all that reads them."""
     asked = _searches(variants)
-    lexical = bm25.search(bm25.plan_queries(asked, corpus.index, "search_id", "text"), corpus.index, k).withColumn("branch", F.lit("bm25"))
+    index = corpus.index or bm25.index_for(asked, "text", corpus.texts, "chunk_id", "text")
+    lexical = bm25.search(bm25.plan_queries(asked, index, "search_id", "text"), index, k).withColumn("branch", F.lit("bm25"))
     embedded = corpus.embed(asked.select("search_id", "text"), "text")
     dense = vectors.cosine_top_k(embedded, corpus.vectors, k, "search_id", "chunk_id", "embedding").withColumn("branch", F.lit("dense"))
     both = lexical.unionByName(dense).withColumnRenamed("query_id", "search_id").join(asked.select("search_id", "query_id", "variant_id"), "search_id")
@@ -89,7 +90,7 @@ def rerank_pool(candidates: DataFrame, questions: DataFrame, corpus: Corpus, lim
     """The candidates of each query, scored against its question by `scorer`, cut to top_k."""
     if limits.candidate_k > limits.max_candidates:
         raise ValueError(f"candidate_k {limits.candidate_k} is beyond the reranker's {limits.max_candidates}")
-    pairs = candidates.select("query_id", "chunk_id", "rank", "score").join(questions, "query_id").join(corpus.texts, "chunk_id")
+    pairs = vectors.late_materialise(candidates.select("query_id", "chunk_id", "rank", "score").join(questions, "query_id"), corpus.texts, "chunk_id")
     return fusion.rerank(pairs, scorer, "question", "text", limits.top_k)
 
 
