@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textquarry.catalog import _HITS, _edges, _query, bm25_search
 from textquarry.operators import analytics, dataset, diagnostics, evidence, fusion, graph, metrics, query, ranks, vectors
 from textquarry.plans import retrieval
-from textquarry.session import table
+from textquarry.session import materialize, table
 
 # --- retrieval parts ---------------------------------------------------------------------------------
 
@@ -50,7 +50,7 @@ def rerank_problems(spark, sf):
 SELECT query_id, 'duplicate_chunk_id' AS problem, chunk_id::VARCHAR AS value FROM h GROUP BY query_id, chunk_id HAVING count(*) > 1 UNION ALL SELECT query_id, 'duplicate_rank', rank::VARCHAR FROM h GROUP BY query_id, rank HAVING count(*) > 1""")
 def fusion_conflicts(spark, sf):
     """Hit lists whose third chunk also stands first."""
-    hits = bm25_search(spark, sf).select("query_id", "chunk_id", "rank")
+    hits = materialize(bm25_search(spark, sf).select("query_id", "chunk_id", "rank"), "hits")  # read four times
     return fusion.fusion_conflicts(hits.union(hits.where("rank = 3").select("query_id", "chunk_id", F.lit(1))))
 
 
