@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.catalog import _POSTINGS, _WORDS, _index, _items, _query
-from textquarry.operators import audits, batches, bm25, chunking, fusion, parsing
+from textquarry.catalog import _POSTINGS, _WORDS, _item_index, _items, _query
+from textquarry.operators import audits, batches, bm25, chunking, fusion, parsing, vectors
 from textquarry.session import materialize, table
 
 _TOOLS = ("bm25_search", "graph_search", "calculator")
@@ -155,10 +155,10 @@ audit AS (SELECT query_id, bool_and(a AND b AND near = deep) AS identical, count
 
 
 def _pool(spark, sf):
-    index = _index(spark, sf)
+    index = _item_index(spark, sf)
     hits = bm25.search(bm25.plan_queries(_items(spark, sf), index, "item_id", "text"), index, 40)
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("document_id"))
-    scored = hits.join(texts, "chunk_id").join(_items(spark, sf).select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    scored = vectors.late_materialise(hits.join(_items(spark, sf).select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id"), texts, "chunk_id")
     return audits.pool_audit(scored.select("query_id", "chunk_id", "document_id", F.col("rank").alias("fused_rank"), fusion.lexical_scorer(F.col("question"), F.col("text")).alias("score")))
 
 
