@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.operators import evidence
+from textquarry.operators import evidence, vectors
 from textquarry.session import materialize
 
 # Kinds of errors, whether another attempt may help, and the reasons a run ends for.
@@ -253,7 +253,7 @@ def search_tools(corpus, limits, strategies: tuple[str, ...] = ("bm25", "dense",
     def tool(name: str) -> Tool:
         def run(requests: DataFrame) -> DataFrame:
             found = retrieval.search(requests.select("query_id", F.col("asked").alias("question"), F.lit(None).cast("string").alias("rewritten")), corpus, (name,), limits)
-            hits = found.join(corpus.texts, "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), "text"))).alias("h"))
+            hits = vectors.late_materialise(found, corpus.texts, "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), "text"))).alias("h"))
             numbered = F.transform("h", lambda x: F.struct(F.concat(F.lit("E"), x["rank"]).alias("evidence_id"), x["chunk_id"].alias("chunk_id"), x["text"].alias("text")))
             return requests.select("query_id").join(hits.select("query_id", numbered.alias("hits")), "query_id", "left").select("query_id", F.coalesce("hits", F.array().cast("array<struct<evidence_id:string,chunk_id:string,text:string>>")).alias("hits"))
 
