@@ -7,6 +7,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -27,20 +28,29 @@ class ChunkParams:
     overlap: int = 50
 
 
+@cache
+def _run(most: int, least: int = 0) -> re.Pattern:
+    """From `least` up to `most` tokens in a row, with the white space before each."""
+    return re.compile(rf"(?>\s*+(?:\w++|[^\w\s])){{{least},{most}}}+")
+
+
 def count_tokens(text: str) -> int:
-    return len(_token.findall(text))
+    """Tokens are counted 64 at a time, and the rest one by one."""
+    n, at, many = 0, 0, _run(64, 64)
+    while found := many.match(text, at):
+        n, at = n + 64, found.end()
+    return n + len(_token.findall(text, at))
 
 
 def split_tokens(text: str, most: int, overlap: int) -> list[str]:
     """Windows of at most `most` tokens, `overlap` shared with the one before; pieces of the text itself."""
-    spans = [m.span() for m in _token.finditer(text)]
-    out, at = [], 0
-    while at < len(spans):
-        window = spans[at : at + most]
-        out.append(text[window[0][0] : window[-1][1]])
-        if at + most >= len(spans):
+    out, first = [], _token.search(text)
+    while first:
+        end = _run(most).match(text, first.start()).end()
+        out.append(text[first.start() : end])
+        if not _token.search(text, end):
             break
-        at += most - overlap
+        first = _token.search(text, _run(most - overlap).match(text, first.start()).end())
     return out
 
 
@@ -85,15 +95,15 @@ def merged_structure(blocks: list[dict]) -> dict:
     return {**base, **numbers, "structure_path": path}
 
 
-def search_text(title: str | None, structure: dict, text: str, most: int, count: Callable[[str], int] = count_tokens) -> str:
-    """Headers, taken from the most specific to the least while the budget holds, then the text."""
+def search_text(title: str | None, structure: dict, text: str, most: int, count: Callable[[str], int] = count_tokens, tokens: int | None = None) -> str:
+    """Headers, taken from the most specific to the least while the budget holds, then the text, which has `tokens` if they are known."""
     heads = [f"Văn bản: {title}"] if title else []
     heads += [structure[k] for k in ("part", "chapter", "section", "subsection") if structure[k]]
     if structure["article_number"]:
         heads.append(f"Điều {structure['article_number']}" + (f": {structure['article_title']}" if structure["article_title"] else ""))
     heads += [f"{label}: {', '.join(structure[k])}" for k, label in (("clause_numbers", "Khoản"), ("point_numbers", "Điểm")) if structure[k]]
     body, kept, used = f"Nội dung:\n{text}", [], 0
-    used = count(body)
+    used = count(body) if tokens is None or count is not count_tokens else count(body[: -len(text) or None]) + tokens  # no token goes over a line's end
     for h in reversed(heads):
         if used + count(h) <= most:
             kept.append(h)
@@ -134,14 +144,24 @@ def chunk_stream(document_id: str, title: str | None, blocks: Iterable[dict], p:
     """The chunks of a document whose blocks come in order: no more than an article and the headings before it is held.
 
     An article with all below it is one chunk if it fits, else its parts are packed in order; headings
-    wait for the unit that follows them.
+    wait for the unit that follows them. Tokens here don't go over a line's end, so that each block is
+    counted once; a model's own count is asked for the whole text each time.
     """
+    counts: dict[str, int] = {}
+
+    def size(unit: list[dict], text: str | None = None) -> int:
+        if count is not count_tokens:
+            return count(_joined(unit) if text is None else text)
+        for b in unit:
+            if b["block_id"] not in counts:
+                counts[b["block_id"]] = count(b["text"])
+        return sum(counts[b["block_id"]] for b in unit)
 
     def windows(unit):
         pieces = split_tokens(_joined(unit), p.max_tokens, p.overlap)
         return [("token_fallback", unit, t, k, len(pieces)) for k, t in enumerate(pieces)]
 
-    fits = lambda unit: count(_joined(unit)) <= p.max_tokens
+    fits = lambda unit: size(unit) <= p.max_tokens
     whole = lambda strategy, unit: [(strategy, unit, _joined(unit), 0, 1)]
 
     def article(unit, heads):
@@ -178,9 +198,15 @@ def chunk_stream(document_id: str, title: str | None, blocks: Iterable[dict], p:
     for k, (strategy, unit, text, split, splits) in enumerate(drafts()):
         structure = merged_structure(unit)
         ids = [b["block_id"] for b in unit]
+        if strategy != "token_fallback":
+            tokens = size(unit, text)
+        else:
+            tokens = p.max_tokens if split < splits - 1 and count is count_tokens else count(text)  # windows but the last are full
+        for i in ids if split == splits - 1 else ():  # what is chunked isn't asked for again
+            counts.pop(i, None)
         yield {
-            "chunk_id": chunk_id(document_id, strategy, ids, split, text), "document_id": document_id, "chunk_index": k, "text": text, "search_text": search_text(title, structure, text, p.max_search_tokens, count),
-            "token_count": count(text), "strategy": strategy, "split_index": split, "split_count": splits, "source_block_ids": ids, "structure": structure,
+            "chunk_id": chunk_id(document_id, strategy, ids, split, text), "document_id": document_id, "chunk_index": k, "text": text, "search_text": search_text(title, structure, text, p.max_search_tokens, count, tokens),
+            "token_count": tokens, "strategy": strategy, "split_index": split, "split_count": splits, "source_block_ids": ids, "structure": structure,
         }
 
 
@@ -194,16 +220,17 @@ CHUNK_SCHEMA = f"chunk_id string, document_id string, chunk_index int, text stri
 def chunk_documents(df: DataFrame, id_col: str, text_col: str, title_col: str | None = None, params: ChunkParams = ChunkParams()) -> DataFrame:
     """Parse and chunk in one pass over the documents, without a shuffle."""
 
-    def run(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
-                rows = [r for i, t, title in zip(part["i"], part["t"], part["title"]) if t for r in chunk_document(i, title, document_blocks(i, t), params)]
+    schema = to_arrow_schema(T._parse_datatype_string(CHUNK_SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                rows = [c for r in batch.slice(at, 200).to_pylist() if r["t"] for c in chunk_document(r["i"], r["title"], document_blocks(r["i"], r["t"]), params)]
                 if rows:
-                    yield pd.DataFrame(rows)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     title = F.col(title_col).cast("string") if title_col else F.lit(None).cast("string")
-    return df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), title.alias("title")).mapInPandas(run, CHUNK_SCHEMA)
+    return df.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), title.alias("title")).mapInArrow(run, CHUNK_SCHEMA)
 
 
 def chunk_blocks(blocks: DataFrame, documents: DataFrame, params: ChunkParams = ChunkParams(), most: int = 512) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import terms
@@ -141,7 +141,6 @@ def marker_census(df: DataFrame, text_col: str, patterns: dict[str, str]) -> Dat
 
 
 def chunk_census(chunks: DataFrame) -> DataFrame:
-    """(strategy, chunks, share, tokens, with_article): strategy shares of a chunk table, with repeated texts counted in `repeated`."""
-    total = chunks.agg(F.count("*").alias("all"))
-    per = chunks.groupBy("strategy").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.count_if(F.col("structure.article_number").isNotNull()).alias("with_article"), (F.count("text") - F.countDistinct("text")).alias("repeated"))
-    return per.crossJoin(F.broadcast(total)).withColumn("share", F.col("chunks") / F.col("all")).drop("all")  # one row
+    """(strategy, chunks, share, tokens, with_article): strategy shares of a chunk table, with repeated texts counted in `repeated`, told by their SHA-256. The chunks are read once."""
+    per = chunks.withColumn("text", F.sha2("text", 256)).groupBy("strategy").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.count_if(F.col("structure.article_number").isNotNull()).alias("with_article"), (F.count("text") - F.countDistinct("text")).alias("repeated"))
+    return per.withColumn("share", F.col("chunks") / F.sum("chunks").over(Window.partitionBy()))  # a row a strategy
