@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm import bytebpe, decontam, neardup, secrets, toxicity
 from textquarry.llm.common import shielded
-from textquarry.session import discard, mark, materialize, sweep, table
+from textquarry.session import discard, mark, materialize, sweep, table, text_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no hits and stay; repeated rows are scored each and stay or go
     together; an empty table stays empty; without labels nothing is learned and all stay.
     """
+    text_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     held, at = shielded(docs)
     scored = toxicity.score(held, model, at["doc_id"], at["text"], extra=tuple(p for c, p in at.items() if c != "doc_id"))
@@ -34,6 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     that repeat an id are one document: one of them stays, the first by a hash of all columns. An
     empty table stays empty.
     """
+    text_batches(spark)
     found = neardup.near_duplicates(docs).where("doc_id is not null")
     decided = materialize(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).where("not kept or rows > 1"), "decided")
     first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")
@@ -55,6 +57,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null texts stay null; repeated rows are masked each; an empty table stays empty.
     """
+    text_batches(spark)
     held, at = shielded(docs)
     found = secrets.scan_secrets(held, id_col=at["doc_id"], text_col=at["text"], extra=tuple(p for c, p in at.items() if c not in ("doc_id", "text")), with_text=True)
     return found.select(*[F.col("masked_text" if c == "text" else p).alias(c) for c, p in at.items()])
@@ -62,6 +65,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and their digests; a null text has none, repeated rows are encoded each, other columns are not read."""
+    text_batches(spark)
     return bytebpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

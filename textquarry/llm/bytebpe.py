@@ -15,11 +15,10 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from textquarry.llm.common import map_texts, trim
+from textquarry.llm.common import kept, map_texts, trim
 
 #: Pre-tokens, and runs between single spaces, that a worker's tables keep; their longest length there.
-CACHE_ENTRIES, RUN_ENTRIES, CACHE_LENGTH = 250_000, 400_000, 48
-_LOADED: dict[tuple[str, str], ByteBPE] = {}  # a worker's later tasks find its tables filled
+CACHE_ENTRIES, RUN_ENTRIES, CACHE_LENGTH = 125_000, 200_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -83,6 +82,8 @@ class ByteBPE:
         probe = ["a", "1", ".", "'s", "\n", "\t.", "é1", "x\n"]
         self.spaced = all(self.find(x + " " + y) == self.find(x) + self.find(" " + y) for x in probe for y in probe if not (x[-1].isspace() and y[0].isspace()))
         self.space_runs = regex.compile(r"\s \s|^ | $").search
+        blank = regex.compile(r"\s").match
+        self.before_space = [c + " " for c in map(chr, range(0x3001)) if c.isspace() or blank(c)]  # no white space is above U+3000
 
     def _add(self, new: list[str]) -> dict[str, tuple[int, ...]]:
         found, rest = {}, []
@@ -105,9 +106,17 @@ class ByteBPE:
         trim(cache, CACHE_ENTRIES)
         return ids
 
+    def _has_space_runs(self, text: str) -> bool:
+        """As the pattern says, which is slow and looked at only if white space stands before a space or a space at an end."""
+        may = text.startswith(" ") or text.endswith((" ", " \n")) or any(x in text for x in self.before_space)
+        return may and self.space_runs(text) is not None
+
     def encode(self, text: str) -> list[int]:
-        """A single space before another character starts a pre-token, so that runs between single spaces are encoded apart and kept."""
-        if not self.spaced or self.space_runs(text):
+        """A single space before another character starts a pre-token, so that runs between single spaces are encoded apart and kept.
+
+        A pre-token that is a whole run is kept as that run only.
+        """
+        if not self.spaced or self._has_space_runs(text):
             return self._encode_words(text)
         head, *rest = text.split(" ")
         runs, ids = self.runs, self._encode_words(head)
@@ -117,9 +126,11 @@ class ByteBPE:
         # one call of the encoder for the new pre-tokens of all new runs
         words, cache = [self.find(" " + x) for x in new], self.cache
         known = self._add(unknown) if (unknown := [w for w in {*chain.from_iterable(words)} if w not in cache]) else {}
-        added = {x: tuple(chain.from_iterable([known[w] if w in known else cache[w] for w in ws])) for x, ws in zip(new, words)}
+        ids_of = lambda w: known[w] if w in known else cache[w]
+        added = {x: ids_of(ws[0]) if len(ws) == 1 else tuple(chain.from_iterable(map(ids_of, ws))) for x, ws in zip(new, words)}
         ids.extend(chain.from_iterable([added[w] if w in added else runs[w] for w in rest]))
-        cache.update((k, v) for k, v in known.items() if len(k) <= CACHE_LENGTH)
+        shared = {w for ws in words if len(ws) > 1 for w in ws}
+        cache.update((k, v) for k, v in known.items() if k in shared and len(k) <= CACHE_LENGTH)
         runs.update((k, v) for k, v in added.items() if len(k) <= CACHE_LENGTH)
         trim(cache, CACHE_ENTRIES)
         trim(runs, RUN_ENTRIES)
@@ -139,9 +150,10 @@ def encode_texts(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     `vocabulary` is the path of a rank file that every worker can read.
     """
 
+    key = ("byte BPE", vocabulary, pattern)
+
     def factory():
-        if not (bpe := _LOADED.get((vocabulary, pattern))):
-            bpe = _LOADED[vocabulary, pattern] = ByteBPE(read_ranks(vocabulary), pattern)
+        bpe = kept(key, lambda: ByteBPE(read_ranks(vocabulary), pattern))  # a worker's later tasks find its tables filled
         sha = hashlib.sha256
 
         def f(texts):
@@ -157,4 +169,4 @@ def encode_texts(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
         return f
 
-    return map_texts(df, factory, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, id_col, text_col, extra)
+    return map_texts(df, factory, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, id_col, text_col, extra, keeps=key)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import map_texts
 from textquarry.llm.groups import centred, group_components, linker
-from textquarry.llm.neardup import shingle_set
+from textquarry.llm.neardup import WORDS, shingle_set
 from textquarry.operators.joins import hot_join
 from textquarry.session import discard, materialize
 
@@ -168,7 +168,7 @@ def signatures(df: DataFrame, p: GramJoinParams, id_col: str, text_col: str, ext
 
         return f
 
-    return map_texts(df, factory, "n_shingles long, digest binary, cells array<long>, point binary", id_col, text_col, extra)
+    return map_texts(df, factory, "n_shingles long, digest binary, cells array<long>, point binary", id_col, text_col, extra, keeps=WORDS)
 
 
 def _candidates(p: GramJoinParams):

@@ -20,13 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import map_texts, trim
+from textquarry.llm.common import kept, map_texts, trim
 from textquarry.llm.groups import centred, group_components, linker
 from textquarry.operators.joins import hot_join
 from textquarry.session import discard, materialize
 
-WORD_ENTRIES = 400_000
-_WORDS: dict[bytes, int] = {}  # hashes of words, kept for a worker's later tasks
+WORD_ENTRIES = 400_000  #: hashes of words, kept for a worker's later tasks
+WORDS = "hashes of words"
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < k:
         return np.array([xxhash.xxh64_intdigest(b"\x00".join(words), seed=len(words))], np.uint64)
-    known = _WORDS
+    known = kept(WORDS, dict)
     for w in {*words}.difference(known):
         known[w] = xxhash.xxh64_intdigest(w)
     a = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -125,7 +125,7 @@ def signatures(df: DataFrame, p: NearDupParams, id_col: str, text_col: str, extr
 
         return f
 
-    return map_texts(df, factory, "n_shingles long, digest binary, bands array<long>, sketch binary", id_col, text_col, extra)
+    return map_texts(df, factory, "n_shingles long, digest binary, bands array<long>, sketch binary", id_col, text_col, extra, keeps=WORDS)
 
 
 def _candidates(p: NearDupParams):
