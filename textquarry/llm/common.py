@@ -51,7 +51,7 @@ def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def map_texts(df: DataFrame, factory: Callable, fields: str, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), keeps: object = None) -> DataFrame:
     """id and `extra` columns of every row, then `fields` (DDL).
 
-    `factory()` runs once in each task and returns f(texts) -> list of columns (lists), one value a
+    `factory()` runs once in each task and returns f(texts) -> list of columns (lists or Arrow arrays), one value a
     row. Only the named columns leave the JVM, so other columns and clashing names don't matter.
     Null ids and repeated rows stay as they are: one row out for each row in. keeps: the key of the
     kept() tables that f asks for; a task without, or with another, frees what its worker holds.
@@ -70,7 +70,7 @@ def map_texts(df: DataFrame, factory: Callable, fields: str, id_col: str = "doc_
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 cols = f(part.column(len(passed)).to_pylist())
-                arrays = [part.column(i) for i in range(len(passed))] + [pa.array(c, t) for c, t in zip(cols, types)]
+                arrays = [part.column(i) for i in range(len(passed))] + [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.name for x in out.fields])
 
     return source.mapInArrow(run, out)
