@@ -6,10 +6,13 @@ the shared scratch folder, and only queries that are still open go on to the nex
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,8 @@ RETRYABLE = {
     "artifact_compatibility_error": False, "backend_initialization_error": False, "retrieval_error": True, "model_error": True, "timeout": True, "external_service_error": True,
 }
 STOP_REASONS = ("answer_verified", "max_retry_reached", "no_new_strategy", "non_retryable_tool_error", "timeout", "generation_failed", "citation_verification_failed")
+#: What fails in a job, a plan or on the machine is no outcome of a query, whoever called for it.
+JOB_ERRORS = (PySparkException, Py4JError, OSError, MemoryError)
 
 
 class ToolFailure(Exception):
@@ -41,7 +46,7 @@ class Tool:
     inputs: str  #: DDL of the columns it needs beside query_id; a request with a null in one of them is refused
     outputs: str  #: DDL of the columns it gives
     run: Callable[[DataFrame], DataFrame]
-    timeout_seconds: float = 3600.0
+    timeout_seconds: float = math.inf  #: for the whole batch, whose time grows with its rows and with what is searched
 
 
 def _types(schema: T.StructType) -> dict[str, str]:
@@ -49,12 +54,16 @@ def _types(schema: T.StructType) -> dict[str, str]:
 
 
 class Registry:
-    """Tools by name. invoke() never raises for what a tool does wrong: the rows say so."""
+    """Tools by name. What a tool does wrong the rows say; a failed job is raised.
 
-    def __init__(self, tools: list[Tool]):
+    strict: for tools of our own, whose mistakes are no outcomes. A batch that can't be asked for, a
+    tool's exception but ToolFailure, a late batch, and rows that break the contract are raised too.
+    """
+
+    def __init__(self, tools: list[Tool], strict: bool = False):
         if len({t.name for t in tools}) != len(tools):
             raise ValueError("a tool is registered twice")
-        self.tools = {t.name: t for t in tools}
+        self.tools, self.strict = {t.name: t for t in tools}, strict
 
     def invoke(self, name: str, requests: DataFrame, outputs: str = "") -> DataFrame:
         """(query_id, outputs, error): `error` is null or a key of RETRYABLE. `outputs` names the columns wanted where the tool isn't registered."""
@@ -65,12 +74,17 @@ class Registry:
         def failed(rows: DataFrame, kind: str | Column) -> DataFrame:
             return rows.select("query_id", *nulls, (F.lit(kind) if isinstance(kind, str) else kind).alias("error"))
 
+        def refused(rows: DataFrame, kind: str) -> DataFrame:
+            if self.strict:
+                raise ToolFailure(kind, f"{name}: {kind}")
+            return failed(rows, kind)
+
         if tool is None:
-            return failed(requests, "tool_not_registered")
+            return refused(requests, "tool_not_registered")
         needs = T._parse_datatype_string(tool.inputs) if tool.inputs else T.StructType([])
         have = _types(requests.schema)
         if any(have.get(f.name) != f.dataType.simpleString() for f in needs.fields):
-            return failed(requests, "invalid_input")
+            return refused(requests, "invalid_input")
         whole = F.lit(True)
         for f in needs.fields:
             whole = whole & F.col(f.name).isNotNull()
@@ -78,22 +92,29 @@ class Registry:
         began = time.monotonic()
         try:
             given = tool.run(good)
-            have = _types(given.schema)
-            if any(have.get(f.name) != f.dataType.simpleString() for f in [*wanted.fields, requests.schema["query_id"]]):
-                return failed(good, "tool_contract_error").union(bad)
-            error = F.col("error").cast("string") if "error" in have else F.lit(None).cast("string")
-            rows = materialize(given.select("query_id", *[f.name for f in wanted.fields], error.alias("error")), f"tool-{name}")
         except ToolFailure as e:
             return failed(good, e.kind if e.kind in RETRYABLE else "tool_contract_error").union(bad)
+        except JOB_ERRORS:
+            raise
         except Exception:  # noqa: BLE001 - a tool's own error is an outcome of its rows
+            if self.strict:
+                raise
             return failed(good, "tool_contract_error").union(bad)
+        have = _types(given.schema)
+        if any(have.get(f.name) != f.dataType.simpleString() for f in [*wanted.fields, requests.schema["query_id"]]):
+            return refused(good, "tool_contract_error").union(bad)
+        error = F.col("error").cast("string") if "error" in have else F.lit(None).cast("string")
+        rows = materialize(given.select("query_id", *[f.name for f in wanted.fields], error.alias("error")), f"tool-{name}")
         if time.monotonic() - began > tool.timeout_seconds:
-            return failed(good, "timeout").union(bad)
+            return refused(good, "timeout").union(bad)
         once = rows.join(rows.groupBy("query_id").agg(F.count("*").alias("__n")).where("__n = 1"), "query_id", "left_semi")
         known = good.select("query_id").join(once, "query_id")
         lacking = good.select("query_id").join(once, "query_id", "left_anti")
         kind = F.when(F.col("error").isNull() | F.col("error").isin(*RETRYABLE), F.col("error")).otherwise(F.lit("tool_contract_error"))
-        return known.select("query_id", *[f.name for f in wanted.fields], kind.alias("error")).union(failed(lacking, "tool_contract_error")).union(bad)
+        told = known.select("query_id", *[f.name for f in wanted.fields], kind.alias("error")).union(failed(lacking, "tool_contract_error"))
+        if self.strict and not told.where("error = 'tool_contract_error'").isEmpty():
+            raise ToolFailure("tool_contract_error", f"{name}: rows that are lacking, repeated or of an unknown error")
+        return told.union(bad)
 
 
 def _retryable(error: Column) -> Column:
