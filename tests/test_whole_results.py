@@ -1,10 +1,13 @@
 """Failures that must not look like results, and results that no cap may cut."""
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from textquarry import catalog, catalog_plans  # noqa: F401
+from textquarry.operators import dataset
 from textquarry.plans import agent, retrieval
 
 
@@ -48,3 +51,55 @@ def test_answers_over_a_broken_search_fail(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "search", broken)
     with pytest.raises(ValueError, match="no index"):
         catalog.queries()["agent_answers"](spark, "/root/testdata/sf0.001").collect()
+
+
+def groups_by_hand(docs, threshold=0.92):
+    import re
+
+    norms = {i: re.sub(r"[\W_]+", " ", (t or "").lower()).strip() for i, t in docs}
+    sets = {i: {" ".join(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {n} for i, n in norms.items() for w in [n.split(" ")]}
+    root = {i: i for i in norms}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in norms:
+        for b in norms:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in norms}
+
+
+def test_groups_hold_all_near_duplicates_of_any_number_and_length(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(300)]
+    base, long = [*rng.choice(words, 60)], [*rng.choice(words, 700)]
+    docs = [(i, " ".join([*base[:-1], f"end{i}"])) for i in range(260)]  # each anchor is in more than 200 texts
+    docs += [(1000 + i, " ".join(f"odd{i}" if k % 160 == 80 else w for k, w in enumerate(long))) for i in range(4)]  # twelve shingles of one text only
+    docs += [(2000 + i, " ".join(rng.choice(words, int(n)))) for i, n in enumerate(rng.integers(1, 40, 60))]
+    docs += [(3000 + i, " ".join([*base[:k], "x", *base[k + 1 :]])) for i, k in enumerate((0, 5, 20, 30, 58))]
+    docs += [(4000, None), (4001, ""), (4002, " . "), (4003, "a b"), (4004, "A, b!"), (4005, "a b c")]
+    got = {r.id: r.group_id for r in dataset.duplicate_groups(spark.createDataFrame(docs, "id long, t string"), "id", "t").collect()}
+    assert got == groups_by_hand(docs) and {got[i] for i in range(260)} == {0} and {got[1000 + i] for i in range(4)} == {1000} and got[4002] == 4000
+
+
+def test_groups_at_the_threshold_itself(spark):
+    # 25 and 50 shingles of which 2 and 4 differ: 23 of 25, at 0.92; and one less
+    whole = [f"u{k}" for k in range(27)]
+    docs = [(1, " ".join(whole)), (2, " ".join(whole[2:])), (3, " ".join(whole[3:])), (None, "x y z"), (4, "x y z")]
+    df = spark.createDataFrame(docs, "id long, t string")
+    assert {r.id: r.group_id for r in dataset.duplicate_groups(df, "id", "t").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, None: None}
+    assert {r.id: r.group_id for r in dataset.duplicate_groups(df.where("id <> 2"), "id", "t").collect()} == {1: 1, 3: 3, 4: 4}
+    assert {r.id: r.group_id for r in dataset.duplicate_groups(df, "id", "t", 0.925).collect()} == {1: 1, 2: 2, 3: 2, 4: 4, None: None}
+
+
+def test_the_sql_of_groups_has_no_cap():
+    sql = catalog.oracle_sql()["duplicate_groups"]
+    assert "<= 200" not in sql and "r <= 8" not in sql
+    db = duckdb.connect()
+    base = " ".join(f"b{k}" for k in range(59))
+    db.execute("CREATE TABLE documents AS SELECT i AS doc_id, ? || ' end' || i AS text FROM range(201) t(i)", [base])
+    assert db.execute(f"SELECT count(DISTINCT group_id) FROM ({sql})").fetchone() == (1,)

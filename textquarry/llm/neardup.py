@@ -5,7 +5,7 @@
 2. Texts with equal sets are one class, represented by the smallest id.
 3. Representatives that share a band value form a bucket; each bucket names its smallest id as
    centre, and the members of all buckets of a centre form a group.
-4. Groups are compared block by block (llm/groups.py): the population count of the XOR of two odd
+4. Groups are compared block by block (operators/groups.py): the population count of the XOR of two odd
    sketches estimates their similarity, and pairs that may reach the threshold are verified on
    their full sets, unless links found before already join them.
 5. Components of the links.
@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import kept, map_texts, trim
-from textquarry.llm.groups import centred, group_components, linker
+from textquarry.operators.groups import centred, group_components, linker
 from textquarry.operators.joins import hot_join
+from textquarry.operators.setjoin import shingled
 from textquarry.session import discard, materialize
 
 WORD_ENTRIES = 400_000  #: hashes of words, kept for a worker's later tasks
@@ -59,14 +60,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
         known[w] = xxhash.xxh64_intdigest(w)
     a = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     trim(known, WORD_ENTRIES)
-    n = len(a) - k + 1
-    s = a[:n].copy()
-    for i in range(1, k):
-        s = s * np.uint64(0x9E3779B97F4A7C15) + a[i : i + n]
-    s ^= s >> np.uint64(32)
-    s *= np.uint64(0xD6E8FEB86659FD93)
-    s ^= s >> np.uint64(32)
-    return np.unique(s)
+    return shingled(a, k)
 
 
 class Sketcher:
