@@ -103,3 +103,19 @@ def test_the_sql_of_groups_has_no_cap():
     base = " ".join(f"b{k}" for k in range(59))
     db.execute("CREATE TABLE documents AS SELECT i AS doc_id, ? || ' end' || i AS text FROM range(201) t(i)", [base])
     assert db.execute(f"SELECT count(DISTINCT group_id) FROM ({sql})").fetchone() == (1,)
+
+
+def test_classes_of_shingles_are_freed_one_after_the_other(spark):
+    import os
+
+    (folder,) = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for _, _, names in os.walk(folder) for f in names if f.startswith("shuffle_")}
+    words = [f"w{k}" for k in range(50)]
+    docs = [(i, " ".join([*words[i % 7 :], *words[: i % 7], "end" * (i % 2)])) for i in range(40)] + [(90, "a b"), (91, "c")]
+    df = spark.createDataFrame(docs, "id long, t string")
+    norm = df.select(dataset.normalise_question(F.col("t")).alias("norm")).distinct()
+    parts = norm.select(dataset._shingles(F.col("norm")).alias("all"), *[dataset._shingles(F.col("norm"), k).alias(f"k{k}") for k in range(dataset.ROUNDS)]).collect()
+    assert all(sorted(r["all"]) == sorted(s for k in range(dataset.ROUNDS) for s in r[f"k{k}"]) for r in parts)
+    before = files()
+    pairs = dataset.near_pairs(df, "id", "t")
+    assert files() <= before and pairs.count() > 0 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
